@@ -1,4 +1,8 @@
-"""Geometry on the sky as Column expressions. All angles are degrees."""
+"""Geometry on the sky as Column expressions. All angles are degrees.
+
+Arguments are column names or SQL texts. The expressions are written as SQL text, which Spark parses in
+one call however long they are.
+"""
 
 from __future__ import annotations
 
@@ -9,46 +13,47 @@ from pyspark.sql import Column, functions as F
 from skyloom.schema import FIELD_RADIUS, PIXEL_NSIDE
 
 
-def _c(x) -> Column:
-    if isinstance(x, Column):
-        return x
-    return F.col(x) if isinstance(x, str) else F.lit(float(x))
+def num(x: float) -> str:
+    """A double literal."""
+    return f"{float(x)!r}D"
 
 
-def separation(ra1, dec1, ra2, dec2) -> Column:
-    """Great-circle distance (haversine)."""
-    ra1, dec1, ra2, dec2 = map(_c, (ra1, dec1, ra2, dec2))
-    d1, d2 = F.radians(dec1), F.radians(dec2)
-    h = F.pow(F.sin((d2 - d1) / 2), 2) + F.cos(d1) * F.cos(d2) * F.pow(
-        F.sin(F.radians(ra2 - ra1) / 2), 2
+def separation_sql(ra1: str, dec1: str, ra2: str, dec2: str) -> str:
+    return (
+        f"degrees(2 * asin(sqrt(least(1D, pow(sin(radians({dec2} - {dec1}) / 2), 2)"
+        f" + cos(radians({dec1})) * cos(radians({dec2})) * pow(sin(radians({ra2} - {ra1}) / 2), 2)))))"
     )
-    return F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), h))))
 
 
-def sky_pixel(ra, dec, nside: int = PIXEL_NSIDE) -> Column:
+def separation(ra1: str, dec1: str, ra2: str, dec2: str) -> Column:
+    """Great-circle distance (haversine)."""
+    return F.expr(separation_sql(ra1, dec1, ra2, dec2))
+
+
+def sky_pixel(ra: str, dec: str, nside: int = PIXEL_NSIDE) -> Column:
     """Equal-area pixel number, ring order (Gorski et al. 2005)."""
-    ra, dec = _c(ra), _c(dec)
     n = nside
-    z = F.sin(F.radians(dec))
-    t = F.pmod(ra, F.lit(360.0)) / 90.0
+    z = f"sin(radians({dec}))"
+    t = f"(pmod({ra}, 360D) / 90)"
     # equatorial belt
-    jp = F.floor(n * (0.5 + t) - 0.75 * n * z)
-    jm = F.floor(n * (0.5 + t) + 0.75 * n * z)
-    ring = n + 1 + jp - jm
-    shift = 1 - F.pmod(ring, F.lit(2))
-    phi = F.pmod(F.floor((jp + jm - n + shift + 1) / 2), F.lit(4 * n))
-    belt = 2 * n * (n - 1) + (ring - 1) * 4 * n + phi
+    jp = f"floor({n} * (0.5D + {t}) - {num(0.75 * n)} * {z})"
+    jm = f"floor({n} * (0.5D + {t}) + {num(0.75 * n)} * {z})"
+    ring = f"({n + 1} + {jp} - {jm})"
+    shift = f"(1 - pmod({ring}, 2))"
+    belt = (
+        f"{2 * n * (n - 1)} + ({ring} - 1) * {4 * n}"
+        f" + pmod(floor(({jp} + {jm} - {n} + {shift} + 1) / 2), {4 * n})"
+    )
     # polar caps
-    u = t - F.floor(t)
-    v = n * F.sqrt(3 * (1 - F.abs(z)))
-    cp = F.floor(u * v)
-    cm = F.floor((1 - u) * v)
-    cap_ring = cp + cm + 1
-    cap_phi = F.pmod(F.floor(t * cap_ring), 4 * cap_ring)
-    cap = F.when(z > 0, 2 * cap_ring * (cap_ring - 1) + cap_phi).otherwise(
-        12 * n * n - 2 * cap_ring * (cap_ring + 1) + cap_phi
+    u = f"({t} - floor({t}))"
+    v = f"({n} * sqrt(3 * (1 - abs({z}))))"
+    cap_ring = f"(floor({u} * {v}) + floor((1 - {u}) * {v}) + 1)"
+    cap_phi = f"pmod(floor({t} * {cap_ring}), 4 * {cap_ring})"
+    cap = (
+        f"case when {z} > 0 then 2 * {cap_ring} * ({cap_ring} - 1) + {cap_phi}"
+        f" else {12 * n * n} - 2 * {cap_ring} * ({cap_ring} + 1) + {cap_phi} end"
     )
-    return F.when(F.abs(z) <= 2.0 / 3.0, belt).otherwise(cap).cast("bigint")
+    return F.expr(f"cast(case when abs({z}) <= {num(2 / 3)} then {belt} else {cap} end as bigint)")
 
 
 # --- cells for distance joins -------------------------------------------------
@@ -57,84 +62,76 @@ def sky_pixel(ra, dec, nside: int = PIXEL_NSIDE) -> Column:
 # other are then always in touching cells.
 
 
-def band_of(dec, size: float) -> Column:
-    return F.floor(_c(dec) / size).cast("bigint")
+def _band(dec: str, size: float) -> str:
+    return f"cast(floor({dec} / {num(size)}) as bigint)"
 
 
-def bins_in_band(band: Column, size: float) -> Column:
+def _bins(band: str, size: float) -> str:
     """Number of right-ascension bins of a band."""
-    top = F.greatest(F.abs(band * size), F.abs((band + 1) * size))
-    ratio = math.sin(math.radians(size)) / F.cos(F.radians(top))
-    width = F.degrees(F.asin(F.least(F.lit(1.0), ratio)))
-    return F.when(top >= 90.0 - size, F.lit(1)).otherwise(
-        F.greatest(F.lit(1), F.floor(360.0 / width))
-    ).cast("bigint")
+    top = f"(greatest(abs({band}), abs({band} + 1)) * {num(size)})"
+    width = f"degrees(asin(least(1D, {num(math.sin(math.radians(size)))} / cos(radians({top})))))"
+    return (
+        f"cast(case when {top} >= {num(90 - size)} then 1 else greatest(1, floor(360 / {width})) end as bigint)"
+    )
 
 
-def bin_of(ra, n: Column) -> Column:
-    turn = F.pmod(_c(ra), F.lit(360.0)) / 360.0
-    return F.least(F.floor(turn * n), n - 1).cast("bigint")
+def _bin(ra: str, n: str) -> str:
+    return f"cast(least(floor(pmod({ra}, 360D) / 360 * {n}), {n} - 1) as bigint)"
 
 
-def cell_of(ra, dec, size: float) -> Column:
-    band = band_of(dec, size)
-    return F.struct(band.alias("band"), bin_of(ra, bins_in_band(band, size)).alias("bin"))
+def cell_of(ra: str, dec: str, size: float) -> Column:
+    band = _band(dec, size)
+    return F.expr(f"named_struct('band', {band}, 'bin', {_bin(ra, _bins(band, size))})")
 
 
-def cells_around(ra, dec, size: float) -> Column:
+def cells_around(ra: str, dec: str, size: float) -> Column:
     """Array of the distinct cells that can hold a point within ``size``."""
-    here = band_of(dec, size)
-    found = []
-    for step in (-1, 0, 1):
-        band = here + step
-        n = bins_in_band(band, size)
-        middle = bin_of(ra, n)
-        for side in (-1, 0, 1):
-            found.append(F.struct(band.alias("band"), F.pmod(middle + side, n).alias("bin")))
-    return F.array_distinct(F.array(*found))
+    bands = f"transform(array(-1L, 0L, 1L), s -> {_band(dec, size)} + s)"
+    rows = f"transform({bands}, b -> named_struct('b', b, 'n', {_bins('b', size)}))"
+    cells = (
+        f"transform({rows}, r -> transform(array(-1L, 0L, 1L), k -> "
+        f"named_struct('band', r.b, 'bin', pmod({_bin(ra, 'r.n')} + k, r.n))))"
+    )
+    return F.expr(f"array_distinct(flatten({cells}))")
 
 
 # --- the hexagonal field --------------------------------------------------------
 
 
-def field_vertices(ra, dec, pa, radius: float = FIELD_RADIUS, unwrap: bool = True) -> list[tuple[Column, Column]]:
-    """The six corners of a field as (ra, dec) pairs, at bearings 30 + 60 k + pa.
+def field_corners(ra: str, dec: str, pa: str, radius: float = FIELD_RADIUS, unwrap: bool = True) -> Column:
+    """Array of the six corners (``x``, ``y``) of a field, at bearings 30 + 60 k + pa.
 
     With ``unwrap`` the corners of a field on the 0/360 border follow the centre past that border.
     """
-    ra, dec, pa = map(_c, (ra, dec, pa))
-    r = math.radians(radius)
-    lat = F.radians(dec)
-    corners = []
-    for k in range(6):
-        bearing = F.radians(pa + (30.0 + 60.0 * k))
-        sin_lat = F.sin(lat) * math.cos(r) + F.cos(lat) * math.sin(r) * F.cos(bearing)
-        turn = F.atan2(
-            F.sin(bearing) * math.sin(r) * F.cos(lat), math.cos(r) - F.sin(lat) * sin_lat
-        )
-        corner_ra = F.pmod(ra + F.degrees(turn), F.lit(360.0))
-        if unwrap:
-            corner_ra = near(corner_ra, ra)
-        corners.append((corner_ra, F.degrees(F.asin(sin_lat))))
-    return corners
-
-
-def near(ra: Column, centre: Column) -> Column:
+    sin_r, cos_r = num(math.sin(math.radians(radius))), num(math.cos(math.radians(radius)))
+    bearings = f"transform(array(30D, 90D, 150D, 210D, 270D, 330D), k -> radians({pa} + k))"
+    lat = f"radians({dec})"
+    first = (
+        f"transform({bearings}, b -> named_struct('b', b, 's', sin({lat}) * {cos_r} + cos({lat}) * {sin_r} * cos(b)))"
+    )
+    turn = f"degrees(atan2(sin(c.b) * {sin_r} * cos({lat}), {cos_r} - sin({lat}) * c.s))"
+    corners = (
+        f"transform({first}, c -> named_struct('x', pmod({ra} + {turn}, 360D), 'y', degrees(asin(c.s))))"
+    )
+    if unwrap:
+        corners = f"transform({corners}, c -> named_struct('x', {near_sql('c.x', ra)}, 'y', c.y))"
+    return F.expr(corners)
+
+
+def near_sql(ra: str, centre: str) -> str:
     """``ra`` moved by a full turn when it lies more than half a turn from ``centre``."""
     return (
-        F.when(ra - centre > 180.0, ra - 360.0).when(ra - centre < -180.0, ra + 360.0).otherwise(ra)
+        f"(case when {ra} - {centre} > 180 then {ra} - 360"
+        f" when {ra} - {centre} < -180 then {ra} + 360 else {ra} end)"
     )
 
 
-def in_polygon(x, y, xs: Column, ys: Column, sides: int = 6) -> Column:
-    """Ray crossing test of a point against the closed polygon in the arrays ``xs``, ``ys``."""
-    x, y = _c(x), _c(y)
-    crossings = F.lit(0)
+def in_polygon(x: str, y: str, corners: str, sides: int = 6) -> Column:
+    """Ray crossing test of a point against the closed polygon in the array ``corners``."""
+    crossings = []
     for k in range(sides):
-        x1, y1 = xs[k], ys[k]
-        x2, y2 = xs[(k + 1) % sides], ys[(k + 1) % sides]
-        straddles = (y1 > y) != (y2 > y)
+        a, b = f"{corners}[{k}]", f"{corners}[{(k + 1) % sides}]"
         # the divisor is zero only for a side that cannot straddle
-        at = x1 + (y - y1) * (x2 - x1) / F.when(y2 == y1, F.lit(1.0)).otherwise(y2 - y1)
-        crossings = crossings + F.when(straddles & (x < at), 1).otherwise(0)
-    return crossings % 2 == 1
+        at = f"{a}.x + ({y} - {a}.y) * ({b}.x - {a}.x) / nullif({b}.y - {a}.y, 0D)"
+        crossings.append(f"case when ({a}.y > {y}) <> ({b}.y > {y}) and {x} < {at} then 1 else 0 end")
+    return F.expr(f"({' + '.join(crossings)}) % 2 = 1")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyloom.functions.sky import cell_of, cells_around, separation
+from skyloom.functions.sky import cell_of, cells_around, num, separation
 from skyloom.operators.ordered import join_back, rank_rows
 from skyloom.schema import FIELD_DIAMETER, LIST_COLS
 from skyloom.session import stage
@@ -60,12 +60,17 @@ def connected_labels(edges: DataFrame, list_cols: Sequence[str], max_rounds: int
 
 def _fine_cell(size: float) -> tuple[Column, Column, Column, Column]:
     """Band, bin and centre of a cell at most ``size`` wide and high."""
-    band = F.floor(F.col("dec") / size)
-    inner = F.least(F.abs(band * size), F.abs((band + 1) * size))
-    inner = F.when((band < 0) & (band + 1 > 0), F.lit(0.0)).otherwise(inner)
-    n = F.greatest(F.lit(1), F.ceil(360.0 * F.cos(F.radians(inner)) / size))
-    bin_ = F.least(F.floor(F.pmod(F.col("ra"), F.lit(360.0)) / 360.0 * n), n - 1)
-    return band.cast("bigint"), bin_.cast("bigint"), (bin_ + 0.5) * 360.0 / n, (band + 0.5) * size
+    band = f"floor(dec / {num(size)})"
+    # the parallel of the band that is nearest to the equator
+    inner = f"(case when {band} >= 0 then {band} else -({band} + 1) end * {num(size)})"
+    n = f"greatest(1, ceil(360 * cos(radians({inner})) / {num(size)}))"
+    bin_ = f"least(floor(pmod(ra, 360D) / 360 * {n}), {n} - 1)"
+    return (
+        F.expr(f"cast({band} as bigint)"),
+        F.expr(f"cast({bin_} as bigint)"),
+        F.expr(f"({bin_} + 0.5D) * 360 / {n}"),
+        F.expr(f"({band} + 0.5D) * {num(size)}"),
+    )
 
 
 def _cells(points: DataFrame, size: float, keys: Sequence[str]) -> DataFrame:
@@ -112,8 +117,8 @@ def components(
 
     # pairs of cells that can hold linked points; a coarse cell holds a bounded number of fine ones
     reach = eps * 1.5 + 1e-6
-    left = _side(cells, "a", lists, {}).withColumn("_key", F.explode(cells_around(F.col("a_x"), F.col("a_y"), reach)))
-    right = _side(cells, "b", lists, {}).withColumn("_key", cell_of(F.col("b_x"), F.col("b_y"), reach))
+    left = _side(cells, "a", lists, {}).withColumn("_key", F.explode(cells_around("a_x", "a_y", reach)))
+    right = _side(cells, "b", lists, {}).withColumn("_key", cell_of("b_x", "b_y", reach))
     pairs = (
         left.join(right, [*lists, "_key"]).where("a < b").drop("_key")
         .withColumn("verdict", _verdict(eps, strict)).where("verdict is not null")

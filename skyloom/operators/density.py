@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skyloom.functions.sky import separation
+from skyloom.functions.sky import num, separation_sql
 from skyloom.operators.ordered import join_back
 from skyloom.schema import FIELD_RADIUS, LIST_COLS, SINGLE_EXPTIME, WEIGHTS
 
@@ -78,13 +78,11 @@ def grid_parameters(targets: DataFrame, groups: Sequence[str]) -> DataFrame:
     return ext.select(*groups, "n_targets", *[c.alias(k) for k, c in columns.items()])
 
 
-def grid_indices(centre: Column, reach: Column, origin: Column, step: Column, n: Column) -> Column:
-    """Indices of the grid lines within ``reach`` of a coordinate (may be empty)."""
-    first = F.greatest(F.lit(0), F.ceil((centre - reach - origin) / step)).cast("int")
-    last = F.least(n - 1, F.floor((centre + reach - origin) / step)).cast("int")
-    return F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(
-        F.array().cast("array<int>")
-    )
+def _grid_lines(centre: str, reach: str, axis: str) -> str:
+    """SQL text: indices of the grid lines of an axis within ``reach`` of a coordinate (may be empty)."""
+    first = f"cast(greatest(0, ceil(({centre} - {reach} - {axis}_origin) / {axis}_step)) as int)"
+    last = f"cast(least({axis}_n - 1, floor(({centre} + {reach} - {axis}_origin) / {axis}_step)) as int)"
+    return f"if({first} <= {last}, sequence({first}, greatest({first}, {last})), array())"
 
 
 def density_map(
@@ -99,27 +97,23 @@ def density_map(
     """
     grid = grid if grid is not None else grid_parameters(targets, groups)
     rows = join_back(targets.select(*groups, "ra", "dec", F.col(weight).alias("_w")), grid, groups)
-    reach_ra = F.when(
-        F.abs(F.col("dec")) + bandwidth >= 90.0, F.lit(180.0)
-    ).otherwise(
-        F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(bandwidth)) / F.cos(F.radians("dec")))))
+    h = num(bandwidth)
+    reach = (
+        f"(if(abs(dec) + {h} >= 90, 180D, degrees(asin(least(1D, {num(math.sin(math.radians(bandwidth)))}"
+        f" / cos(radians(dec)))))) + 1e-9D)"
+    )
+    turns = ", ".join(_grid_lines(f"(ra {turn})", reach, "x") for turn in ("- 360", "+ 0", "+ 360"))
+    met = rows.withColumn("iy", F.expr(f"explode({_grid_lines('dec', f'({h} + 1e-9D)', 'y')})")).withColumn(
+        "ix", F.expr(f"explode(array_distinct(concat({turns})))")
     )
-    margin = 1e-9
-    xs = F.array_distinct(F.concat(*[
-        grid_indices(F.col("ra") + turn, reach_ra + margin, F.col("x_origin"), F.col("x_step"), F.col("x_n"))
-        for turn in (-360.0, 0.0, 360.0)
-    ]))
-    ys = grid_indices(F.col("dec"), F.lit(bandwidth + margin), F.col("y_origin"), F.col("y_step"), F.col("y_n"))
-    met = rows.withColumn("iy", F.explode(ys)).withColumn("ix", F.explode(xs))
-    x = F.col("x_origin") + F.col("ix") * F.col("x_step")
-    y = F.col("y_origin") + F.col("iy") * F.col("y_step")
-    value = F.col("_w") * (1.0 - separation(F.col("ra"), F.col("dec"), x, y) / bandwidth)
+    x, y = "(x_origin + ix * x_step)", "(y_origin + iy * y_step)"
+    value = F.expr(f"_w * (1 - {separation_sql('ra', 'dec', x, y)} / {h})")
     return (
         met.withColumn("z", value).where("z > 0")
         .groupBy(*groups, "ix", "iy", "x_origin", "x_step", "y_origin", "y_step")
         .agg(F.sum("z").alias("z"))
         .select(
-            *groups, "ix", "iy", x.alias("ra"), y.alias("dec"), "z",
+            *groups, "ix", "iy", F.expr(x).alias("ra"), F.expr(y).alias("dec"), "z"
         )
     )
 

@@ -12,7 +12,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyloom.functions.sky import sky_pixel
+from skyloom.functions.sky import num, sky_pixel
 from skyloom.operators.ordered import join_back
 from skyloom.schema import (
     ELEVATION,
@@ -75,45 +75,53 @@ def night_calendar(
 
 
 def night_seconds(
-    ra: Column,
-    dec: Column,
-    begin_utc: Column,
-    end_utc: Column,
-    single_exptime: float = SINGLE_EXPTIME,
+    ra: str,
+    dec: str,
+    begin: str,
+    end: str,
+    single_exptime: float | str = SINGLE_EXPTIME,
     mode: str = "first",
     elevation: tuple[float, float] = ELEVATION,
     latitude: float = SITE_LATITUDE,
     longitude: float = SITE_LONGITUDE,
-) -> Column:
-    """Whole seconds of a night in which a position is between the elevation limits.
+) -> str:
+    """SQL text: whole seconds of a night in which a position is between the elevation limits.
 
-    ``first`` counts the first stretch of at least one exposure; ``sum`` counts all stretches.
+    ``begin`` and ``end`` are in seconds since 1970. ``first`` counts the first stretch of at least one
+    exposure; ``sum`` counts all stretches.
     """
     phi = math.radians(latitude)
-    delta = F.radians(dec)
 
-    def limit(angle: float) -> Column:
+    def limit(angle: float) -> str:
         """Hour angle at which the position crosses an elevation, 0 if never above, 180 if never below."""
-        ratio = (math.sin(math.radians(angle)) - math.sin(phi) * F.sin(delta)) / (math.cos(phi) * F.cos(delta))
-        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))))
-
-    low, high = limit(elevation[0]), limit(elevation[1])
-    julian = F.unix_seconds(begin_utc) / 86400.0 + 2440587.5
-    sidereal = 280.46061837 + 360.98564736629 * (julian - 2451545.0) + longitude
-    start = F.pmod(sidereal - ra + 180.0, F.lit(360.0)) - 180.0
-    stop = start + (F.unix_seconds(end_utc) - F.unix_seconds(begin_utc)) / 3600.0 * SIDEREAL_RATE
-    # the path is [-low, low] without the zone (-high, high), seen on this transit and on the next
+        ratio = (
+            f"({num(math.sin(math.radians(angle)))} - {num(math.sin(phi))} * sin(radians({dec})))"
+            f" / ({num(math.cos(phi))} * cos(radians({dec})))"
+        )
+        return f"degrees(acos(greatest(-1D, least(1D, {ratio}))))"
+
+    julian = f"({begin} / 86400D + 2440587.5D)"
+    sidereal = f"280.46061837D + 360.98564736629D * ({julian} - 2451545D) + {num(longitude)}"
+    start = f"(pmod({sidereal} - {ra} + 180, 360D) - 180)"
+    # bind the crossing angles and the night once; the path is [-lo, lo] without the zone (-hi, hi),
+    # seen on this transit and on the next one
+    path = f"named_struct('lo', {limit(elevation[0])}, 'hi', {limit(elevation[1])}, 'a', {start})"
+    night = f"({end} - {begin}) / 3600D * {num(SIDEREAL_RATE)}"
+
+    def stretch(low: str, high: str) -> str:
+        hours = f"greatest(0D, least({high}, p.a + {night}) - greatest({low}, p.a)) / {num(SIDEREAL_RATE)}"
+        return f"floor({hours} * 3600)"
+
     stretches = []
-    for turn in (0.0, 360.0):
-        before = (turn - low, F.when(high > 0, turn - high).otherwise(turn + low))
-        after = (turn + high, F.when(high > 0, turn + low).otherwise(turn + high))
-        for a, b in (before, after):
-            hours = F.greatest(F.lit(0.0), F.least(b, stop) - F.greatest(a, start)) / SIDEREAL_RATE
-            stretches.append(F.floor(hours * 3600.0))
+    for turn in ("0D", "360D"):
+        stretches.append(stretch(f"{turn} - p.lo", f"if(p.hi > 0, {turn} - p.hi, {turn} + p.lo)"))
+        stretches.append(stretch(f"{turn} + p.hi", f"if(p.hi > 0, {turn} + p.lo, {turn} + p.hi)"))
+    pieces = f"transform(array({path}), p -> array({', '.join(stretches)}))[0]"
     if mode == "first":
-        return F.coalesce(*[F.when(s >= single_exptime, s) for s in stretches], F.lit(0).cast("bigint"))
+        least_run = single_exptime if isinstance(single_exptime, str) else num(single_exptime)
+        return f"coalesce(try_element_at(filter({pieces}, s -> s >= {least_run}), 1), 0L)"
     if mode == "sum":
-        return sum(stretches[1:], stretches[0])
+        return f"aggregate({pieces}, 0L, (t, s) -> t + s)"
     raise ValueError("mode must be 'first' or 'sum'")
 
 
@@ -146,23 +154,31 @@ def observable_seconds(
     nights = night_calendar(positions.withColumns({"_b": _day(begin), "_e": _day(end)}), "_b", "_e", calendar)
     return nights.withColumn(
         "seconds",
-        night_seconds(F.col("ra"), F.col("dec"), F.col("begin_utc"), F.col("end_utc"), single_exptime, mode, **site),
+        F.expr(night_seconds("ra", "dec", "unix_seconds(begin_utc)", "unix_seconds(end_utc)", single_exptime, mode, **site)),
     ).drop("_b", "_e", "begin_utc", "end_utc")
 
 
-def total_seconds(
-    ra: Column, dec: Column, begin, end, calendar: str = "all", single_exptime: float | Column = SINGLE_EXPTIME,
-    mode: str = "first", timezone: str = SITE_TIMEZONE, **site,
-) -> Column:
-    """Sum over the nights of a range, inside the row: no rows are made and nothing is shuffled."""
-    return F.aggregate(
+def with_total_seconds(
+    positions: DataFrame, begin, end, calendar: str = "all", single_exptime: float | str = SINGLE_EXPTIME,
+    mode: str = "first", out: str = "seconds", timezone: str = SITE_TIMEZONE, **site,
+) -> DataFrame:
+    """Add the observable seconds summed over a range of nights, inside each row.
+
+    No row is made per night and nothing is shuffled.
+    """
+    nights = F.transform(
         night_dates(_day(begin), _day(end), calendar),
-        F.lit(0).cast("bigint"),
-        lambda acc, d: acc
-        + night_seconds(
-            ra, dec, _at(d, NIGHT_START, timezone), _at(F.date_add(d, 1), NIGHT_END, timezone), single_exptime, mode, **site
+        lambda d: F.struct(
+            F.unix_seconds(_at(d, NIGHT_START, timezone)).alias("b"),
+            F.unix_seconds(_at(F.date_add(d, 1), NIGHT_END, timezone)).alias("e"),
         ),
     )
+    seconds = night_seconds("ra", "dec", "d.b", "d.e", single_exptime, mode, **site)
+    return (
+        positions.withColumn("_nights", nights)
+        .withColumn(out, F.expr(f"aggregate(transform(_nights, d -> {seconds}), 0L, (t, s) -> t + s)"))
+        .drop("_nights")
+    )
 
 
 def visibility_flags(
@@ -184,16 +200,14 @@ def visibility_flags(
     ``begin`` and ``end`` may be columns, so that every list has its own range.
     """
     if grouping == "target":
-        seen = total_seconds(
-            F.col("ra"), F.col("dec"), begin, end, calendar, F.col("exptime"), mode, **site
-        )
-        return targets.withColumn("ok_visible", F.coalesce(seen >= F.col("exptime"), F.lit(False)))
+        seen = with_total_seconds(targets, begin, end, calendar, "exptime", mode, "_seen", **site)
+        return seen.withColumn("ok_visible", F.coalesce(F.col("_seen") >= F.col("exptime"), F.lit(False))).drop("_seen")
     if grouping != "pixel":
         raise ValueError("grouping must be 'pixel' or 'target'")
     carry = [c for c in (begin, end) if isinstance(c, str)]
     pixels = pixel_groups(targets, list_cols, nside, carry)
-    seen = total_seconds(F.col("ra"), F.col("dec"), begin, end, calendar, single_exptime, mode, **site)
-    verdict = pixels.select(*list_cols, "pixel", (seen >= F.col("max_exptime")).alias("ok_visible"))
+    seen = with_total_seconds(pixels, begin, end, calendar, single_exptime, mode, "_seen", **site)
+    verdict = seen.select(*list_cols, "pixel", (F.col("_seen") >= F.col("max_exptime")).alias("ok_visible"))
     rows = targets.withColumn("pixel", sky_pixel("ra", "dec", nside))
     return (
         join_back(rows, verdict, [*list_cols, "pixel"])
