@@ -52,12 +52,12 @@ def target_weight(
     )
 
 
-def grid_parameters(targets: DataFrame, groups: Sequence[str]) -> DataFrame:
+def grid_parameters(targets: DataFrame, groups: Sequence[str], min_step: float = 0.0) -> DataFrame:
     """Per group the map grid: origin, step and number of steps in both directions.
 
     A narrow extent is padded and cut into 100 steps, a wide one (50 degrees or more) uses the fixed
     half-degree grid of the whole sky; both directions decide for themselves, as only a group that is
-    wide in one direction keeps the padded grid in the other.
+    wide in one direction keeps the padded grid in the other. ``min_step`` makes padded grids coarser.
     """
     ext = targets.groupBy(*groups).agg(
         F.min("ra").alias("r0"), F.max("ra").alias("r1"), F.min("dec").alias("d0"), F.max("dec").alias("d1"),
@@ -68,10 +68,13 @@ def grid_parameters(targets: DataFrame, groups: Sequence[str]) -> DataFrame:
         a = F.least(F.col(lo) * 0.9, F.col(lo) - 1.0)
         b = F.greatest(F.col(hi) * 1.1, F.col(hi) + 1.0)
         narrow = (F.col(hi) - F.col(lo)) / STEPS < WIDE_SPAN / STEPS
+        steps = F.lit(STEPS)
+        if min_step:
+            steps = F.greatest(F.lit(1), F.least(steps, F.floor((b - a) / min_step)))
         return {
             f"{name}_origin": F.when(narrow, a).otherwise(wide[0]),
-            f"{name}_step": F.when(narrow, (b - a) / STEPS).otherwise((wide[1] - wide[0]) / wide[2]),
-            f"{name}_n": F.when(narrow, STEPS + 1).otherwise(wide[2] + 1).cast("bigint"),
+            f"{name}_step": F.when(narrow, (b - a) / steps).otherwise((wide[1] - wide[0]) / wide[2]),
+            f"{name}_n": F.when(narrow, steps + 1).otherwise(wide[2] + 1).cast("bigint"),
         }
 
     columns = {**axis("r0", "r1", WIDE_RA, "x"), **axis("d0", "d1", WIDE_DEC, "y")}
@@ -87,7 +90,7 @@ def _grid_lines(centre: str, reach: str, axis: str) -> str:
 
 def density_map(
     targets: DataFrame, groups: Sequence[str], weight: str = "weight", bandwidth: float = FIELD_RADIUS,
-    grid: DataFrame | None = None,
+    grid: DataFrame | None = None, collapse: bool = True,
 ) -> DataFrame:
     """Weighted density on the grid of every group: sum of w (1 - d / bandwidth) over near targets.
 
@@ -96,7 +99,13 @@ def density_map(
     dense group does not gather anywhere.
     """
     grid = grid if grid is not None else grid_parameters(targets, groups)
-    rows = join_back(targets.select(*groups, "ra", "dec", F.col(weight).alias("_w")), grid, groups)
+    # copies of a position count once; as every row is about to become hundreds, the few rows are
+    # spread over a fixed number of tasks that adaptive execution does not merge again
+    spots = targets.select(*groups, "ra", "dec", F.col(weight).alias("_w"))
+    if collapse:
+        spots = spots.groupBy(*groups, "ra", "dec").agg(F.sum("_w").alias("_w"))
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = join_back(spots, grid, groups).repartition(tasks, *groups, "ra", "dec")
     h = num(bandwidth)
     reach = (
         f"(if(abs(dec) + {h} >= 90, 180D, degrees(asin(least(1D, {num(math.sin(math.radians(bandwidth)))}"

@@ -33,7 +33,10 @@ from skyloom.schema import (
 )
 from skyloom.session import scratch_dir, stage
 
-BIN = 0.05  # deg; targets this close count as one point of the density map
+# deg; in a plan, targets this close count as one point of the density map, and peaks are looked for on
+# a grid no finer than this, which is less than the shifts tried for an empty field
+BIN = 0.1
+SHIFT_EVERY = 4  # rounds between two looks at pointings without targets
 
 
 @dataclass
@@ -65,7 +68,7 @@ def separate_peaks(active: DataFrame, groups: Sequence[str], diameter: float = F
     is always among them.
     """
     groups = list(groups)
-    grid = grid_parameters(active, groups)
+    grid = grid_parameters(active, groups, BIN)
     binned = (
         active.groupBy(*groups, F.floor(F.col("ra") / BIN).alias("_x"), F.floor(F.col("dec") / BIN).alias("_y"))
         .agg(F.sum("weight").alias("weight"), F.avg("ra").alias("ra"), F.avg("dec").alias("dec"))
@@ -74,7 +77,7 @@ def separate_peaks(active: DataFrame, groups: Sequence[str], diameter: float = F
     single = (binned.join(alone, groups, "left_semi") if groups else binned.limit(0)).select(
         *groups, "ra", "dec", F.col("weight").alias("z")
     )
-    mapped = density_map(binned, groups, "weight", diameter / 2.0, grid.where("n_targets > 1")).select(
+    mapped = density_map(binned, groups, "weight", diameter / 2.0, grid.where("n_targets > 1"), collapse=False).select(
         *groups, F.pmod("ra", F.lit(360.0)).alias("ra"), "dec", F.round("z", 9).alias("z")
     )
     tile = cell_of("ra", "dec", diameter)
@@ -103,7 +106,6 @@ def _round(active: DataFrame, groups: list[str], number: int, capacity: int, rad
             ),
         }
     ).drop("band", "bin", "z")
-    peaks, _ = stage(peaks, "peaks")
     keep = ("ob_code", "priority", "weight")
 
     def held(pointings: DataFrame) -> DataFrame:
@@ -111,8 +113,10 @@ def _round(active: DataFrame, groups: list[str], number: int, capacity: int, rad
         filled = fill_pointings(inside, groups, capacity).drop("rank")
         return join_back(pointings, filled, [*groups, "ppc_code"])  # empty pointings stay, with a null code
 
-    placed, seen = stage(held(peaks), "round", empty=F.count_if(F.col("ob_code").isNull()))
-    if not seen["empty"]:
+    placed, seen = stage(
+        held(peaks), "round", empty=F.count_if(F.col("ob_code").isNull()), full=F.count("ob_code")
+    )
+    if not seen["empty"] or (seen["full"] and number % SHIFT_EVERY):
         return placed
     # move the empty ones; a pointing that still misses is centred on its heaviest near target
     empty = placed.where("ob_code is null").select(*peaks.columns)
