@@ -386,7 +386,7 @@ def catalog_proposal_join(spark, sf):
 
 @query
 def ambiguous_ids(spark, sf):
-    directories = view(spark, sf, "registry").select("upload_id", F.concat_ws("-", F.col("upload_at").cast("date").cast("string"), "upload_id").alias("directory"))
+    directories = view(spark, sf, "registry").select("upload_id", F.concat_ws("-", F.col("user_id").cast("string"), "upload_id").alias("directory"))
     return catalog.ambiguous_ids(directories)
 
 
