@@ -45,26 +45,31 @@ def list_headers(df: DataFrame, list_cols: Sequence[str] = LIST_COLS) -> DataFra
 
 def check_columns(headers: DataFrame, list_cols: Sequence[str] = LIST_COLS, header: str = "header") -> DataFrame:
     """Required and optional columns of every list: status, found and missing names, messages."""
+    return with_column_check(headers.select(*list_cols, F.col(header).alias("header"))).drop("header")
+
+
+def with_column_check(lists: DataFrame) -> DataFrame:
+    """Add the column check of the array ``header`` to a table of lists."""
 
     def names(xs):
         return F.array(*[F.lit(x) for x in xs])
 
+    def sentences(column, pattern):
+        return F.transform(F.col(column), lambda c: F.format_string(pattern, c))
+
     default = F.create_map(
         *[F.lit(x) for c in OPTIONAL for x in (c, _default_text(OPTIONAL_DEFAULTS[c]))]
     )
-    have = F.col(header)
-    out = headers.select(
-        *list_cols,
-        F.array_intersect(names(REQUIRED), have).alias("required_found"),
-        F.array_except(names(REQUIRED), have).alias("required_missing"),
-        F.array_intersect(names(OPTIONAL), have).alias("optional_found"),
-        F.array_except(names(OPTIONAL), have).alias("optional_missing"),
+    have = F.col("header")
+    found = lists.withColumns(
+        {
+            "required_found": F.array_intersect(names(REQUIRED), have),
+            "required_missing": F.array_except(names(REQUIRED), have),
+            "optional_found": F.array_intersect(names(OPTIONAL), have),
+            "optional_missing": F.array_except(names(OPTIONAL), have),
+        }
     )
-
-    def sentences(column, pattern):
-        return F.transform(F.col(column), lambda c: F.format_string(pattern, c))
-
-    return out.withColumns(
+    return found.withColumns(
         {
             "required_ok": F.size("required_missing") == 0,
             "optional_ok": F.size("optional_missing") == 0,

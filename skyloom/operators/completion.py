@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from skyloom.operators.ordered import join_back, nth_position, rank_rows, running_sum
+from skyloom.operators.ordered import join_back, rank_rows, running_sum
 from skyloom.schema import LIST_COLS, SINGLE_EXPTIME
 
 
@@ -59,44 +59,36 @@ def completion_curve(
     the number of complete targets (``n``) and both in per cent of the list. No pointings, no rows.
     """
     lists = list(list_cols)
+    top = pointings.agg(F.max("ppc_id")).first()[0]  # ranked pointings are a staged table
     need = targets.select(*lists, "ob_code", "priority", "frames")
     links = (
-        bridge.select(*lists, "ppc_code", "ob_code").distinct()
+        bridge.select(*lists, "ppc_code", "ob_code").distinct().withColumn("_one", F.lit(1))
         .join(pointings.select(*lists, "ppc_code", "ppc_id"), [*lists, "ppc_code"])
         .join(need, [*lists, "ob_code"])
     )
-    assigned = links.groupBy(*lists, "ppc_id", "priority").agg(F.count(F.lit(1)).alias("a"))
-    done_at = nth_position(links, [*lists, "ob_code", "priority"], "ppc_id", "frames", "ppc_id")
-    done = done_at.groupBy(*lists, "ppc_id", "priority").agg(F.count(F.lit(1)).alias("d"))
+    # a target is complete with its visit number ``frames``
+    visits = running_sum(links, [*lists, "ob_code"], "ppc_id", {"_one": "_visit"}, top)
+    steps = visits.groupBy(*lists, "ppc_id", "priority").agg(
+        F.count(F.lit(1)).alias("a"), F.count_if(F.col("_visit") == F.col("frames")).alias("d")
+    )
 
     # all further tables have at most (pointings x priorities) rows
-    classes = targets.groupBy(*lists).agg(F.sort_array(F.collect_set("priority")).alias("_p"))
-    grid = join_back(pointings.select(*lists, "ppc_id"), classes, lists).select(
-        *lists,
-        "ppc_id",
-        F.explode(
-            F.concat(F.array(F.lit("all")), F.transform("_p", lambda p: p.cast("string")))
-        ).alias("priority"),
-        F.lit(0).cast("bigint").alias("a"),
-        F.lit(0).cast("bigint").alias("d"),
-    )
-    zero = F.lit(0).cast("bigint")
-    steps = assigned.withColumn("d", zero).unionByName(done.withColumn("a", zero)).select(
-        *lists,
-        "ppc_id",
-        F.explode(F.array(F.col("priority").cast("string"), F.lit("all"))).alias("priority"),
-        "a",
-        "d",
+    per_class = targets.groupBy(*lists, "priority").agg(
+        F.sum("exptime_req").alias("_s"), F.count(F.lit(1)).alias("_c")
     )
-    dense = grid.unionByName(steps).groupBy(*lists, "ppc_id", "priority").agg(
-        F.sum("a").alias("a"), F.sum("d").alias("d")
+    own_and_all = F.explode(F.array(F.col("priority").cast("string"), F.lit("all"))).alias("priority")
+    totals = per_class.select(*lists, own_and_all, "_s", "_c").groupBy(*lists, "priority").agg(
+        F.sum("_s").alias("_s"), F.sum("_c").alias("_c")
     )
-    summed = running_sum(dense, [*lists, "priority"], "ppc_id", {"a": "_a", "d": "_d"})
-    totals = (
-        targets.groupBy(*lists, "priority").agg(F.sum("exptime_req").alias("_s"), F.count(F.lit(1)).alias("_c"))
-        .select(*lists, F.explode(F.array(F.col("priority").cast("string"), F.lit("all"))).alias("priority"), "_s", "_c")
-        .groupBy(*lists, "priority").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    zero = F.lit(0).cast("bigint")
+    classes = totals.groupBy(*lists).agg(F.collect_set("priority").alias("_p"))
+    grid = join_back(pointings.select(*lists, "ppc_id"), classes, lists).select(
+        *lists, "ppc_id", F.explode("_p").alias("priority"), zero.alias("a"), zero.alias("d")
     )
+    dense = grid.unionByName(steps.select(*lists, "ppc_id", own_and_all, "a", "d")).groupBy(
+        *lists, "ppc_id", "priority"
+    ).agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
+    summed = running_sum(dense, [*lists, "priority"], "ppc_id", {"a": "_a", "d": "_d"}, top)
     hours = F.col("_a") * F.lit(float(single_exptime)) / 3600.0
     return summed.join(totals, [*lists, "priority"]).select(
         *lists,

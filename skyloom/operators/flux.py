@@ -80,17 +80,24 @@ def flux_status(resolved: DataFrame, list_cols: Sequence[str] = LIST_COLS) -> Da
     )
 
 
+def _used(name: str) -> Column:
+    return F.max(F.when(F.col(f"filter_{BAND_OF[name]}") == name, name))
+
+
+def used_filters() -> tuple[list[Column], Column]:
+    """Aggregates, one maximum per known filter, and the sorted array of names made of them.
+
+    The state is bounded, and combined before the shuffle.
+    """
+    names = list(BAND_OF)
+    aggs = [_used(n).alias(f"_used_{n}") for n in names]
+    return aggs, F.array_sort(F.array_compact(F.array(*[F.col(f"_used_{n}") for n in names])))
+
+
 def filters_in_use(resolved: DataFrame, list_cols: Sequence[str] = LIST_COLS) -> DataFrame:
     """Sorted names of the filters that were chosen at least once in a list."""
-    # one maximum per known filter: bounded state, and combined before the shuffle
-    names = [n for names in FILTERS.values() for n in names]
-    per_name = [
-        F.max(F.when(F.col(f"filter_{BAND_OF[n]}") == n, n)).alias(f"_{n}") for n in names
-    ]
-    found = resolved.groupBy(*list_cols).agg(*per_name)
-    return found.select(
-        *list_cols, F.array_sort(F.array_compact(F.array(*[F.col(f"_{n}") for n in names]))).alias("filters")
-    )
+    aggs, names = used_filters()
+    return resolved.groupBy(*list_cols).agg(*aggs).select(*list_cols, names.alias("filters"))
 
 
 def skipped_fluxes(resolved: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -29,18 +29,18 @@ def rank_rows(
 ) -> DataFrame:
     """Add the 1-based position of every row in its group. ``order`` has to be unique in a group.
 
-    One small job counts the largest group. Up to ``window_rows`` a window does the work; beyond that
-    the rows are range-partitioned over all groups, so that a group spreads over many tasks, and the
+    The rows are staged and counted in one job. Up to ``window_rows`` rows a window does the work; beyond
+    that the rows are range-partitioned over all groups, so that a group spreads over many tasks, and the
     position follows from the row counts of the partitions.
     """
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    staged, seen = stage(df, "unranked", n=F.count(F.lit(1)))
+    if seen["n"] <= window_rows:
+        return staged.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     keys = [F.col(c) for c in by]
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered, _ = stage(
-        df.repartitionByRange(int(parts), *keys, *order)
+        staged.repartitionByRange(int(parts), *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumns({"_part": F.spark_partition_id(), "_at": in_partition}),
         "ranked",
@@ -65,50 +65,36 @@ def running_sum(
     by: Sequence[str],
     position: str,
     values: Mapping[str, str],
+    top: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Running sums along a dense integer ``position``: ``values`` maps input to output column.
+    """Running sums along an integer ``position``: ``values`` maps input to output column.
 
     Positions are cut into blocks; the sum before a block comes from the block totals, so that a window
-    task holds at most one block of one group, or one row per block.
+    task holds at most one block of one group, or one row per block. ``top`` is the largest position if
+    it is known: no more than a block of positions needs one window only. Positions have to be unique in
+    a group.
     """
+    if top is not None and top <= block:
+        along = W.partitionBy(*by).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({o: F.sum(v).over(along) for v, o in values.items()})
     blocked = df.withColumn("_block", F.floor(F.col(position) / block))
     before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     totals = (
-        blocked.groupBy(*by, "_block").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+        blocked.groupBy(*by, "_block").agg(*[F.sum(v).alias(f"_t_{i}") for i, v in enumerate(values)])
         .select(
             *by,
             "_block",
-            *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values],
+            *[F.coalesce(F.sum(f"_t_{i}").over(before), F.lit(0)).alias(f"_b_{i}") for i in range(len(values))],
         )
     )
     inside = W.partitionBy(*by, "_block").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    out = blocked.withColumns({f"_i_{v}": F.sum(v).over(inside) for v in values}).join(
+    out = blocked.withColumns({f"_i_{i}": F.sum(v).over(inside) for i, v in enumerate(values)}).join(
         totals, [*by, "_block"]
     )
-    return out.withColumns({o: F.col(f"_b_{v}") + F.col(f"_i_{v}") for v, o in values.items()}).drop(
-        "_block", *[f"_i_{v}" for v in values], *[f"_b_{v}" for v in values]
-    )
-
-
-def nth_position(
-    df: DataFrame, by: Sequence[str], position: str, nth: str, out: str, block: int = BLOCK
-) -> DataFrame:
-    """Per group the ``nth``-smallest position (``nth`` is constant in a group); absent if too few.
-
-    Only the block of positions in which the wanted row falls is ranked.
-    """
-    blocked = df.select(*by, position, nth, F.floor(F.col(position) / block).alias("_block"))
-    inside = W.partitionBy(*by, "_block").orderBy(position)
-    ranked = blocked.withColumn("_rank", F.row_number().over(inside))
-    counts = blocked.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"), F.max(nth).alias("_nth"))
-    before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    wanted = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .where((F.col("_before") < F.col("_nth")) & (F.col("_nth") <= F.col("_before") + F.col("_n")))
-        .select(*by, "_block", (F.col("_nth") - F.col("_before")).alias("_rank"))
-    )
-    return ranked.join(wanted, [*by, "_block", "_rank"]).select(*by, F.col(position).alias(out))
+    return out.withColumns(
+        {o: F.col(f"_b_{i}") + F.col(f"_i_{i}") for i, o in enumerate(values.values())}
+    ).drop("_block", *[f"_{k}_{i}" for k in "bi" for i in range(len(values))])
 
 
 def top_rows(
@@ -131,7 +117,5 @@ def top_rows(
     local = salted.withColumn(
         "_rank", F.row_number().over(W.partitionBy(*by, "_salt").orderBy(*order))
     ).where(F.col("_rank") <= limit)
-    final = local.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    return final.where(F.col("_rank") <= (k if isinstance(k, Column) else F.lit(k))).drop("_salt").withColumnRenamed(
-        "_rank", "rank"
-    )
+    final = local.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return final.where(F.col("rank") <= (k if isinstance(k, Column) else F.lit(k))).drop("_salt", "_rank")

@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.operators.checks import (
     VALUE_COLUMNS,
-    check_columns,
     keep_registered,
-    list_headers,
     string_flags,
     unique_flags,
     value_flags,
+    with_column_check,
 )
-from skyloom.operators.flux import filters_in_use, resolve_flux
+from skyloom.operators.flux import resolve_flux, used_filters
 from skyloom.operators.ordered import join_back
 from skyloom.operators.visibility import visibility_flags
 from skyloom.schema import LIST_COLS, PIXEL_NSIDE, REQUIRED, SINGLE_EXPTIME
@@ -63,14 +62,27 @@ def flag_rows(
     return unique_flags(seen, list_cols)
 
 
-def list_results(flagged: DataFrame, columns: DataFrame, list_cols: Sequence[str] = LIST_COLS) -> DataFrame:
-    """One row per list: status of every stage (null if not reached), counts and the overall label."""
+def list_results(
+    flagged: DataFrame, header: Column, list_cols: Sequence[str] = LIST_COLS, lists: DataFrame | None = None
+) -> DataFrame:
+    """One row per list: status of every stage (null if not reached), counts and the overall label.
+
+    ``header`` gives the array of a list's column names as an aggregate. One pass over the rows yields
+    everything. ``lists`` adds lists that have no row; they fail.
+    """
     flags = ["ok_str", *VALUE_FLAGS, *LATE_FLAGS]
+    aggs, names = used_filters() if "filter_g" in flagged.columns else ([], F.array().cast("array<string>"))
     counted = flagged.groupBy(*list_cols).agg(
         F.count(F.lit(1)).alias("n_rows"),
+        header.alias("header"),
         *[F.count_if(~F.col(f)).alias(f"n_bad_{f.removeprefix('ok_')}") for f in flags],
-    )
-    base = join_back(columns, counted, list_cols) if list_cols else columns.crossJoin(F.broadcast(counted))
+        *aggs,
+    ).withColumn("filters", names)
+    if lists is not None:
+        counted = lists.select(*list_cols, F.col("header").alias("_given")).join(counted, list(list_cols), "left").withColumn(
+            "header", F.coalesce("header", "_given")
+        )
+    base = with_column_check(counted)
     have = F.coalesce(F.col("n_rows"), F.lit(0)) > 0
 
     def stage_status(reached: Column, ok: Column) -> Column:
@@ -116,9 +128,9 @@ def mask_rows(flagged: DataFrame, results: DataFrame, list_cols: Sequence[str] =
     return rows.withColumns(masks).drop("_str", "_values", "_late")
 
 
-def report_rows(results: DataFrame, filters: DataFrame, list_cols: Sequence[str] = LIST_COLS) -> DataFrame:
+def report_rows(results: DataFrame, list_cols: Sequence[str] = LIST_COLS) -> DataFrame:
     """The report in long form: check, severity (error, warning, info), status, n_bad and detail."""
-    rows = join_back(results, filters, list_cols)
+    rows = results
 
     def entry(check: str, severity: Column, status: Column, n_bad: Column, detail: Column) -> Column:
         return F.when(
@@ -165,22 +177,22 @@ def validate(
     date_end,
     list_cols: Sequence[str] = LIST_COLS,
     header: str | None = None,
+    lists: DataFrame | None = None,
     **options,
 ) -> Validation:
-    """Validate every list of ``targets``. ``header`` names an array column with the columns of each list."""
-    if header:
-        headers = targets.groupBy(*list_cols).agg(F.max(header).alias("header"))
-    else:
-        headers = list_headers(targets, list_cols)
-    columns = check_columns(headers, list_cols)
+    """Validate every list of ``targets``.
+
+    ``header`` names an array column with the columns of each list. ``lists`` (list columns and ``header``)
+    names the lists to report on even if they have no row.
+    """
+    names = [c for c in targets.columns if c not in list_cols]
+    of_list = F.max(header) if header else F.max(F.array(*[F.lit(c) for c in names]))
     lacking = [c for c in REQUIRED if c not in targets.columns]
     if lacking:  # no list can get past the first stage, and the flags have no columns to stand on
         flagged = targets.withColumns(
             {f: F.lit(None).cast("boolean") for f in ["ok_str", *VALUE_FLAGS, *LATE_FLAGS]}
         )
-        filters = flagged.groupBy(*list_cols).agg(F.array().cast("array<string>").alias("filters"))
     else:
         flagged = flag_rows(targets, date_begin, date_end, list_cols, header, **options)
-        filters = filters_in_use(flagged, list_cols)
-    results = list_results(flagged, columns, list_cols)
-    return Validation(mask_rows(flagged, results, list_cols), results, report_rows(results, filters, list_cols))
+    results = list_results(flagged, of_list, list_cols, lists)
+    return Validation(mask_rows(flagged, results, list_cols), results, report_rows(results, list_cols))
