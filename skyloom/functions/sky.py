@@ -126,12 +126,25 @@ def near_sql(ra: str, centre: str) -> str:
     )
 
 
-def in_polygon(x: str, y: str, corners: str, sides: int = 6) -> Column:
-    """Ray crossing test of a point against the closed polygon in the array ``corners``."""
-    crossings = []
+def polygon_sides(corners: str, prefix: str, sides: int = 6) -> dict[str, Column]:
+    """The sides of a polygon as plain columns: start (x, y) and inverse slope (s), null if level."""
+    out = {}
     for k in range(sides):
         a, b = f"{corners}[{k}]", f"{corners}[{(k + 1) % sides}]"
-        # the divisor is zero only for a side that cannot straddle
-        at = f"{a}.x + ({y} - {a}.y) * ({b}.x - {a}.x) / nullif({b}.y - {a}.y, 0D)"
-        crossings.append(f"case when ({a}.y > {y}) <> ({b}.y > {y}) and {x} < {at} then 1 else 0 end")
+        out[f"{prefix}x{k}"] = F.expr(f"{a}.x")
+        out[f"{prefix}y{k}"] = F.expr(f"{a}.y")
+        out[f"{prefix}s{k}"] = F.expr(f"({b}.x - {a}.x) / nullif({b}.y - {a}.y, 0D)")
+    return out
+
+
+def in_polygon(x: str, y: str, prefix: str, sides: int = 6) -> Column:
+    """Ray crossing test of a point against the closed polygon of :func:`polygon_sides`."""
+    crossings = []
+    for k in range(sides):
+        xk, yk, sk = (f"{prefix}{c}{k}" for c in "xys")
+        following = f"{prefix}y{(k + 1) % sides}"
+        # a level side has no slope, and cannot straddle
+        crossings.append(
+            f"case when ({yk} > {y}) <> ({following} > {y}) and {x} < {xk} + ({y} - {yk}) * {sk} then 1 else 0 end"
+        )
     return F.expr(f"({' + '.join(crossings)}) % 2 = 1")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from skyloom.operators.ordered import join_back, top_rows
+from skyloom.operators.ordered import join_back, spread_for, top_rows
 from skyloom.operators.spatial import targets_in_fields
 from skyloom.schema import LIST_COLS, N_CALIBRATION, N_FIBERS
 from skyloom.session import stage
@@ -29,13 +29,17 @@ def preference() -> list:
 
 
 def fill_pointings(
-    candidates: DataFrame, list_cols: Sequence[str] = LIST_COLS, capacity: int = CAPACITY
+    candidates: DataFrame, list_cols: Sequence[str] = LIST_COLS, capacity: int = CAPACITY,
+    n_targets: int | None = None,
 ) -> DataFrame:
     """One visit: at most ``capacity`` targets per pointing, with their ``rank``.
 
-    ``candidates`` has ``ppc_code, ob_code, priority, weight``.
+    ``candidates`` has ``ppc_code, ob_code, priority, weight``; ``n_targets``, if known, bounds the number
+    of candidates of one pointing.
     """
-    return top_rows(candidates, [*list_cols, "ppc_code"], preference(), capacity, "ob_code")
+    return top_rows(
+        candidates, [*list_cols, "ppc_code"], preference(), capacity, "ob_code", spread_for(n_targets)
+    )
 
 
 def shift_empty_pointings(
@@ -79,7 +83,7 @@ def shift_empty_pointings(
 
 
 def _visit_rounds(
-    cover: DataFrame, taken: DataFrame | None, keys: list[str], capacity: int, max_rounds: int
+    cover: DataFrame, taken: DataFrame | None, keys: list[str], capacity: int, max_rounds: int, n_pairs: int
 ) -> DataFrame:
     """Hand out visits in rounds; every target asks for what it still needs, every pointing takes what fits."""
     pair = [*keys, "ppc_code", "ob_code"]
@@ -101,7 +105,7 @@ def _visit_rounds(
         wish = W.partitionBy(*keys, "ob_code").orderBy(F.xxhash64("ob_code", "ppc_code"), "ppc_code")
         wished = open_pairs.withColumn("_w", F.row_number().over(wish)).where("_w <= _need")
         placed = top_rows(
-            wished, [*keys, "ppc_code"], preference(), F.col("_free"), "ob_code", bound=capacity
+            wished, [*keys, "ppc_code"], preference(), F.col("_free"), "ob_code", spread_for(n_pairs), bound=capacity
         ).select(*pair)
         placed, seen = stage(placed, "visits", n=F.count(F.lit(1)))
         taken = placed if taken is None else stage(taken.unionByName(placed), "taken")[0]
@@ -132,7 +136,8 @@ def assign_visits(
         pairs.join(enough.select(*keys, "ob_code"), [*keys, "ob_code"], "left_semi"), "cover", n=F.count(F.lit(1))
     )
     links = cover.limit(0).select(*keys, "ppc_code", "ob_code")
-    if not seen["n"]:
+    n_pairs = seen["n"]
+    if not n_pairs:
         return links
     need = targets.select(*keys, "ob_code", "frames")
 
@@ -144,9 +149,9 @@ def assign_visits(
         )
         return kept, seen["n"]
 
-    taken = _visit_rounds(cover, None, keys, capacity, max_rounds)
+    taken = _visit_rounds(cover, None, keys, capacity, max_rounds, n_pairs)
     total = taken.count()
     kept, n = complete(taken)
     if n < total:
-        kept, _ = complete(_visit_rounds(cover, kept, keys, capacity, max_rounds))
+        kept, _ = complete(_visit_rounds(cover, kept, keys, capacity, max_rounds, n_pairs))
     return kept.select(*keys, "ppc_code", "ob_code")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyloom.operators.ordered import join_back
+from skyloom.operators.ordered import look_up
 from skyloom.schema import (
     ARMS,
     FORBIDDEN_ARMS,
@@ -152,7 +152,7 @@ def value_flags(
     known_arm = _true(F.col("reference_arm").isin(ARMS))
     if arm_scope == "list":
         pairs = df.groupBy(*list_cols).agg(F.bool_or(bad_pair).alias("_bad_pair"))
-        df = join_back(df, pairs, list_cols)
+        df = look_up(df, pairs, list_cols)
         bad_pair = F.coalesce(F.col("_bad_pair"), F.lit(False))
     elif arm_scope != "row":
         raise ValueError("arm_scope must be 'row' or 'list'")
@@ -174,23 +174,27 @@ def value_flags(
 # --- uniqueness -------------------------------------------------------------------
 
 
-def unique_flags(df: DataFrame, list_cols: Sequence[str] = LIST_COLS) -> DataFrame:
+def unique_flags(
+    df: DataFrame, list_cols: Sequence[str] = LIST_COLS, source: DataFrame | None = None
+) -> DataFrame:
     """Flag all rows of a repeated ``ob_code`` and of a repeated (``obj_id``, ``resolution``).
 
     The copies are counted with a partial aggregation before any shuffle, and only the repeated keys
-    come back to the rows, so that a key with very many copies never gathers in one task.
+    come back to the rows, so that a key with very many copies never gathers in one task. ``source`` may
+    name the plain rows behind ``df``, for a cheaper count.
     """
+    source = df if source is None else source
     code = [*list_cols, "ob_code"]
     pair = [*list_cols, "obj_id", "resolution"]
 
     def repeated(keys, flag):
         return (
-            df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
             .select(*keys, F.lit(True).alias(flag))
         )
 
-    out = join_back(df, repeated(code, "_dup_code"), code)
-    out = join_back(out, repeated(pair, "_dup_pair"), pair)
+    out = look_up(df, repeated(code, "_dup_code"), code)
+    out = look_up(out, repeated(pair, "_dup_pair"), pair)
     return out.withColumns(
         {
             "ok_code": F.col("_dup_code").isNull(),

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyloom.functions.sky import num, separation_sql
-from skyloom.operators.ordered import join_back
+from skyloom.operators.ordered import join_back, look_up
+from skyloom.session import stage
 from skyloom.schema import FIELD_RADIUS, LIST_COLS, SINGLE_EXPTIME, WEIGHTS
 
 # --- fixed values: the count cells cover declinations from -40 in 131 rows; the wide grids ---
@@ -33,7 +34,7 @@ def local_density(targets: DataFrame, list_cols: Sequence[str] = LIST_COLS, wrap
     """Add ``local_count``: the number of targets in the same 1 x 1 degree cell."""
     rows = targets.withColumn("_cell", count_cell(F.col("ra"), F.col("dec"), wrap))
     counts = rows.groupBy(*list_cols, "_cell").agg(F.count(F.lit(1)).alias("local_count"))
-    return join_back(rows.drop("local_count"), counts, [*list_cols, "_cell"]).drop("_cell")
+    return look_up(rows.drop("local_count"), counts, [*list_cols, "_cell"]).drop("_cell")
 
 
 def target_weight(
@@ -153,8 +154,9 @@ def density_peak(
     Among equal points (to ``digits`` decimals) the middle one in (ra, dec) order is taken. A group of
     one target peaks at that target, without a significance.
     """
-    grid = grid_parameters(targets, groups)
+    grid, _ = stage(grid_parameters(targets, groups), "grid")
     density = density_map(targets, groups, weight, bandwidth, grid)
+    density, _ = stage(density, "density")  # read three times below, and at most a grid per group
     marked = map_significance(density, grid, groups).withColumn("_z", F.round("z", digits))
     top = marked.groupBy(*groups).agg(F.max("_z").alias("_max"))
     ties = join_back(marked, top, groups).where(F.col("_z") == F.col("_max"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from skyloom.session import stage
 
 WINDOW_ROWS = 1_000_000
+SPREAD = 256
 BLOCK = 65_536
 
 
@@ -24,6 +25,16 @@ def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataF
     return rows.join(per_key, list(keys), "left")
 
 
+def look_up(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`join_back` with a table that is usually far smaller than ``rows``.
+
+    The table is computed and stored first, from the few columns it needs. Spark then knows its size when
+    it plans the join: a table below the broadcast threshold goes to the rows, which are not shuffled at
+    all, and a larger one is merged by key.
+    """
+    return join_back(rows, stage(per_key, "lookup")[0], keys)
+
+
 def rank_rows(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, window_rows: int = WINDOW_ROWS
 ) -> DataFrame:
@@ -97,25 +108,34 @@ def running_sum(
     ).drop("_block", *[f"_{k}_{i}" for k in "bi" for i in range(len(values))])
 
 
+def spread_for(n_rows: int | None) -> int:
+    """Parts into which a group of at most ``n_rows`` rows is cut; unknown sizes get the most parts."""
+    return SPREAD if n_rows is None else max(1, min(SPREAD, -(-n_rows // WINDOW_ROWS)))
+
+
 def top_rows(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     k: int | Column,
     spread_on: str,
-    spread: int = 64,
+    spread: int = SPREAD,
     bound: int | None = None,
 ) -> DataFrame:
     """The first ``k`` rows of every group. ``order`` has to be unique in a group.
 
     A group is first cut into ``spread`` parts that each keep their first rows, so that the final
-    ranking of a group sees at most ``spread`` times the limit however large the group is. ``bound`` is
-    a constant upper limit when ``k`` is a column.
+    ranking of a group sees at most ``spread`` times the limit however large the group is; with
+    ``spread=1`` groups are known to be moderate. ``bound`` is a constant upper limit when ``k`` is a
+    column.
     """
     limit = bound if bound is not None else int(k)
+    last = F.col("rank") <= (k if isinstance(k, Column) else F.lit(k))
+    if spread == 1:
+        return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(last)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(spread)))
     local = salted.withColumn(
         "_rank", F.row_number().over(W.partitionBy(*by, "_salt").orderBy(*order))
     ).where(F.col("_rank") <= limit)
     final = local.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    return final.where(F.col("rank") <= (k if isinstance(k, Column) else F.lit(k))).drop("_salt", "_rank")
+    return final.where(last).drop("_salt", "_rank")

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.functions.sky import num, sky_pixel
-from skyloom.operators.ordered import join_back
+from skyloom.operators.ordered import look_up
 from skyloom.schema import (
     ELEVATION,
     LIST_COLS,
@@ -191,13 +191,15 @@ def visibility_flags(
     nside: int = PIXEL_NSIDE,
     calendar: str = "all",
     mode: str = "first",
+    source: DataFrame | None = None,
     **site,
 ) -> DataFrame:
     """Add ``ok_visible``: is a target observable long enough between two dates.
 
     ``pixel`` decides once per sky pixel, with the longest exposure in it; ``target`` decides for every
     position with its own exposure, which is then also the shortest stretch that counts in a night.
-    ``begin`` and ``end`` may be columns, so that every list has its own range.
+    ``begin`` and ``end`` may be columns, so that every list has its own range. ``source`` may name the
+    plain rows behind ``targets``, for a cheaper grouping.
     """
     if grouping == "target":
         seen = with_total_seconds(targets, begin, end, calendar, "exptime", mode, "_seen", **site)
@@ -205,12 +207,14 @@ def visibility_flags(
     if grouping != "pixel":
         raise ValueError("grouping must be 'pixel' or 'target'")
     carry = [c for c in (begin, end) if isinstance(c, str)]
-    pixels = pixel_groups(targets, list_cols, nside, carry)
+    pixels = pixel_groups(targets if source is None else source, list_cols, nside, carry)
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pixels = pixels.repartition(tasks, *list_cols, "pixel")  # few rows with much work each
     seen = with_total_seconds(pixels, begin, end, calendar, single_exptime, mode, "_seen", **site)
     verdict = seen.select(*list_cols, "pixel", (F.col("_seen") >= F.col("max_exptime")).alias("ok_visible"))
     rows = targets.withColumn("pixel", sky_pixel("ra", "dec", nside))
     return (
-        join_back(rows, verdict, [*list_cols, "pixel"])
+        look_up(rows, verdict, [*list_cols, "pixel"])
         .withColumn("ok_visible", F.coalesce("ok_visible", F.lit(False)))
         .drop("pixel")
     )

@@ -96,7 +96,9 @@ def separate_peaks(active: DataFrame, groups: Sequence[str], diameter: float = F
     )
 
 
-def _round(active: DataFrame, groups: list[str], number: int, capacity: int, radius: float) -> DataFrame:
+def _round(
+    active: DataFrame, n_active: int, groups: list[str], number: int, capacity: int, radius: float
+) -> DataFrame:
     """Pointings of one round with their targets: one row per pointing and target."""
     peaks = separate_peaks(active, groups, 2.0 * radius).withColumns(
         {
@@ -110,7 +112,7 @@ def _round(active: DataFrame, groups: list[str], number: int, capacity: int, rad
 
     def held(pointings: DataFrame) -> DataFrame:
         inside = targets_in_fields(active, pointings, groups, radius, target_keep=keep)
-        filled = fill_pointings(inside, groups, capacity).drop("rank")
+        filled = fill_pointings(inside, groups, capacity, n_active).drop("rank")
         return join_back(pointings, filled, [*groups, "ppc_code"])  # empty pointings stay, with a null code
 
     placed, seen = stage(
@@ -168,7 +170,7 @@ def find_pointings(
     for number in range(max_rounds):
         if not seen["n"]:
             break
-        placed = _round(active, groups, number, capacity, radius)
+        placed = _round(active, seen["n"], groups, number, capacity, radius)
         placed = placed.select(
             *groups, F.concat(F.lit(prefix), F.col("ppc_code")).alias("ppc_code"), "ppc_ra", "ppc_dec", "ppc_pa", "ob_code"
         ).where("ob_code is not null")

@@ -23,6 +23,7 @@ from skyloom.operators.flux import resolve_flux, used_filters
 from skyloom.operators.ordered import join_back
 from skyloom.operators.visibility import visibility_flags
 from skyloom.schema import LIST_COLS, PIXEL_NSIDE, REQUIRED, SINGLE_EXPTIME
+from skyloom.session import stage
 
 LATE_FLAGS = ["ok_flux", "ok_visible", "ok_code", "ok_pair", "ok_unique"]
 VALUE_FLAGS = [f"ok_{c}" for c in VALUE_COLUMNS] + ["ok_values"]
@@ -57,9 +58,9 @@ def flag_rows(
     checked = value_flags(string_flags(targets), list_cols, arm_scope)
     resolved = resolve_flux(checked, header)
     seen = visibility_flags(
-        resolved, date_begin, date_end, list_cols, grouping, single_exptime, nside, calendar
+        resolved, date_begin, date_end, list_cols, grouping, single_exptime, nside, calendar, source=targets
     )
-    return unique_flags(seen, list_cols)
+    return unique_flags(seen, list_cols, source=targets)
 
 
 def list_results(
@@ -194,5 +195,6 @@ def validate(
         )
     else:
         flagged = flag_rows(targets, date_begin, date_end, list_cols, header, **options)
-    results = list_results(flagged, of_list, list_cols, lists)
+    # one row per list; the masks, the status and the report all start from it
+    results, _ = stage(list_results(flagged, of_list, list_cols, lists), "results")
     return Validation(mask_rows(flagged, results, list_cols), results, report_rows(results, list_cols))

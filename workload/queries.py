@@ -12,6 +12,7 @@ from skyloom.functions.timing import frames_in_hours, request_hours, semester_be
 from skyloom.operators import allocation, catalog, checks, cluster, completion, density, flux, registry, reports, spatial, visibility
 from skyloom.operators.ordered import rank_rows
 from skyloom.plans import pointing_plan, validation
+from skyloom.session import stage
 from workload.views import table, view
 
 LISTS = ["list_no"]
@@ -602,10 +603,11 @@ def _flat_weights(spark, sf):
 
 @query
 def topk_allocation(spark, sf):
+    weighted, _ = stage(_flat_weights(spark, sf), "weighted")
     inside = spatial.targets_in_fields(
-        _flat_weights(spark, sf), view(spark, sf, "pointings"), [], target_keep=("ob_code", "priority", "weight")
+        weighted, view(spark, sf, "pointings"), [], target_keep=("ob_code", "priority", "weight")
     )
-    out = allocation.fill_pointings(inside, [], capacity=100)
+    out = allocation.fill_pointings(inside, [], capacity=100, n_targets=table(spark, sf, "orders").count())
     return out.select("ppc_code", "ob_code", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -48,7 +48,17 @@ select substring(md5(cast(case when event_id % 50 = 49 then event_id - 1 else ev
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # a table in fewer pieces than there are cores is spread out once; a large one is left as it is
+    cores = spark.sparkContext.defaultParallelism
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _pieces:
+        files = len(df.inputFiles())
+        _pieces[key] = files if files >= cores else df.rdd.getNumPartitions()
+    return df.repartition(cores) if _pieces[key] < cores else df
+
+
+_pieces: dict[tuple[str, str, str], int] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
