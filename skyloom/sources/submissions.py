@@ -81,7 +81,7 @@ def load_tree(spark: SparkSession, root: str, flat: bool = False) -> dict[str, D
     )
     meta = header_metadata(lines.where(F.col("kind").isin("target_summary", "target")))
     files = lines.groupBy("path", "directory", "upload_id", "kind").agg(F.max("file_size").alias("_size"))
-    described = files.join(meta, "path", "left")
+    described = files.join(meta.drop("upload_id"), "path", "left")  # the directory decides on the id
     # metadata of the summary, or of the target list where there is no summary
     per_directory = described.groupBy("directory", F.col("upload_id").alias("directory_id")).agg(
         *[
