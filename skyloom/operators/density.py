@@ -30,11 +30,17 @@ def count_cell(ra: Column, dec: Column, wrap: bool = True) -> Column:
     return F.struct(ra.cast("int").alias("x"), row.alias("y"))
 
 
-def local_density(targets: DataFrame, list_cols: Sequence[str] = LIST_COLS, wrap: bool = True) -> DataFrame:
-    """Add ``local_count``: the number of targets in the same 1 x 1 degree cell."""
+def local_density(
+    targets: DataFrame, list_cols: Sequence[str] = LIST_COLS, wrap: bool = True, staged: bool = True
+) -> DataFrame:
+    """Add ``local_count``: the number of targets in the same 1 x 1 degree cell.
+
+    The counts are stored first (see :func:`look_up`), unless the rows are few enough to be joined at once.
+    """
     rows = targets.withColumn("_cell", count_cell(F.col("ra"), F.col("dec"), wrap))
     counts = rows.groupBy(*list_cols, "_cell").agg(F.count(F.lit(1)).alias("local_count"))
-    return look_up(rows.drop("local_count"), counts, [*list_cols, "_cell"]).drop("_cell")
+    attach = look_up if staged else join_back
+    return attach(rows.drop("local_count"), counts, [*list_cols, "_cell"]).drop("_cell")
 
 
 def target_weight(

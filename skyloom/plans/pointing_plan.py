@@ -7,11 +7,11 @@ size advances over its whole area in one round. Every round is a fixed number of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skyloom.functions.sky import cell_of
 from skyloom.operators.allocation import CAPACITY, assign_visits, fill_pointings, shift_empty_pointings
@@ -31,12 +31,16 @@ from skyloom.schema import (
     SINGLE_EXPTIME,
     WEIGHTS,
 )
-from skyloom.session import scratch_dir, stage
+from skyloom.session import stage
 
 # deg; in a plan, targets this close count as one point of the density map, and peaks are looked for on
 # a grid no finer than this, which is less than the shifts tried for an empty field
 BIN = 0.1
 SHIFT_EVERY = 4  # rounds between two looks at pointings without targets
+# a field is visited again in the same round while at least this share of its targets needs another frame;
+# otherwise the number of rounds would grow with the longest exposure
+REPEAT_SHARE = 0.7
+SMALL = 1_000_000  # rows up to which a round joins its density counts without storing them
 
 
 @dataclass
@@ -99,7 +103,7 @@ def separate_peaks(active: DataFrame, groups: Sequence[str], diameter: float = F
 def _round(
     active: DataFrame, n_active: int, groups: list[str], number: int, capacity: int, radius: float
 ) -> DataFrame:
-    """Pointings of one round with their targets: one row per pointing and target."""
+    """Pointings of one round with their targets and the ``visits`` of each target to its pointing."""
     peaks = separate_peaks(active, groups, 2.0 * radius).withColumns(
         {
             "ppc_pa": F.lit(0.0),
@@ -108,11 +112,17 @@ def _round(
             ),
         }
     ).drop("band", "bin", "z")
-    keep = ("ob_code", "priority", "weight")
+    keep = ("ob_code", "priority", "weight", "left")
 
     def held(pointings: DataFrame) -> DataFrame:
         inside = targets_in_fields(active, pointings, groups, radius, target_keep=keep)
-        filled = fill_pointings(inside, groups, capacity, n_active).drop("rank")
+        # a pointing is repeated as long as most of its targets need another frame; it holds at most
+        # ``capacity`` targets, and these are in one task already
+        of_pointing = W.partitionBy(*groups, "ppc_code")
+        most = F.percentile("left", F.lit(1.0 - REPEAT_SHARE)).over(of_pointing).cast("int")
+        filled = fill_pointings(inside, groups, capacity, n_active).drop("rank").withColumn(
+            "visits", F.least("left", F.greatest(F.lit(1), most))
+        )
         return join_back(pointings, filled, [*groups, "ppc_code"])  # empty pointings stay, with a null code
 
     placed, seen = stage(
@@ -160,40 +170,38 @@ def find_pointings(
     """
     keys = list(keys)
     groups = [*keys, "cluster"]
-    spark = weighted.sparkSession
-    log = f"{scratch_dir(spark)}/skyloom/plan-{uuid.uuid4().hex}"
     columns = [*keys, "row_id", "ob_code", "ra", "dec", "priority", "local_count", "weight", F.col("frames").alias("left")]
     active = components(weighted.select(*columns), 2.0 * radius, keys)
     active, seen = stage(active, "active", n=F.count(F.lit(1)))
-    schema = None
-    number = 0
+    rounds = []
     for number in range(max_rounds):
         if not seen["n"]:
             break
-        placed = _round(active, seen["n"], groups, number, capacity, radius)
-        placed = placed.select(
-            *groups, F.concat(F.lit(prefix), F.col("ppc_code")).alias("ppc_code"), "ppc_ra", "ppc_dec", "ppc_pa", "ob_code"
-        ).where("ob_code is not null")
-        schema = placed.schema
-        placed.write.parquet(f"{log}/round={number}")
-        placed = spark.read.schema(schema).parquet(f"{log}/round={number}")
-        got = placed.select(*groups, "ob_code", F.lit(1).alias("_got"))
+        placed = _round(active, seen["n"], groups, number, capacity, radius).where("ob_code is not null")
+        rounds.append(placed.withColumn("round", F.lit(number)))
+        got = placed.select(*groups, "ob_code", F.col("visits").alias("_got"))
         rest = join_back(active, got, [*groups, "ob_code"]).withColumn(
-            "left", F.col("left") - F.coalesce("_got", F.lit(0))
+            "left", (F.col("left") - F.coalesce("_got", F.lit(0))).cast("int")
         ).drop("_got").where("left > 0")
         # the weight follows the remaining time, and the density counted in the round before
         rest = rest.withColumn(
             "weight",
             target_weight(F.col("priority"), F.col("left") * F.lit(single_exptime), F.col("local_count"), single_exptime, exponents),
         )
-        active, seen = stage(local_density(rest, groups), "active", n=F.count(F.lit(1)))
-    if schema is None:
+        active, seen = stage(
+            local_density(rest, groups, staged=seen["n"] > SMALL), "active", n=F.count(F.lit(1))
+        )
+    if not rounds:
         empty = active.limit(0).select(
             *groups, F.lit("").alias("ppc_code"), *[F.lit(0.0).alias(c) for c in ("ppc_ra", "ppc_dec", "ppc_pa")], "ob_code", F.lit(0).alias("round")
         )
         return empty, 0
-    full = T.StructType([*schema.fields, T.StructField("round", T.IntegerType())])
-    return spark.read.schema(full).option("basePath", log).parquet(log), seen["n"] or 0
+    every = reduce(DataFrame.unionByName, rounds)
+    code = F.concat(F.lit(prefix), F.concat_ws("_v", "ppc_code", F.col("_visit").cast("string")))
+    found = every.withColumn("_visit", F.explode(F.sequence(F.lit(1), F.col("visits")))).select(
+        *groups, code.alias("ppc_code"), "ppc_ra", "ppc_dec", "ppc_pa", "ob_code", "round"
+    )
+    return found, seen["n"] or 0
 
 
 def _name_pointings(pointings: DataFrame, links: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
