@@ -55,21 +55,21 @@ def tables(lines: DataFrame, key: str = "path") -> DataFrame:
 
     The first line of a file that is neither blank nor a comment is its header.
     """
-    space = F.col("line").startswith("# %ECSV")
-    starts = lines.groupBy(key).agg(
-        F.bool_or(space).alias("_ecsv"),
+    body_text = F.regexp_replace(without_comment(F.col("line")), r"\r$", "")
+    split = lines.withColumn("_body", F.when(F.trim(body_text) != "", body_text))
+    # one pass finds the header line and the format of every file
+    heads = split.groupBy(key).agg(
+        F.bool_or(F.col("line").startswith("# %ECSV")).alias("_ecsv"),
         F.bool_or(F.col("line").rlike(r"^# *delimiter: *','")).alias("_comma"),
+        F.min(F.when(F.col("_body").isNotNull(), F.struct("row_id", "_body"))).alias("_head"),
     )
-    body = (
-        lines.withColumn("line", F.regexp_replace(without_comment(F.col("line")), r"\r$", ""))
-        .where(F.trim("line") != "")
-    )
-    heads = body.groupBy(key).agg(F.min(F.struct("row_id", "line")).alias("_head"))
-    info = heads.join(starts, key).select(
+    space = F.col("_ecsv") & ~F.col("_comma")
+    body = split.where(F.col("_body").isNotNull()).withColumn("line", F.col("_body")).drop("_body")
+    info = heads.where(F.col("_head").isNotNull()).select(
         key,
         F.col("_head.row_id").alias("_first"),
-        (F.col("_ecsv") & ~F.col("_comma")).alias("_space"),
-        cells(F.col("_head.line"), F.col("_ecsv") & ~F.col("_comma")).alias("header"),
+        space.alias("_space"),
+        cells(F.col("_head._body"), space).alias("header"),
     )
     info = info.withColumn("header", F.transform("header", lambda c: F.trim(c)))
     # one row per file, which Spark broadcasts when it is small enough; a huge file is split otherwise

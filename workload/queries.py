@@ -8,9 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyloom.functions.sky import sky_pixel
-from skyloom.functions.timing import frames_in_hours, request_hours, semester_begin, semester_end, semester_label, shown_hours
+from skyloom.functions.timing import frames_in_hours, request_hours, semester_begin, semester_end, semester_label
 from skyloom.operators import allocation, catalog, checks, cluster, completion, density, flux, registry, reports, spatial, visibility
-from skyloom.operators.ordered import rank_rows
 from skyloom.plans import pointing_plan, validation
 from skyloom.session import stage
 from workload.views import table, view
