@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import packing, substring, suffixes
+from skyloom.llm import language, packing, simhash, substring, suffixes
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut and packed into sequences of 1024 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
@@ -32,5 +38,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_substring_dedup, op8_suffix_dedup)}
+def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op3_packing, op5_substring_dedup, op6_simhash_neardup, op8_suffix_dedup)
+}
 ORACLES: dict[str, str] = {}
