@@ -82,6 +82,8 @@ class Index:
 
     def bands(self, text: np.ndarray) -> list[tuple[int, int]]:
         """(passage, first diagonal of the band) of all bands with enough shared grams."""
+        if len(text) < Q:
+            return []
         h = gram_hashes(text)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - BITS)])
         k = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
@@ -116,6 +118,11 @@ class Index:
         for p, first in self.bands(text):
             passage, k = self.passages[p], int(self.budget[p])
             low, width = first - k, 4 * k + 3
+            region = max(0, low)
+            at = text[region : low + width + len(passage)].tobytes().find(passage.tobytes())
+            if at >= 0:
+                out.add((p, region + at, region + at + len(passage), 0))
+                continue
             found = align(passage, text, low, width, None)
             if found is None or found[1] > k:
                 continue
@@ -139,12 +146,7 @@ class Index:
             seen = np.concatenate([[0], np.cumsum(self.table[gram_hashes(text) >> np.uint64(64 - BITS)], dtype=np.int32)])
             dense = np.flatnonzero(seen[np.minimum(np.arange(len(seen)) + reach, len(seen) - 1)] - seen >= least)
             for t in np.unique(np.searchsorted(offsets[i : j + 1] - offsets[i], dense, "right") - 1 + i).tolist():
-                # a stretch may begin in the text before
-                for u in (t, t + 1):
-                    if u < j and (u == t or dense.size):
-                        own = text[offsets[u] - offsets[i] : offsets[u + 1] - offsets[i]]
-                        if len(own) >= Q:
-                            yield u, self.places(own)
+                yield t, self.places(text[offsets[t] - offsets[i] : offsets[t + 1] - offsets[i]])
 
 
 def align(passage: np.ndarray, text: np.ndarray, low: int, width: int, start: int | None) -> tuple[int, int] | None:

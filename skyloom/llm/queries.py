@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import language, packing, simhash, substring, suffixes
+from skyloom.llm import decontaminate, language, packing, simhash, substring, suffixes
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -26,6 +26,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, with the place."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in each document when windows of 20 words that stand earlier too are removed."""
     kept = substring.remove_passages(table(spark, sf_dir, "documents"))
@@ -46,6 +51,6 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op3_packing, op5_substring_dedup, op6_simhash_neardup, op8_suffix_dedup)
+    for f in (op1_language_id, op3_packing, op4_decontamination, op5_substring_dedup, op6_simhash_neardup, op8_suffix_dedup)
 }
 ORACLES: dict[str, str] = {}

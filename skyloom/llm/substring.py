@@ -53,7 +53,7 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     h = word_hashes(data, begin, end)
     g = np.zeros_like(h)
-    for k in range(GRAM):
+    for k in range(min(GRAM, len(h))):
         g *= np.uint64(0x9E3779B97F4A7C15)
         g[: len(h) - k] += h[k:]
     return mix(g)
