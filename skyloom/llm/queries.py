@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import decontaminate, language, packing, simhash, substring, suffixes
+from skyloom.llm import decontaminate, language, packing, quality, simhash, substring, suffixes, vectors
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -49,8 +49,21 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate group of every vector."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op3_packing, op4_decontamination, op5_substring_dedup, op6_simhash_neardup, op8_suffix_dedup)
+    for f in (
+        op1_language_id, op3_packing, op4_decontamination, op5_substring_dedup, op6_simhash_neardup, op7_quality,
+        op8_suffix_dedup, op9_embedding_neardup,
+    )
 }
 ORACLES: dict[str, str] = {}
