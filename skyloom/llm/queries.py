@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import decontaminate, language, packing, quality, simhash, substring, suffixes, vectors
+from skyloom.llm import decontaminate, language, licenses, packing, quality, simhash, substring, suffixes, vectors
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -59,11 +59,16 @@ def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every whole text."""
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op3_packing, op4_decontamination, op5_substring_dedup, op6_simhash_neardup, op7_quality,
-        op8_suffix_dedup, op9_embedding_neardup,
+        op8_suffix_dedup, op9_embedding_neardup, op10_license_scan,
     )
 }
 ORACLES: dict[str, str] = {}
