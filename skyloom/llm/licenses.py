@@ -148,14 +148,12 @@ def detections(docs: DataFrame, signatures: list[Rule]) -> DataFrame:
     """(doc_id, row, n_words, id, label, priority, score, base, start, end, kept): every match of every row of ``docs``,
     a row with nulls where a text has none. ``kept`` is false for suppressed matches."""
     keywords = sorted({k for r in signatures for k in r.keywords})
-    table = F.array(*(
-        F.struct(
-            F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"),
-            F.lit(r.base).alias("base"), F.lit(r.keywords[0]).alias("first"), F.lit(r.keywords[1]).alias("second"),
-            F.lit(r.pattern).alias("pattern"), F.lit(r.words).alias("words"),
-        )
+    # one SQL text: hundreds of separate literals take a call each
+    table = F.expr("array({})".format(", ".join(
+        f"named_struct('id', {r.id}, 'label', '{r.label}', 'priority', {r.priority}, 'score', {r.score}D, 'base', {str(r.base).lower()}, "
+        f"'first', '{r.keywords[0]}', 'second', '{r.keywords[1]}', 'pattern', '{r.pattern}', 'words', {r.words})"
         for r in signatures
-    ))
+    )))
     # keywords of two words are met when both are there, whatever stands between them
     low = F.col("low")
     there = [F.when(F.forall(F.array(*map(F.lit, k.split())), lambda w: F.contains(low, w)) if " " in k else F.contains(low, F.lit(k)), F.lit(k)) for k in keywords]
