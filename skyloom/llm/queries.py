@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import decontaminate, language, licenses, packing, quality, simhash, substring, suffixes, vectors
+from skyloom.llm import decontaminate, language, licenses, packing, preferences, quality, simhash, substring, suffixes, vectors
+from skyloom.llm.oracles import ORACLES
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -21,6 +22,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with a reply against itself with another's reply, as prompt and masked completions."""
+    pairs = preferences.swapped_replies(preferences.conversations_of(table(spark, sf_dir, "conversations")))
+    text = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return preferences.format_pairs(pairs).select(
+        "pair_id", "n_common", "prompt", "chosen", "rejected",
+        text("chosen_mask").alias("chosen_spans"), text("rejected_mask").alias("rejected_spans"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut and packed into sequences of 1024 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
@@ -67,8 +78,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op3_packing, op4_decontamination, op5_substring_dedup, op6_simhash_neardup, op7_quality,
+        op1_language_id, op2_preference_format, op3_packing, op4_decontamination, op5_substring_dedup, op6_simhash_neardup, op7_quality,
         op8_suffix_dedup, op9_embedding_neardup, op10_license_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
