@@ -14,7 +14,7 @@ def _failed(text: Column, what: str) -> Column:
 def strict_int(text: Column) -> tuple[Column, Column]:
     """64-bit integer; ``3.0``, an empty cell or a value out of range fails."""
     value = text.try_cast("bigint")
-    return value, F.when(value.isNull(), _failed(text, "Non integer value detected"))
+    return value, F.when(value.isNull(), _failed(text, "not an integer"))
 
 
 def int_or_none(text: Column, allow_empty: bool = True) -> tuple[Column, Column]:
@@ -22,7 +22,7 @@ def int_or_none(text: Column, allow_empty: bool = True) -> tuple[Column, Column]
     cell = F.trim(F.coalesce(text, F.lit("")))
     missing = (cell == "None") | (cell == "") if allow_empty else cell == "None"
     value = F.when(~missing, text.try_cast("bigint"))
-    return value, F.when(~missing & value.isNull(), _failed(text, "Non integer value detected"))
+    return value, F.when(~missing & value.isNull(), _failed(text, "not an integer"))
 
 
 def number(text: Column) -> tuple[Column, Column]:
@@ -31,7 +31,7 @@ def number(text: Column) -> tuple[Column, Column]:
     parsed = cell.try_cast("double")
     value = F.when(~cell.isin(NA_TEXTS) & ~F.isnan(parsed), parsed)
     wrong = ~cell.isin(NA_TEXTS) & parsed.isNull()
-    return value, F.when(wrong, _failed(text, "could not convert string to float"))
+    return value, F.when(wrong, _failed(text, "not a number"))
 
 
 def plain_text(text: Column) -> tuple[Column, Column]:

@@ -83,11 +83,15 @@ def shift_empty_pointings(
 
 
 def _visit_rounds(
-    cover: DataFrame, taken: DataFrame | None, keys: list[str], capacity: int, max_rounds: int, n_pairs: int
+    cover: DataFrame, taken: DataFrame | None, keys: list[str], capacity: int, n_pairs: int
 ) -> DataFrame:
-    """Hand out visits in rounds; every target asks for what it still needs, every pointing takes what fits."""
+    """Hand out visits in rounds; every target asks for what it still needs, every pointing takes what fits.
+
+    A round with an open target and a pointing with room places at least one visit; the first round that places
+    none is the last.
+    """
     pair = [*keys, "ppc_code", "ob_code"]
-    for _ in range(max_rounds):
+    while True:
         if taken is None:
             open_pairs = cover.withColumns({"_need": F.col("frames"), "_free": F.lit(capacity)})
         else:
@@ -110,8 +114,7 @@ def _visit_rounds(
         placed, seen = stage(placed, "visits", n=F.count(F.lit(1)))
         taken = placed if taken is None else stage(taken.unionByName(placed), "taken")[0]
         if not seen["n"]:
-            break
-    return taken
+            return taken
 
 
 def assign_visits(
@@ -119,7 +122,6 @@ def assign_visits(
     pointings: DataFrame,
     list_cols: Sequence[str] = LIST_COLS,
     capacity: int = CAPACITY,
-    max_rounds: int = 12,
 ) -> DataFrame:
     """Final assignment of targets to pointings (``ppc_code``, ``ob_code``).
 
@@ -149,9 +151,9 @@ def assign_visits(
         )
         return kept, seen["n"]
 
-    taken = _visit_rounds(cover, None, keys, capacity, max_rounds, n_pairs)
+    taken = _visit_rounds(cover, None, keys, capacity, n_pairs)
     total = taken.count()
     kept, n = complete(taken)
     if n < total:
-        kept, _ = complete(_visit_rounds(cover, kept, keys, capacity, max_rounds, n_pairs))
+        kept, _ = complete(_visit_rounds(cover, kept, keys, capacity, n_pairs))
     return kept.select(*keys, "ppc_code", "ob_code")

@@ -74,13 +74,13 @@ def with_column_check(lists: DataFrame) -> DataFrame:
             "required_ok": F.size("required_missing") == 0,
             "optional_ok": F.size("optional_missing") == 0,
             "messages": F.concat(
-                sentences("required_found", "Required column `%s` is found."),
-                sentences("required_missing", "Required column `%s` is missing."),
-                sentences("optional_found", "Optional column `%s` is found."),
+                sentences("required_found", "required, present: %s"),
+                sentences("required_missing", "required, absent: %s"),
+                sentences("optional_found", "optional, present: %s"),
                 F.transform(
                     F.col("optional_missing"),
                     lambda c: F.format_string(
-                        "Optional column `%s` is missing. The default value, `%s`, will be used.",
+                        "optional, absent: %s, filled with %s",
                         c,
                         F.element_at(default, c),
                     ),
@@ -180,7 +180,8 @@ def unique_flags(
     """Flag all rows of a repeated ``ob_code`` and of a repeated (``obj_id``, ``resolution``).
 
     The copies are counted with a partial aggregation before any shuffle, and only the repeated keys
-    come back to the rows, so that a key with very many copies never gathers in one task. ``source`` may
+    come back to the rows, so that a key with very many copies never gathers in one task. Nulls are equal to
+    each other here: two rows without an ``obj_id`` repeat a key. ``source`` may
     name the plain rows behind ``df``, for a cheaper count.
     """
     source = df if source is None else source
@@ -193,8 +194,8 @@ def unique_flags(
             .select(*keys, F.lit(True).alias(flag))
         )
 
-    out = look_up(df, repeated(code, "_dup_code"), code)
-    out = look_up(out, repeated(pair, "_dup_pair"), pair)
+    out = look_up(df, repeated(code, "_dup_code"), code, null_safe=True)
+    out = look_up(out, repeated(pair, "_dup_pair"), pair, null_safe=True)
     return out.withColumns(
         {
             "ok_code": F.col("_dup_code").isNull(),
@@ -213,20 +214,16 @@ def unique_status(
     )
     if lists is not None:
         out = lists.select(*list_cols).distinct().join(out, list(list_cols), "left")
-    code_text = F.when(F.col("codes_unique"), "All 'ob_code' entries are unique.").otherwise(
-        "Duplicate 'ob_code' found. 'ob_code' must be unique."
-    )
-    pair_text = F.when(
-        F.col("pairs_unique"), "All ('obj_id', 'resolution') pairs are unique."
-    ).otherwise(
-        "Duplicate ('obj_id', 'resolution') pair found. ('obj_id', 'resolution') must be unique."
+    code_text = F.when(F.col("codes_unique"), "ob_code: no repeats;").otherwise("ob_code: repeated;")
+    pair_text = F.when(F.col("pairs_unique"), "obj_id with resolution: no repeats").otherwise(
+        "obj_id with resolution: repeated"
     )
     return out.select(
         *list_cols,
         F.coalesce(F.col("codes_unique") & F.col("pairs_unique"), F.lit(False)).alias("status"),
         F.when(
             F.col("codes_unique").isNull(),
-            "Empty data detected (maybe failure in loading the inputs)",
+            "the list has no rows",
         ).otherwise(F.concat_ws(" ", code_text, pair_text)).alias("description"),
     )
 

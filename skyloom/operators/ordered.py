@@ -13,26 +13,31 @@ SPREAD = 256
 BLOCK = 65_536
 
 
-def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left join of ``rows`` with a table that has one row per key.
 
     ``per_key`` comes from an aggregation that was combined before its shuffle. Spark broadcasts it
     when its measured size allows; otherwise adaptive execution splits the partitions of ``rows`` that
-    a frequent key makes too large, each part meeting the single row of that key.
+    a frequent key makes too large, each part meeting the single row of that key. ``null_safe`` lets
+    null keys meet.
     """
     if not keys:
         return rows.crossJoin(F.broadcast(per_key))  # exactly one row
-    return rows.join(per_key, list(keys), "left")
+    if not null_safe:
+        return rows.join(per_key, list(keys), "left")
+    other = per_key.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return rows.join(other, on, "left").drop(*[f"_key_{k}" for k in keys])
 
 
-def look_up(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+def look_up(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """:func:`join_back` with a table that is usually far smaller than ``rows``.
 
     The table is computed and stored first, from the few columns it needs. Spark then knows its size when
     it plans the join: a table below the broadcast threshold goes to the rows, which are not shuffled at
     all, and a larger one is merged by key.
     """
-    return join_back(rows, stage(per_key, "lookup")[0], keys)
+    return join_back(rows, stage(per_key, "lookup")[0], keys, null_safe)
 
 
 def rank_rows(

@@ -243,16 +243,16 @@ def run_facts(summary_with_total: DataFrame, single_exptime: float = SINGLE_EXPT
     )
     minutes = single_exptime / 60.0
     lines = [
-        F.format_string("You have requested %d pointing centers.", F.col("n")),
-        F.format_string("The optimized pointings correspond to %.1f fiber hours.", F.bround("fh", 1)),
-        F.format_string(f"The exposure time to complete %d pointings (without overhead) is %.1f hours (%d x {minutes:.2f} minutes).", F.col("n"), F.bround("h", 1), F.col("n")),
-        F.format_string("The requested observing time including overhead is %.1f hours.", F.col("rot")),
+        F.format_string("pointings: %d", F.col("n")),
+        F.format_string("fiber hours: %.1f", F.bround("fh", 1)),
+        F.format_string(f"exposure hours without overhead: %.1f (%d x {minutes:.2f} min)", F.bround("h", 1), F.col("n")),
+        F.format_string("hours with overhead: %.1f", F.col("rot")),
     ]
     for name in RESOLUTION_NAMES.values():
         lines.append(
             F.when(
                 F.col(f"_{name}").isNotNull(),
-                F.format_string(f"The expected completion rate for {name}-resolution mode is %.0f%%.", F.bround(f"_{name}")),
+                F.format_string(f"completed, {name}: %.0f%%", F.bround(f"_{name}")),
             )
         )
     return facts.select(*list_cols, "n", "fh", "h", "rot", F.concat_ws("\n", *lines).alias("facts"))

@@ -43,12 +43,14 @@ def _at(day: Column, clock: str, timezone: str) -> Column:
 
 
 def night_dates(begin: Column, end: Column, calendar: str = "all") -> Column:
-    """Array of the dates whose nights count, first and last included.
+    """Array of the dates whose nights count, first and last included; empty for a range that ends before it begins.
 
     ``split`` leaves out the middle night, as a range cut into two halves by dates does; ``split_time``
     also leaves out the last night of a range with an odd number of days, as halves cut by the clock do.
     """
-    days = F.sequence(begin, end, F.expr("interval 1 day"))
+    days = F.when(begin <= end, F.sequence(begin, F.greatest(begin, end), F.expr("interval 1 day"))).otherwise(
+        F.array().cast("array<date>")
+    )
     if calendar == "all":
         return days
     span = F.date_diff(end, begin)

@@ -26,7 +26,6 @@ from skyloom.schema import (
     FIELD_RADIUS,
     LIST_COLS,
     MAX_RESIDUAL_ROUNDS,
-    MAX_ROUNDS,
     N_FIBERS,
     SINGLE_EXPTIME,
     WEIGHTS,
@@ -159,11 +158,10 @@ def find_pointings(
     single_exptime: float = SINGLE_EXPTIME,
     capacity: int = CAPACITY,
     radius: float = FIELD_RADIUS,
-    max_rounds: int = MAX_ROUNDS,
     exponents=WEIGHTS,
     prefix: str = "",
 ) -> tuple[DataFrame, int]:
-    """Pointings that give every target its frames, and the number of targets left when rounds ran out.
+    """Pointings that give every target its frames, and the number of targets left when a round placed nothing.
 
     The result has one row per pointing and target, with ``round``. ``weighted`` comes from
     :func:`weighted_targets`; ``keys`` are the list columns and the resolution.
@@ -172,11 +170,11 @@ def find_pointings(
     groups = [*keys, "cluster"]
     columns = [*keys, "row_id", "ob_code", "ra", "dec", "priority", "local_count", "weight", F.col("frames").alias("left")]
     active = components(weighted.select(*columns), 2.0 * radius, keys)
-    active, seen = stage(active, "active", n=F.count(F.lit(1)))
-    rounds = []
-    for number in range(max_rounds):
-        if not seen["n"]:
-            break
+    todo = {"n": F.count(F.lit(1)), "frames": F.sum(F.col("left").cast("long"))}
+    active, seen = stage(active, "active", **todo)
+    rounds, before = [], None
+    while seen["n"] and seen != before:
+        number, before = len(rounds), seen
         placed = _round(active, seen["n"], groups, number, capacity, radius).where("ob_code is not null")
         rounds.append(placed.withColumn("round", F.lit(number)))
         got = placed.select(*groups, "ob_code", F.col("visits").alias("_got"))
@@ -189,7 +187,7 @@ def find_pointings(
             target_weight(F.col("priority"), F.col("left") * F.lit(single_exptime), F.col("local_count"), single_exptime, exponents),
         )
         active, seen = stage(
-            local_density(rest, groups, staged=seen["n"] > SMALL), "active", n=F.count(F.lit(1))
+            local_density(rest, groups, staged=seen["n"] > SMALL), "active", **todo
         )
     if not rounds:
         empty = active.limit(0).select(
@@ -223,7 +221,6 @@ def plan_pointings(
     capacity: int = CAPACITY,
     n_fibers: int = N_FIBERS,
     radius: float = FIELD_RADIUS,
-    max_rounds: int = MAX_ROUNDS,
     max_residual_rounds: int = MAX_RESIDUAL_ROUNDS,
     exponents=WEIGHTS,
 ) -> Plan:
@@ -248,14 +245,15 @@ def plan_pointings(
     else:
         status = 999
         pointings = links = None
-        missing, unfinished = weighted, None
+        missing, unfinished, first = weighted, None, 0
         for attempt in range(max_residual_rounds + 1):
-            found, _ = find_pointings(missing, keys, single_exptime, capacity, radius, max_rounds, exponents, f"a{attempt:02d}_")
+            found, _ = find_pointings(missing, keys, single_exptime, capacity, radius, exponents, f"a{attempt:02d}_")
             spots, seen = stage(
-                found.groupBy(*position).agg((F.min("round") + attempt * max_rounds).alias("round")), "spots", n=F.count(F.lit(1))
+                found.groupBy(*position).agg((F.min("round") + first).alias("round")), "spots", n=F.count(F.lit(1)), last=F.max("round")
             )
             if not seen["n"]:
                 break
+            first = seen["last"] + 1
             new = assign_visits(missing, spots, keys, capacity)
             used = spots.join(new.select(*keys, "ppc_code"), [*keys, "ppc_code"], "left_semi")
             pointings = used if pointings is None else pointings.unionByName(used)

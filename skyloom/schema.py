@@ -49,7 +49,6 @@ SITE_LONGITUDE = -155.4761  # deg east
 PIXEL_NSIDE = 32
 MAX_REQUEST_HOURS = 35.0
 LARGE_LIST = 100_000
-MAX_ROUNDS = 200
 MAX_RESIDUAL_ROUNDS = 10
 
 # texts that stand for a missing number in a CSV cell

@@ -27,7 +27,9 @@ FORMATS = ["csv", "ecsv"]
 
 
 def _extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """Format that a name tells. A folder of parts, one list as Spark wrote it, holds ECSV."""
+    told = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.when((told == "") & path.rlike(r"/[^/=]+=[^/]+$"), "ecsv").otherwise(told)
 
 
 def _typed(rows: DataFrame, parsers: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -49,7 +51,7 @@ def _report(rows: DataFrame, lines: DataFrame, list_col: str) -> DataFrame:
     return files.join(failed, list_col, "left").select(
         list_col,
         (known & (F.coalesce("n_errors", F.lit(0)) == 0)).alias("status"),
-        F.when(~known, "No CSV or ECSV file selected").otherwise(F.col("error")).alias("error"),
+        F.when(~known, "neither CSV nor ECSV").otherwise(F.col("error")).alias("error"),
         F.coalesce("n_errors", F.lit(0)).cast("bigint").alias("n_errors"),
         F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
     )

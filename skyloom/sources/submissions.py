@@ -59,28 +59,34 @@ def header_metadata(lines: DataFrame, key: str = "path") -> DataFrame:
 
 
 def load_tree(spark: SparkSession, root: str, flat: bool = False) -> dict[str, DataFrame]:
-    """The catalog tables of a submission tree, read in one pass per table.
+    """The catalog tables of a submission tree; each table reads the files of its kind alone.
 
     ``submissions`` has one row per directory with metadata, paths and size; ``target_summary``,
     ``target``, ``psl``, ``ppc``, ``TAC_psl`` and ``TAC_ppc`` have the rows of the files of that kind.
     """
     pattern = f"{root}/{FLAT_GLOB if flat else DIRECTORY_GLOB}"
-    lines = read_lines(spark, f"{pattern}/*.ecsv").withColumns(_place(F.col("path"))).where("kind <> ''")
-    rows = tables(lines)
-    out = {"target_summary": _numbers(rows, "target_summary", ["Priority"], ["N (L)", "Texp (L)", "N (M)", "Texp (M)"])}
+
+    def lines_of(kind: str) -> DataFrame:
+        # only the files of a kind are opened; names that begin alike are told apart by the path
+        return read_lines(spark, pattern, f"{kind}_*.ecsv").withColumns(_place(F.col("path"))).where(F.col("kind") == kind)
+
+    by_kind = {kind: lines_of(kind) for kind in KINDS}
+    rows = {kind: tables(lines) for kind, lines in by_kind.items()}
+    out = {"target_summary": _numbers(rows["target_summary"], ["Priority"], ["N (L)", "Texp (L)", "N (M)", "Texp (M)"])}
     figures = [*EMPTY_PSL[:3], "Request time 1 (h)", *EMPTY_PSL[3:6], *[f"P_{p}" for p in range(10)]]
     for kind in ("psl", "TAC_psl"):
-        out[kind] = _numbers(rows, kind, ["resolution"], ["N_ppc", *figures])
+        out[kind] = _numbers(rows[kind], ["resolution"], ["N_ppc", *figures])
     for kind in ("ppc", "TAC_ppc"):
         out[kind] = _numbers(
-            rows, kind, ["ppc_code", "ppc_resolution", "allocated_targets"],
+            rows[kind], ["ppc_code", "ppc_resolution", "allocated_targets"],
             ["ppc_ra", "ppc_dec", "ppc_pa", "ppc_priority", "Fiber usage fraction (%)"],
         )
     out["target"] = _numbers(
-        rows, "target", ["ob_code", "resolution", "reference_arm"], ["ra", "dec", "exptime"], ["obj_id", "priority"]
+        rows["target"], ["ob_code", "resolution", "reference_arm"], ["ra", "dec", "exptime"], ["obj_id", "priority"]
     )
-    meta = header_metadata(lines.where(F.col("kind").isin("target_summary", "target")))
-    files = lines.groupBy("path", "directory", "upload_id", "kind").agg(F.max("file_size").alias("_size"))
+    meta = header_metadata(by_kind["target_summary"].unionByName(by_kind["target"]))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ecsv").load(pattern)
+    files = found.select("path", F.col("length").alias("_size")).withColumns(_place(F.col("path"))).where("kind <> ''")
     described = files.join(meta.drop("upload_id"), "path", "left")  # the directory decides on the id
     # metadata of the summary, or of the target list where there is no summary
     per_directory = described.groupBy("directory", F.col("upload_id").alias("directory_id")).agg(
@@ -107,9 +113,8 @@ def load_tree(spark: SparkSession, root: str, flat: bool = False) -> dict[str, D
     return out
 
 
-def _numbers(rows: DataFrame, kind: str, texts: Sequence[str], doubles: Sequence[str], longs: Sequence[str] = ()) -> DataFrame:
-    picked = rows.where(F.col("kind") == kind)
-    return picked.select(
+def _numbers(rows: DataFrame, texts: Sequence[str], doubles: Sequence[str], longs: Sequence[str] = ()) -> DataFrame:
+    return rows.select(
         "upload_id", "row_id",
         *[cell(c).alias(c) for c in texts],
         *[parsing.number(cell(c))[0].alias(c) for c in doubles],
@@ -141,7 +146,7 @@ def placeholder_rows(lists: DataFrame, results: DataFrame, kind: str, key: str =
 
 
 def save_submissions(tables_by_kind: dict[str, DataFrame], submissions: DataFrame, root: str) -> None:
-    """Append submissions to one Parquet table per kind, partitioned by year and month.
+    """Add submissions to one Parquet table per kind, partitioned by year and month; a known id is replaced.
 
     ``submissions`` has ``upload_id``, ``upload_at`` and the metadata columns, which become columns of the
     table ``submissions``.
@@ -149,10 +154,10 @@ def save_submissions(tables_by_kind: dict[str, DataFrame], submissions: DataFram
     stamped = submissions.withColumns(
         {"year": F.year("upload_at"), "month": F.month("upload_at")}
     )
-    _write(stamped, f"{root}/submissions", "append")
+    _merge(stamped, f"{root}/submissions")
     when = stamped.select("upload_id", "year", "month")
     for kind, table in tables_by_kind.items():
-        _write(join_back(table, when, ["upload_id"]), f"{root}/{kind}", "append")
+        _merge(join_back(table, when, ["upload_id"]), f"{root}/{kind}")
 
 
 def save_allocation(tac_psl: DataFrame, tac_ppc: DataFrame, root: str) -> None:
@@ -244,7 +249,7 @@ def _quoted(text: Column) -> Column:
 
 
 def write_ecsv(lines: DataFrame, path: str, list_col: str = "upload_id") -> None:
-    """Write lines as text, one directory per list.
+    """Write lines as text, one directory per list, which ``load_targets`` reads as one list.
 
     The lines are range-partitioned by list and position: a long list becomes several part files whose
     names sort in order, so that joined together they are the ECSV file, and no task holds a whole list.

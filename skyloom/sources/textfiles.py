@@ -8,23 +8,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # everything up to the first # outside quotes; possessive, so that long lines need no backtracking
 _BEFORE_COMMENT = r'^((?:[^"#]++|"[^"]*+"?)*+)#.*$'
+_PART = r"/part-(\d+)[^/]*$"
 _CELL = r',("(?:[^"]|"")*+"|[^,]*+)'
 _CELL_SPACE = r' ("(?:[^"]|"")*+"|[^ ]*+)'
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], names: str = "*") -> DataFrame:
     """Lines of text files with ``path``, ``line`` and ``row_id``, the order of the lines in a file.
 
     Large files are split over tasks. ``row_id`` is the byte offset of the split plus the position of the
     line in its task: a task reads at most one split's worth of bytes and every line has at least one, so
     that the numbers grow along a file without repeats, but with gaps.
+
+    Files named ``part-<number>...`` are parts of one text: their folder stands for them as ``path``, and the
+    numbers grow from part to part. ``names`` is a pattern that file names have to match.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+    file = F.col("_metadata.file_path")
+    part = F.regexp_extract(file, _PART, 1)
+    return spark.read.option("pathGlobFilter", names).schema("value string").text(paths).select(
+        F.when(part != "", F.regexp_replace(file, _PART, "")).otherwise(file).alias("path"),
         F.col("_metadata.file_size").alias("file_size"),
-        (F.col("_metadata.file_block_start") + in_task).alias("row_id"),
+        (F.coalesce(part.try_cast("bigint"), F.lit(0)) * F.lit(1 << 44) + F.col("_metadata.file_block_start") + in_task).alias("row_id"),
         F.col("value").alias("line"),
     )
 

@@ -22,11 +22,13 @@ def test_uniqueness_cases(spark):
         (2, "ob_1_L_1", 1, "L"), (2, "ob_1_L_2", 1, "L"),  # same object and resolution
         (3, "ob_1_L", 1, "L"), (3, "ob_1_M", 1, "M"),  # good: two resolutions
         (4, "ob", 1, "L"), (4, "ob", 2, "L"), (4, "other", 3, "L"),  # repeated code
+        (5, "ob_1", None, "L"), (5, "ob_2", None, "L"), (5, "ob_3", 1, None),  # nulls repeat each other
     ]
     flags, status = uniq(spark, rows)
-    assert status == {1: True, 2: False, 3: True, 4: False}
+    assert status == {1: True, 2: False, 3: True, 4: False, 5: False}
     assert not flags[(2, "ob_1_L_1")] and not flags[(2, "ob_1_L_2")]
     assert not flags[(4, "ob")] and flags[(4, "other")]
+    assert not flags[(5, "ob_1")] and not flags[(5, "ob_2")] and flags[(5, "ob_3")]
 
 
 def test_empty_list_fails_uniqueness(spark):
@@ -34,7 +36,7 @@ def test_empty_list_fails_uniqueness(spark):
     lists = spark.createDataFrame([(1,), (2,)], "list_no int")
     out = {r.list_no: r for r in checks.unique_status(checks.unique_flags(df, ["list_no"]), ["list_no"], lists).collect()}
     assert out[1].status and not out[2].status
-    assert out[2].description.startswith("Empty data")
+    assert out[2].description.endswith("no rows")
 
 
 VALUE_SCHEMA = "row_id long, list_no int, ra double, dec double, priority int, exptime double, resolution string, reference_arm string"
@@ -120,7 +122,7 @@ def test_columns_and_defaults(spark):
     df = spark.createDataFrame([(1, 7, "x")], "list_no int, obj_id long, comment string")
     r = checks.check_columns(checks.list_headers(df, ["list_no"]), ["list_no"]).first()
     assert r.required_found == ["obj_id"] and "reference_arm" in r.required_missing and not r.required_ok
-    assert "Optional column `parallax` is missing. The default value, `1e-07`, will be used." in r.messages
+    assert "optional, absent: parallax, filled with 1e-07" in r.messages
     assert checks.keep_registered(df, ["list_no"]).columns == ["list_no", "obj_id"]
     assert checks.with_object_text(df).columns == ["list_no", "obj_id", "obj_id_str", "comment"]
     filled = checks.fill_optional(df).first()

@@ -215,3 +215,10 @@ def test_distributed_rank_and_running_sum_equal_the_window(spark):
     a = ordered.top_rows(df, ["g"], order, 7, "i", spread=1)
     b = ordered.top_rows(df, ["g"], order, 7, "i", spread=16)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
+
+
+def test_a_reversed_range_has_no_nights(spark):
+    df = spark.sql("select 1 as k, date'2026-03-05' as a, date'2026-03-01' as b union all select 2, date'2026-03-01', date'2026-03-03' union all select 3, null, date'2026-03-03'")
+    for calendar, n in (("all", 3), ("split", 2), ("split_time", 2)):
+        nights = {r.k: r.n for r in df.select("k", F.size(visibility.night_dates(F.col("a"), F.col("b"), calendar)).alias("n")).collect()}
+        assert nights == {1: 0, 2: n, 3: 0}

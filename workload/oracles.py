@@ -98,8 +98,8 @@ ORACLES["check_unique"] = cte("targets_dirty") + ",\n" + UNIQUE % "targets_dirty
 select row_id, list_no, ok_code, ok_pair, ok_code and ok_pair as ok_unique from uniq"""
 ORACLES["unique_status"] = cte("targets_dirty") + ",\n" + UNIQUE % "targets_dirty" + """
 select list_no, bool_and(ok_code) and bool_and(ok_pair) as status,
- case when bool_and(ok_code) then 'All ''ob_code'' entries are unique.' else 'Duplicate ''ob_code'' found. ''ob_code'' must be unique.' end || ' ' ||
- case when bool_and(ok_pair) then 'All (''obj_id'', ''resolution'') pairs are unique.' else 'Duplicate (''obj_id'', ''resolution'') pair found. (''obj_id'', ''resolution'') must be unique.' end as description
+ case when bool_and(ok_code) then 'ob_code: no repeats;' else 'ob_code: repeated;' end || ' ' ||
+ case when bool_and(ok_pair) then 'obj_id with resolution: no repeats' else 'obj_id with resolution: repeated' end as description
 from uniq group by list_no"""
 ORACLES["size_notice"] = cte("targets") + "\nselect list_no, count(*) as n_rows, count(*) >= 1500 as is_large from targets group by list_no"
 ORACLES["registered_columns"] = cte("targets") + """
@@ -321,13 +321,13 @@ ORACLES["reproduce_report"] = summary(
 ORACLES["run_facts"] = summary(
     "select ppc_resolution, count(*) as k from stored group by 1",
     """select max("N_ppc") filter (where resolution = 'Total') as n,
- printf('You have requested %d pointing centers.', max("N_ppc") filter (where resolution = 'Total')) || chr(10) ||
- printf('The optimized pointings correspond to %.1f fiber hours.', max("Texp (fiberhour)") filter (where resolution = 'Total')) || chr(10) ||
- printf('The exposure time to complete %d pointings (without overhead) is %.1f hours (%d x 15.00 minutes).', max("N_ppc") filter (where resolution = 'Total'),
+ printf('pointings: %d', max("N_ppc") filter (where resolution = 'Total')) || chr(10) ||
+ printf('fiber hours: %.1f', max("Texp (fiberhour)") filter (where resolution = 'Total')) || chr(10) ||
+ printf('exposure hours without overhead: %.1f (%d x 15.00 min)',
    max("Texp (h)") filter (where resolution = 'Total'), max("N_ppc") filter (where resolution = 'Total')) || chr(10) ||
- printf('The requested observing time including overhead is %.1f hours.', ceil(max("Request time (h)") filter (where resolution = 'Total')*1e1)/1e1) || chr(10) ||
- printf('The expected completion rate for low-resolution mode is %.0f%%.', max("P_all") filter (where resolution = 'low')) || chr(10) ||
- printf('The expected completion rate for medium-resolution mode is %.0f%%.', max("P_all") filter (where resolution = 'medium')) as facts from full_rep""",
+ printf('hours with overhead: %.1f', ceil(max("Request time (h)") filter (where resolution = 'Total')*1e1)/1e1) || chr(10) ||
+ printf('completed, low: %.0f%%', max("P_all") filter (where resolution = 'low')) || chr(10) ||
+ printf('completed, medium: %.0f%%', max("P_all") filter (where resolution = 'medium')) as facts from full_rep""",
 )
 ORACLES["request_status"] = cte("targets") + f""",
 l as (select list_no, count(*) % 211 as m from targets group by list_no),
