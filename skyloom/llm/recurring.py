@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import flat, keys_table, mix
+from skyloom.llm.common import flat, groups_of, keys_table, mix
 from skyloom.session import stage
 
 SLICE = 1 << 20
 LOW = np.uint64((1 << 22) - 1)
+#: Text of a batch that is taken apart at a time.
+GROUP_BYTES = 2 << 20
 PLACE = 128  # more windows than any stretch has
 #: A single anchor with more text than this is dealt out again by window.
 HOT_BYTES = 32 << 20
@@ -89,29 +91,30 @@ def _anchors(units: Units) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            all_ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = flat(b.column(1))
-            begin, end, first_unit = units.split(data, offsets)
-            n = np.diff(first_unit)
-            left = np.repeat(first_unit[1:], n) - np.arange(len(begin))
-            g = units.grams(data, begin, end)
-            found = list(stretches(g, left, units))
+            found = []
+            for i, j in groups_of(np.diff(offsets), GROUP_BYTES):
+                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                begin, end, first_unit = units.split(own, at)
+                left = np.repeat(first_unit[1:], np.diff(first_unit)) - np.arange(len(begin))
+                g = units.grams(own, begin, end)
+                for start, count, anchor in stretches(g, left, units):
+                    doc = np.searchsorted(first_unit, start, "right") - 1
+                    found.append((g[anchor], all_ids[i + doc], (start - first_unit[doc]) * PLACE + count))
             if not found:
                 continue
-            start, count, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
-            doc = np.searchsorted(first_unit, start, "right") - 1
-            key = g[anchor]
-            place = (start - first_unit[doc]) * PLACE + count
+            key, ids, place = (np.concatenate(x) for x in zip(*found, strict=True))
             _, back, times = np.unique(key, return_inverse=True, return_counts=True)
             known = times[back] > 1
-            spread = mix(ids[doc].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+            spread = mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
             route = np.where(known, spread, key)
             speak = np.unique(key[known])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([route, speak]).view(np.int64)),
                     pa.array(np.concatenate([key, speak]).view(np.int64)),
-                    pa.array(np.concatenate([ids[doc], np.zeros(len(speak), np.int64)]), mask=np.arange(len(doc) + len(speak)) >= len(doc)),
+                    pa.array(np.concatenate([ids, np.zeros(len(speak), np.int64)]), mask=np.arange(len(ids) + len(speak)) >= len(ids)),
                     pa.array(np.concatenate([place, np.zeros(len(speak), np.int64)])),
                 ],
                 ["route", "key", "doc_id", "place"],
@@ -159,34 +162,34 @@ def _pieces(units: Units) -> Callable:
         for b in batches:
             ids = b.column(0).to_pylist()
             data, offsets = flat(b.column(1))
-            begin, end, first_unit = units.split(data, offsets)
             lists = b.column(2)
             bounds = lists.offsets.to_numpy().astype(np.int64)
             inner = lists.values
             keys, places = inner.field(0).to_numpy(), inner.field(1).to_numpy()
-            whole = memoryview(data)
             first: dict[bytes, int] = {}
             rows: list[tuple[int, int, int, int, bytes | None]] = []
-            for i, doc_id in enumerate(ids):
-                if bounds[i] == bounds[i + 1]:
-                    continue
-                at = slice(bounds[i], bounds[i + 1])
-                start, n = places[at] // PLACE, places[at] % PLACE
-                a = begin[first_unit[i] + start]
-                z = end[first_unit[i] + start + n + (units.window - 2)]
-                for key, s, m, x, y in zip(keys[at].tolist(), start.tolist(), n.tolist(), a.tolist(), z.tolist(), strict=True):
-                    piece = units.clean(bytes(whole[x:y]))
-                    digest = blake2b(piece, digest_size=16).digest()
-                    k = first.setdefault(digest, len(rows))
-                    if k == len(rows):
-                        rows.append((key, doc_id, s, m, piece))
-                    elif (old := rows[k])[1:3] == (doc_id, s):
-                        continue  # the same row again
-                    elif old[1:3] < (doc_id, s):
-                        rows.append((key, doc_id, s, m, None))
-                    else:
-                        rows.append((*old[:4], None))
-                        rows[k] = (key, doc_id, s, m, piece)
+            for i, j in groups_of(np.diff(offsets), GROUP_BYTES):
+                own = data[offsets[i] : offsets[j]]
+                begin, end, first_unit = units.split(own, offsets[i : j + 1] - offsets[i])
+                whole = memoryview(own)
+                for d in range(i, j):
+                    doc_id, at = ids[d], slice(bounds[d], bounds[d + 1])
+                    start, n = places[at] // PLACE, places[at] % PLACE
+                    a = begin[first_unit[d - i] + start]
+                    z = end[first_unit[d - i] + start + n + (units.window - 2)]
+                    for key, s, m, x, y in zip(keys[at].tolist(), start.tolist(), n.tolist(), a.tolist(), z.tolist(), strict=True):
+                        piece = units.clean(bytes(whole[x:y]))
+                        digest = blake2b(piece, digest_size=16).digest()
+                        k = first.setdefault(digest, len(rows))
+                        if k == len(rows):
+                            rows.append((key, doc_id, s, m, piece))
+                        elif (old := rows[k])[1:3] == (doc_id, s):
+                            continue  # the same row again
+                        elif old[1:3] < (doc_id, s):
+                            rows.append((key, doc_id, s, m, None))
+                        else:
+                            rows.append((*old[:4], None))
+                            rows[k] = (key, doc_id, s, m, piece)
             for k in range(0, len(rows), 50_000):
                 part = list(zip(*rows[k : k + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays(
