@@ -67,7 +67,11 @@ def load_targets(
     the map ``extras``. A list with any bad cell loads nothing. ``strict`` refuses empty ``tract`` and
     ``patch`` cells.
     """
-    lines = read_lines(spark, paths)
+    return parse_targets(read_lines(spark, paths), list_col, strict)
+
+
+def parse_targets(lines: DataFrame, list_col: str = "upload_id", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """:func:`load_targets` for lines (``path``, ``row_id``, ``line``) from any source."""
     readable = lines.where(_extension(F.col("path")).isin(FORMATS))
     rows = tables(readable).withColumnRenamed("path", list_col)
     parsers = {c: parsing.strict_int(cell(c)) for c in _INTEGERS}
@@ -94,7 +98,11 @@ def load_pointings(
     spark: SparkSession, paths: str | Sequence[str], list_col: str = "upload_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Pointing lists with defaults filled in, and the load report with the missing columns."""
-    lines = read_lines(spark, paths)
+    return parse_pointings(read_lines(spark, paths), list_col)
+
+
+def parse_pointings(lines: DataFrame, list_col: str = "upload_id") -> tuple[DataFrame, DataFrame]:
+    """:func:`load_pointings` for lines (``path``, ``row_id``, ``line``) from any source."""
     readable = lines.where(_extension(F.col("path")).isin(FORMATS))
     rows = tables(readable).withColumnRenamed("path", list_col)
     parsers = {

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
+from workload.files import FILE_ORACLES
 from workload.views import cte
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(FILE_ORACLES)
 
 FRAMES = "cast(ceil(exptime/9e2) as bigint)"
 CELL = "cast(trunc(ra) as bigint), ((cast(trunc(dec+4e1) as bigint) % 131) + 131) % 131"

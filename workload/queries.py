@@ -12,13 +12,14 @@ from skyloom.functions.timing import frames_in_hours, request_hours, semester_be
 from skyloom.operators import allocation, catalog, checks, cluster, completion, density, flux, registry, reports, spatial, visibility
 from skyloom.plans import pointing_plan, validation
 from skyloom.session import stage
+from workload.files import FILE_QUERIES
 from workload.views import table, view
 
 LISTS = ["list_no"]
 T = 900.0
 SPRING = (dt.date(2026, 4, 10), dt.date(2026, 4, 12))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(FILE_QUERIES)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
