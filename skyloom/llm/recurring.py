@@ -16,7 +16,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import flat, groups_of, keys_table, mix
@@ -24,8 +24,8 @@ from skyloom.session import stage
 
 SLICE = 1 << 20
 LOW = np.uint64((1 << 22) - 1)
-#: Text of a batch that is taken apart at a time.
-GROUP_BYTES = 2 << 20
+#: Text of a batch that is taken apart at a time, and texts of a batch that are expanded at a time.
+GROUP_BYTES, GROUP_TEXTS = 2 << 20, 500
 PLACE = 128  # more windows than any stretch has
 #: A single anchor with more text than this is dealt out again by window.
 HOT_BYTES = 32 << 20
@@ -51,6 +51,34 @@ class Units:
     locate: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def squeezed(text: Column) -> Column:
+    """Texts compressed one by one, for a shuffle; null stays null."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from zstandard import ZstdCompressor
+
+        press = ZstdCompressor(level=3).compress
+        for texts in batches:
+            yield pa.array([None if t is None else press(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, "binary")(text)
+
+
+def expanded(column: pa.Array) -> pa.Array:
+    """The texts again, as bytes."""
+    from zstandard import ZstdDecompressor
+
+    expand = ZstdDecompressor().decompress
+    return pa.array([None if t is None else expand(t) for t in column.to_pylist()], pa.large_binary())
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut smaller, so that fewer texts are expanded at a time."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     k = 1
     while 2 * k <= width:
@@ -148,29 +176,40 @@ def _keep_recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out(kept, np.array([before]))
 
 
+def joined(parts: list[tuple[int, int, int]]) -> list[tuple[None, int, int, int, None]]:
+    """Parts (doc_id, start, end) of documents with those that touch made one, as rows without key and piece; the
+    fourth column is their length."""
+    out: list[list] = []
+    for doc_id, start, end in sorted(parts):
+        if out and out[-1][0] == doc_id and start <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], end)
+        else:
+            out.append([doc_id, start, end])
+    return [(None, doc_id, start, end - start, None) for doc_id, start, end in out]
+
+
 STRETCH = "key long, doc_id long, start long, n long, piece binary"
 
 
 def _pieces(units: Units) -> Callable:
     """Texts of the stretches of a batch of documents: (key, doc_id, start, n, piece).
 
-    Of equal stretches in a batch only the earliest keeps its text; the others are repeats (no piece) whatever is
-    found for it.
+    Of equal stretches in a batch only the earliest keeps its text; the others are repeats whatever is found for it.
+    They have neither key nor piece, and n is their length in units.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
-            data, offsets = flat(b.column(1))
             lists = b.column(2)
             bounds = lists.offsets.to_numpy().astype(np.int64)
             inner = lists.values
             keys, places = inner.field(0).to_numpy(), inner.field(1).to_numpy()
             first: dict[bytes, int] = {}
             rows: list[tuple[int, int, int, int, bytes | None]] = []
-            for i, j in groups_of(np.diff(offsets), GROUP_BYTES):
-                own = data[offsets[i] : offsets[j]]
-                begin, end, first_unit = units.split(own, offsets[i : j + 1] - offsets[i])
+            for i, j in groups_of(np.ones(len(b), np.int64), GROUP_TEXTS):
+                own, offsets = flat(expanded(b.column(1).slice(i, j - i)))
+                begin, end, first_unit = units.split(own, offsets)
                 whole = memoryview(own)
                 for d in range(i, j):
                     doc_id, at = ids[d], slice(bounds[d], bounds[d + 1])
@@ -190,6 +229,7 @@ def _pieces(units: Units) -> Callable:
                         else:
                             rows.append((*old[:4], None))
                             rows[k] = (key, doc_id, s, m, piece)
+            rows = [r for r in rows if r[4] is not None] + joined([(d, s, s + m + units.window - 1) for _, d, s, m, p in rows if p is None])
             for k in range(0, len(rows), 50_000):
                 part = list(zip(*rows[k : k + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -278,7 +318,7 @@ def _shards(units: Units) -> Callable:
         for b in batches:
             for key, doc_id, start, n, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if piece is None:
-                    out.append((doc_id, start, n + window - 1, None))
+                    out.append((doc_id, start, n, None))
                     continue
                 if key != current:
                     close()
@@ -316,7 +356,8 @@ def repeats(docs: DataFrame, units: Units) -> DataFrame:
         .mapInArrow(_keep_recurring, "key long, doc_id long, place long")
     )
     by_doc = kept.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("found"))
-    pieces = texts.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(_pieces(units), STRETCH)
+    packed = texts.select("doc_id", squeezed(F.col("text")).alias("text"))
+    pieces = packed.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(_pieces(units), STRETCH)
     # repeats found already need not meet anything
     where = F.when(F.col("piece").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
     found, _ = stage(
@@ -331,9 +372,10 @@ def repeats(docs: DataFrame, units: Units) -> DataFrame:
 
 
 def cut(docs: DataFrame, parts: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run`` over (doc_id, text, parts), where parts is the list of (start, units) of a document or null."""
+    """``run`` over (doc_id, text, parts): the text squeezed, parts the list of (start, units) of a document or null."""
     by_doc = parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "units")).alias("parts"))
-    return docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(run, schema)
+    packed = docs.select("doc_id", squeezed(F.col("text")).alias("text"))
+    return packed.join(by_doc, "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(run, schema)
 
 
 def marks(parts: list | None, n: int) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skyloom.llm.common import IS_SPACE, flat, mix
-from skyloom.llm.recurring import LETTERS, WEIGHTS, Units, cut, marks, repeats
+from skyloom.llm.recurring import LETTERS, WEIGHTS, Units, cut, expanded, marks, repeats, sliced
 
 WINDOW = 20
 GRAM = 8
@@ -95,8 +95,8 @@ UNITS = Units(WINDOW, GRAM, 1 << 20, words, grams, clean, locate)
 
 
 def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, offsets = flat(b.column(1))
+    for b in sliced(batches):
+        data, offsets = flat(expanded(b.column(1)))
         total, removed, kept = [], [], []
         for i, parts in enumerate(b.column(2).to_pylist()):
             own = data[offsets[i] : offsets[i + 1]].tobytes().split()

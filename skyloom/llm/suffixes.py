@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skyloom.llm.common import flat
-from skyloom.llm.recurring import LETTERS, Units, cut, marks, repeats
+from skyloom.llm.recurring import LETTERS, Units, cut, expanded, marks, repeats, sliced
 
 WINDOW = 100
 GRAM = 32
@@ -82,8 +82,8 @@ UNITS = Units(WINDOW, GRAM, 2 << 20, each_byte, grams, bytes, locate)
 
 
 def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, offsets = flat(b.column(1))
+    for b in sliced(batches):
+        data, offsets = flat(expanded(b.column(1)))
         total, removed, spans, kept = np.diff(offsets), [], [], []
         for i, parts in enumerate(b.column(2).to_pylist()):
             own = data[offsets[i] : offsets[i + 1]]
