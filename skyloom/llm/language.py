@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import flat, held_out
@@ -117,23 +117,26 @@ def train(windows: np.ndarray, languages: np.ndarray, names: list[str], epochs:
 
 
 def sample(docs: DataFrame, per_language: int = 1000, max_rows: int = 20_000, windows: int = 4) -> DataFrame:
-    """Labelled rows to learn from: (lang, pieces), at most ``per_language`` of each language and ``max_rows`` in all.
+    """Labelled rows to learn from: (lang, pieces), about ``per_language`` of each language, ``max_rows`` in all at most.
 
-    Rows and the places of a text's pieces are chosen by a hash of the id, over whole texts. Held-out rows, null
-    languages and texts without letters are left out.
+    Languages are counted, and of each the share of rows is taken, by a hash of the id, that gives so many. The places
+    of a text's pieces are chosen by a hash too, over whole texts. Held-out rows, null languages and texts without
+    letters are left out.
     """
-    pick = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     n = "cast(ceil(octet_length(text) / {0}) as bigint)".format(WINDOW)
     pieces = (
         f"transform(sequence(1, {windows}), j -> "
         f"substring(encode(text, 'utf-8'), cast(pmod(xxhash64(doc_id, j), {n}) * {WINDOW} + 1 as int), {WINDOW}))"
     )
-    chosen = (
-        docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("doc_id", "lang", F.expr(pieces).alias("pieces"))
-        .withColumn("nth", pick).where(F.col("nth") <= per_language)
+    known = docs.select("doc_id", "lang", "text").where(
+        ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    return chosen.orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang", "nth").limit(max_rows).select("lang", "pieces")
+    # one row for each of the thousand commonest languages at most, which go to the rows
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000)
+    shares = F.broadcast(counts.select("lang", (F.lit(float(per_language)) / F.col("n")).alias("share")))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = known.join(shares, "lang").where(place < F.col("share")).select("doc_id", "lang", F.expr(pieces).alias("pieces"))
+    return chosen.orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang", "pieces").limit(max_rows).select("lang", "pieces")
 
 
 def fit(docs: DataFrame, per_language: int = 1000, max_rows: int = 20_000, windows: int = 4) -> Network | None:
