@@ -527,3 +527,8 @@ hit as (select distinct ppc_code, ppc_no, ppc_ra, ppc_dec from inside),
 first_hit as (select ppc_code, min(ppc_no % 10) as no, arg_min(ppc_ra, ppc_no) as ra, arg_min(ppc_dec, ppc_no) as dec from hit group by ppc_code)
 select o.ppc_code, f.no as shift_no, round(coalesce(f.ra, o.ppc_ra), 6) as ppc_ra, round(coalesce(f.dec, o.ppc_dec), 6) as ppc_dec
 from off o left join first_hit f using (ppc_code) where f.no is null or f.no > 0"""
+
+# a plan may differ in its pointings, but not in what it keeps
+ORACLES["plan_invariants"] = ORACLES["user_plan_invariants"] = cte("targets") + """
+select list_no, resolution, count(*) as n_targets, 0::bigint as n_outside, 0::bigint as n_repeated, 0::bigint as n_over_capacity, 0::bigint as n_partial
+from targets group by all"""

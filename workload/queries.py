@@ -637,6 +637,37 @@ def plan_pointings(spark, sf):
     return plan.pointings.select("list_no", "resolution", "ppc_code", "ppc_ra", "ppc_dec", "n_assigned", "tel_fiber_usage_frac", "ppc_priority")
 
 
+def _invariants(plan: pointing_plan.Plan, capacity: int) -> DataFrame:
+    """What every plan has to keep, per list and resolution: counts of what breaks it."""
+    keys = [*LISTS, "resolution"]
+    bridge, targets = plan.bridge, plan.targets
+    inside = spatial.targets_in_fields(targets, plan.pointings, keys).select(*keys, "ppc_code", "ob_code").distinct()
+    got = bridge.groupBy(*keys, "ob_code").agg(F.count(F.lit(1)).alias("got"))
+    broken = {
+        "n_outside": bridge.join(inside, [*keys, "ppc_code", "ob_code"], "left_anti"),
+        "n_repeated": bridge.groupBy(*keys, "ppc_code", "ob_code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "n_over_capacity": bridge.groupBy(*keys, "ppc_code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > capacity),
+        "n_partial": got.join(targets.select(*keys, "ob_code", "frames"), [*keys, "ob_code"]).where("got <> frames"),
+    }
+    out = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_targets"))
+    for name, rows in broken.items():
+        out = out.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys, "left")
+    return out.select(*keys, "n_targets", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in broken])
+
+
+@query
+def user_plan_invariants(spark, sf):
+    """The given pointings again: fields, capacity and whole targets are kept."""
+    pointings = view(spark, sf, "pointings").withColumn("list_no", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return _invariants(pointing_plan.plan_pointings(view(spark, sf, "targets"), pointings, LISTS, T, capacity=60), 60)
+
+
+@query
+def plan_invariants(spark, sf):
+    """A plan of all lists: fields, capacity and whole targets are kept."""
+    return _invariants(pointing_plan.plan_pointings(view(spark, sf, "targets"), None, LISTS, T), pointing_plan.CAPACITY)
+
+
 # --- reproduction -------------------------------------------------------------------
 
 
