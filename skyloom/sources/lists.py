@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyloom.functions import parsing
 from skyloom.operators.ordered import rank_rows
 from skyloom.schema import FILTER_NAMES, POINTING_REQUIRED, POINTING_TYPES
-from skyloom.sources.textfiles import cell, has, read_lines, tables
+from skyloom.sources.textfiles import has, read_lines, tables
 
 _INTEGERS = ["obj_id", "priority"]
 _INTEGERS_OR_NONE = ["tract", "patch"]
@@ -32,11 +33,14 @@ def _extension(path: Column) -> Column:
     return F.when((told == "") & path.rlike(r"/[^/=]+=[^/]+$"), "ecsv").otherwise(told)
 
 
-def _typed(rows: DataFrame, parsers: dict[str, tuple[Column, Column]]) -> DataFrame:
+def _typed(lines: DataFrame, list_col: str, parsers: dict[str, Callable[[Column], tuple[Column, Column]]]) -> DataFrame:
     """Apply parsers to the cells of each named column; ``_error`` is the first failure of a row."""
-    values = {name: F.when(has(name), value) for name, (value, _) in parsers.items()}
-    errors = [F.when(has(name), error) for name, (_, error) in parsers.items()]
-    return rows.withColumns({**values, "_error": F.coalesce(*errors)})
+    rows = tables(lines, names=list(parsers)).withColumnRenamed("path", list_col)
+    parsed = {name: parse(F.col("_cells")[i]) for i, (name, parse) in enumerate(parsers.items())}
+    there = {name: F.col("_at")[i] > 0 for i, name in enumerate(parsers)}
+    values = {name: F.when(there[name], value) for name, (value, _) in parsed.items()}
+    failures = F.array_compact(F.array(*[F.when(there[name], error) for name, (_, error) in parsed.items()]))
+    return rows.withColumns({**values, "_error": F.try_element_at(failures, F.lit(1))}).drop("_at", "_cells")
 
 
 def _report(rows: DataFrame, lines: DataFrame, list_col: str) -> DataFrame:
@@ -73,14 +77,13 @@ def load_targets(
 def parse_targets(lines: DataFrame, list_col: str = "upload_id", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """:func:`load_targets` for lines (``path``, ``row_id``, ``line``) from any source."""
     readable = lines.where(_extension(F.col("path")).isin(FORMATS))
-    rows = tables(readable).withColumnRenamed("path", list_col)
-    parsers = {c: parsing.strict_int(cell(c)) for c in _INTEGERS}
-    parsers |= {c: parsing.plain_text(cell(c)) for c in _TEXTS}
-    parsers |= {c: parsing.text_or_missing(cell(c)) for c in _OPTIONAL_TEXTS}
-    parsers |= {c: parsing.number(cell(c)) for c in _NUMBERS}
-    parsers |= {c: parsing.int_or_none(cell(c), allow_empty=not strict) for c in _INTEGERS_OR_NONE}
-    parsers |= {c: parsing.number(cell(c)) for n in FILTER_NAMES for c in (n, f"{n}_error")}
-    typed = _typed(rows, parsers).withColumn("priority", F.col("priority").cast("int"))
+    parsers = dict.fromkeys(_INTEGERS, parsing.strict_int)
+    parsers |= dict.fromkeys(_TEXTS, parsing.plain_text)
+    parsers |= dict.fromkeys(_OPTIONAL_TEXTS, parsing.text_or_missing)
+    parsers |= dict.fromkeys(_NUMBERS, parsing.number)
+    parsers |= dict.fromkeys(_INTEGERS_OR_NONE, partial(parsing.int_or_none, allow_empty=not strict))
+    parsers |= {c: parsing.number for n in FILTER_NAMES for c in (n, f"{n}_error")}
+    typed = _typed(readable, list_col, parsers).withColumn("priority", F.col("priority").cast("int"))
     extras = F.map_filter(
         F.map_from_arrays("header", F.slice(F.concat("values", F.array_repeat(F.lit(None).cast("string"), F.size("header"))), F.lit(1), F.size("header"))),
         lambda k, _: ~k.isin(sorted(KNOWN)),
@@ -104,12 +107,8 @@ def load_pointings(
 def parse_pointings(lines: DataFrame, list_col: str = "upload_id") -> tuple[DataFrame, DataFrame]:
     """:func:`load_pointings` for lines (``path``, ``row_id``, ``line``) from any source."""
     readable = lines.where(_extension(F.col("path")).isin(FORMATS))
-    rows = tables(readable).withColumnRenamed("path", list_col)
-    parsers = {
-        c: parsing.number(cell(c)) if t.simpleString() == "double" else parsing.text_or_missing(cell(c))
-        for c, t in POINTING_TYPES.items()
-    }
-    typed = _typed(rows, parsers)
+    parsers = {c: parsing.number if t.simpleString() == "double" else parsing.text_or_missing for c, t in POINTING_TYPES.items()}
+    typed = _typed(readable, list_col, parsers)
     report = _report(typed, lines, list_col)
     columns = typed.groupBy(list_col).agg(F.max("header").alias("_header")).select(
         list_col, F.array_except(F.array(*[F.lit(c) for c in POINTING_REQUIRED]), "_header").alias("missing")

@@ -56,10 +56,11 @@ def cells(line: Column, space: Column | None = None) -> Column:
     return by_comma if space is None else F.when(space, split(line, " ", _CELL_SPACE)).otherwise(by_comma)
 
 
-def tables(lines: DataFrame, key: str = "path") -> DataFrame:
+def tables(lines: DataFrame, key: str = "path", names: Sequence[str] = ()) -> DataFrame:
     """Body rows of comment-free CSV or ECSV text as ``header`` and ``values`` arrays.
 
-    The first line of a file that is neither blank nor a comment is its header.
+    The first line of a file that is neither blank nor a comment is its header. For many ``names`` their places are
+    looked up once per file: ``_at`` has the place of each name (0 if absent) and ``_cells`` the cells in that order.
     """
     body_text = F.regexp_replace(without_comment(F.col("line")), r"\r$", "")
     split = lines.withColumn("_body", F.when(F.trim(body_text) != "", body_text))
@@ -78,11 +79,20 @@ def tables(lines: DataFrame, key: str = "path") -> DataFrame:
         cells(F.col("_head._body"), space).alias("header"),
     )
     info = info.withColumn("header", F.transform("header", lambda c: F.trim(c)))
+    if names:
+        places = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(F.col("header"), n).cast("int"))
+        info = info.withColumn("_at", places)
     # one row per file, which Spark broadcasts when it is small enough; a huge file is split otherwise
-    return (
+    rows = (
         body.join(info, key).where(F.col("row_id") > F.col("_first"))
-        .select(*[c for c in body.columns if c != "line"], "header", cells(F.col("line"), F.col("_space")).alias("values"))
+        .select(
+            *[c for c in body.columns if c != "line"], "header", *(["_at"] if names else []),
+            cells(F.col("line"), F.col("_space")).alias("values"),
+        )
     )
+    if names:
+        rows = rows.withColumn("_cells", F.transform("_at", lambda at: F.when(at > 0, F.try_element_at(F.col("values"), at))))
+    return rows
 
 
 def cell(name: str) -> Column:
