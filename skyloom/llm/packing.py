@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +23,35 @@ SCHEMA = (
 )
 #: White space as the tokenizer's splitting pattern sees it (the Unicode property, without 0x1C to 0x1F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The splitting pattern never joins what stands before a blank to what comes after it.
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-KNOWN_CHUNKS = 600_000
+#: Some letters, and all ASCII characters that are neither letters nor white space.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+SIGNS = "!-@\\[-`{-~"
+#: The splitting pattern never joins what stands before a blank to what comes after it, nor letters to a sign after them.
+CHUNK = re.compile(f" ?[{LETTERS}]++(?=[{SPACE}{SIGNS}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Chunks that a task remembers, at some 200 bytes each.
+KNOWN_CHUNKS = 500_000
+
+
+@cache
+def tokenizer(path: str):
+    """A worker loads a vocabulary once. The chunks that it has met end with their task."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class ChunkIds(dict):
     """Ids of chunks of text (a word with the blank before it) as bytes of 32-bit integers.
 
-    The tokenizer splits at white space first, so a text's ids are those of its chunks, one after the other. A chunk
-    that was met before is not encoded again. Texts with an added token's own string are encoded whole.
+    The tokenizer splits a text wherever CHUNK does, so a text's ids are those of its chunks, one after the other. A
+    chunk that was met before is not encoded again. Texts with an added token's own string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def of(self, text: str) -> bytes:
@@ -56,19 +70,6 @@ class ChunkIds(dict):
             return b"".join(map(self.__getitem__, chunks))
 
 
-_chunk_ids: dict[str, ChunkIds] = {}
-
-
-def chunk_ids(path: str) -> ChunkIds:
-    """The worker's own table of chunks for a vocabulary file, kept from task to task."""
-    if path not in _chunk_ids:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _chunk_ids[path] = ChunkIds(path)
-    return _chunk_ids[path]
-
-
 class Levels:
     """Open windows by fill level. ``counts[h]`` windows hold h of ``size`` ids; level 0 is a new window."""
 
@@ -137,7 +138,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, levels = chunk_ids(vocabulary), Levels(size)
+        ids_of, levels = ChunkIds(vocabulary), Levels(size)
         first = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
         out: list[tuple] = []
@@ -171,6 +172,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0) ->
                         close(full)
                 if len(out) >= 20_000:
                     yield batch()
+        ids_of.clear()
         for window in levels.rest():
             close(window)
         yield batch()

@@ -199,7 +199,7 @@ def _pieces(units: Units) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 4000):
             ids = b.column(0).to_pylist()
             lists = b.column(2)
             bounds = lists.offsets.to_numpy().astype(np.int64)

@@ -91,7 +91,7 @@ def locate(pieces: list[bytes], n: np.ndarray, copied: np.ndarray) -> tuple[np.n
     return tuple(np.array(x) for x in zip(*out, strict=True))
 
 
-UNITS = Units(WINDOW, GRAM, 1 << 20, words, grams, clean, locate)
+UNITS = Units(WINDOW, GRAM, 1 << 19, words, grams, clean, locate)
 
 
 def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
