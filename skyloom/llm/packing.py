@@ -28,30 +28,27 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 SIGNS = "!-@\\[-`{-~"
 #: The splitting pattern never joins what stands before a blank to what comes after it, nor letters to a sign after them.
 CHUNK = re.compile(f" ?[{LETTERS}]++(?=[{SPACE}{SIGNS}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Chunks that a task remembers, at some 200 bytes each.
-KNOWN_CHUNKS = 500_000
-
-
-@cache
-def tokenizer(path: str):
-    """A worker loads a vocabulary once. The chunks that it has met end with their task."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Half of the chunks that a worker remembers, at some 200 bytes each.
+KNOWN_CHUNKS = 250_000
 
 
 class ChunkIds(dict):
     """Ids of chunks of text (a word with the blank before it) as bytes of 32-bit integers.
 
     The tokenizer splits a text wherever CHUNK does, so a text's ids are those of its chunks, one after the other. A
-    chunk that was met before is not encoded again. Texts with an added token's own string are encoded whole.
+    chunk that was met before is not encoded again. When enough are known they become the old ones, of which those
+    that are met again are known again; the old ones before are forgotten. Texts with an added token's own string are
+    encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = tokenizer(path)
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.old: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def of(self, text: str) -> bytes:
@@ -61,15 +58,23 @@ class ChunkIds(dict):
         try:
             return b"".join(map(self.__getitem__, chunks))
         except KeyError:
-            new = [c for c in set(chunks) if c not in self]
-            if len(self) + len(new) > KNOWN_CHUNKS:
+            if len(self) > KNOWN_CHUNKS:
+                self.old = dict(self)
                 self.clear()
-                new = list(set(chunks))
+            here = set(chunks)
+            self.update((c, self.old[c]) for c in here & self.old.keys())
+            new = [c for c in here if c not in self]
             for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self[c] = np.array(e.ids, "<u4").tobytes()
             return b"".join(map(self.__getitem__, chunks))
 
 
+@cache
+def chunk_ids(path: str) -> ChunkIds:
+    """The worker's own chunks for a vocabulary file, kept from task to task."""
+    return ChunkIds(path)
+
+
 class Levels:
     """Open windows by fill level. ``counts[h]`` windows hold h of ``size`` ids; level 0 is a new window."""
 
@@ -138,7 +143,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, levels = ChunkIds(vocabulary), Levels(size)
+        ids_of, levels = chunk_ids(vocabulary), Levels(size)
         first = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
         out: list[tuple] = []
@@ -172,7 +177,6 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0) ->
                         close(full)
                 if len(out) >= 20_000:
                     yield batch()
-        ids_of.clear()
         for window in levels.rest():
             close(window)
         yield batch()
