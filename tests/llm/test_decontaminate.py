@@ -68,3 +68,41 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 6]
     assert leaks(df, bench.limit(0)).count() == leaks(df.limit(0), bench).count() == 0
     assert without_leaks(df, bench.limit(0)).count() == len(docs)
+
+
+def quoted(rnd, quote):
+    """A text of other letters around a quote, at any place."""
+    return "".join(rnd.choice("0123456789") for _ in range(rnd.randrange(300))) + "\n" + quote + "\n" + "7" * rnd.randrange(50)
+
+
+def found_in(index, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return [p for _, places in index.search(data, np.array([0, len(data)])) for p in places]
+
+
+def test_partial_quotes_at_any_place():
+    rnd = random.Random(4)
+    for size in [124, 130, 151, 200, 233, 900] * 4:
+        item = "".join(rnd.choice("abcdefgh ") for _ in range(size))
+        index = Index.of([(7, item)])
+        for n in {124, 150, size * 9 // 10, size * 8 // 10}:
+            if 124 <= n <= size:
+                a = rnd.randrange(size - n + 1)
+                text = quoted(rnd, item[a : a + n])
+                places = found_in(index, text)
+                assert places, (size, n, a)
+                for p, start, end, e in places:
+                    assert edits(index.passages[p].tobytes(), fold(text)[start:end]) <= e <= len(index.passages[p]) // 20
+        text = list(item)
+        text[size // 2] = "x"
+        assert {e for *_, e in found_in(index, "".join(text))} <= {0, 1}
+        assert not found_in(index, quoted(rnd, item[:90]))
+    # a whole item counts once for each longer passage, its short passages do not
+    assert len(found_in(Index.of([(7, item)]), item)) == 5
+
+
+def test_short_items_verbatim_at_word_bounds():
+    index = Index.of([(1, "What is a quokka?"), (2, "blue whale songs"), (3, "tiny")])
+    assert {index.item[p] for p, *_ in found_in(index, "Q: what is\ta Quokka? A: no. Blue whale songs, tiny")} == {1, 2}
+    assert not found_in(index, "what is a quokkas? blue whale songster xblue whale songs what is a quoka?")
+    assert [s for _, s, *_ in found_in(index, "xblue whale songs blue whale songs")] == [18]
