@@ -5,11 +5,13 @@ the gram of the window with the smallest hash; equal windows have equal anchors.
 anchor form a *stretch*. Only stretches whose anchor recurs can hold a repeated window, so that the texts of those
 alone are brought together, by anchor, and examined there by the method of the operator.
 
-Nothing here decides by hash alone: hashes only choose which texts are compared.
+Hashes choose which texts are compared, and 128-bit digests stand for texts in two places: for equal stretches of a
+batch, and for the windows of hot anchors.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -29,6 +31,11 @@ GROUP_BYTES, GROUP_TEXTS = 2 << 20, 500
 PLACE = 128  # more windows than any stretch has
 #: A single anchor with more text than this is dealt out again by window.
 HOT_BYTES = 32 << 20
+#: A single anchor with more distinct text than this in one batch of documents is hot from the start: its stretches are
+#: spread over all tasks.
+SPREAD_BYTES = 128 << 10
+#: Rows of an outgoing batch, about.
+OUT_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -195,7 +202,8 @@ def _pieces(units: Units) -> Callable:
     """Texts of the stretches of a batch of documents: (key, doc_id, start, n, piece).
 
     Of equal stretches in a batch only the earliest keeps its text; the others are repeats whatever is found for it.
-    They have neither key nor piece, and n is their length in units.
+    They have neither key nor piece, and n is their length in units. Stretches of anchors that are hot have a negative
+    n; a row with the key alone says so where other batches' stretches of that anchor arrive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +237,15 @@ def _pieces(units: Units) -> Callable:
                         else:
                             rows.append((*old[:4], None))
                             rows[k] = (key, doc_id, s, m, piece)
-            rows = [r for r in rows if r[4] is not None] + joined([(d, s, s + m + units.window - 1) for _, d, s, m, p in rows if p is None])
-            for k in range(0, len(rows), 50_000):
-                part = list(zip(*rows[k : k + 50_000], strict=True))
+            weight: Counter[int] = Counter()
+            for r in rows:
+                if r[4] is not None:
+                    weight[r[0]] += len(r[4])
+            wide = {k for k, size in weight.items() if size > SPREAD_BYTES}
+            texts = [(k, d, s, -m, p) if k in wide else (k, d, s, m, p) for k, d, s, m, p in rows if p is not None]
+            rows = texts + [(k, None, None, None, None) for k in wide] + joined([(d, s, s + m + units.window - 1) for _, d, s, m, p in rows if p is None])
+            for k in range(0, len(rows), OUT_ROWS):
+                part = list(zip(*rows[k : k + OUT_ROWS], strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c, pa.int64()) for c in part[:4]), pa.array(part[4], pa.binary())],
                     ["key", "doc_id", "start", "n", "piece"],
@@ -241,10 +255,11 @@ def _pieces(units: Units) -> Callable:
 
 
 def _shards(units: Units) -> Callable:
-    """Of stretches sorted by anchor: (doc_id, start, units, digest) of the parts that repeat an earlier one.
+    """Of stretches sorted by anchor and doc_id: (doc_id, start, units, piece) of the parts that repeat an earlier one.
 
-    Anchors are taken together up to ``shard_bytes``. An anchor with more than HOT_BYTES of distinct texts gives its
-    windows one by one with a digest instead, to be grouped by that.
+    Anchors are taken together up to ``shard_bytes``. Stretches of hot anchors are passed on with their texts, units
+    being the number of their windows: those that come spread, and all of an anchor that is said to be hot or has more
+    than HOT_BYTES of distinct texts here.
     """
     window = units.window
 
@@ -255,13 +270,6 @@ def _shards(units: Units) -> Callable:
         sizes = [0, 0]
         current, hot = None, False
 
-        def windows(piece: bytes, doc_id: int, start: int, n: int) -> None:
-            data = np.frombuffer(piece, np.uint8)
-            begin, end, _ = units.split(data, np.array([0, len(data)]))
-            for k in range(n):
-                text = piece[begin[k] : end[k + window - 1]]
-                out.append((doc_id, start + k, window, blake2b(text, digest_size=16).digest()))
-
         def take(into: dict, piece: bytes, doc_id: int, start: int, n: int) -> int:
             old = into.get(piece)
             if old is None:
@@ -312,28 +320,32 @@ def _shards(units: Units) -> Callable:
             out.clear()
             return pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in part[:3]), pa.array(part[3], pa.binary())],
-                ["doc_id", "start", "units", "digest"],
+                ["doc_id", "start", "units", "piece"],
             )
 
         for b in batches:
             for key, doc_id, start, n, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if piece is None:
-                    out.append((doc_id, start, n, None))
+                if len(out) >= OUT_ROWS:
+                    yield batch()
+                if doc_id is not None and (piece is None or n < 0):
+                    out.append((doc_id, start, abs(n), piece))
                     continue
                 if key != current:
                     close()
                     current, hot = key, False
-                if hot:
-                    windows(piece, doc_id, start, n)
+                if doc_id is None:
+                    hot = True
+                elif hot:
+                    out.append((doc_id, start, n, piece))
                 else:
                     sizes[1] += take(group, piece, doc_id, start, n)
                     if sizes[1] > HOT_BYTES:
                         for p, r in group.items():
-                            windows(p, *r[:3])
+                            out.append((*r[:3], p))
+                            if len(out) >= OUT_ROWS:
+                                yield batch()
                         group.clear()
                         sizes[1], hot = 0, True
-                if len(out) >= 50_000:
-                    yield batch()
             if out:
                 yield batch()
         close()
@@ -343,11 +355,41 @@ def _shards(units: Units) -> Callable:
     return run
 
 
+def _windows(units: Units) -> Callable:
+    """The windows of stretches one by one: (doc_id, start, units, digest)."""
+    window = units.window
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int, bytes]] = []
+
+        def batch() -> pa.RecordBatch:
+            part = list(zip(*out, strict=True)) if out else [[]] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in part[:3]), pa.array(part[3], pa.binary())],
+                ["doc_id", "start", "units", "digest"],
+            )
+
+        for b in batches:
+            for doc_id, start, n, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = np.frombuffer(piece, np.uint8)
+                begin, end, _ = units.split(data, np.array([0, len(data)]))
+                for k in range(n):
+                    text = piece[begin[k] : end[k + window - 1]]
+                    out.append((doc_id, start + k, window, blake2b(text, digest_size=16).digest()))
+                if len(out) >= OUT_ROWS:
+                    yield batch()
+        yield batch()
+
+    return run
+
+
 def repeats(docs: DataFrame, units: Units) -> DataFrame:
     """(doc_id, start, units): parts of the documents covered by windows that also start earlier.
 
     Earlier is a smaller doc_id, or a smaller start in the same document. Parts may overlap. Texts are shuffled once
-    (to the stretches found in them), anchors once, and texts of stretches with a recurring anchor once.
+    (to the stretches found in them), anchors once, and texts of stretches with a recurring anchor once. Stretches of
+    hot anchors are shuffled once more, over all tasks, and their windows by digest.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     kept = (
@@ -358,17 +400,25 @@ def repeats(docs: DataFrame, units: Units) -> DataFrame:
     by_doc = kept.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("found"))
     packed = texts.select("doc_id", squeezed(F.col("text")).alias("text"))
     pieces = packed.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(_pieces(units), STRETCH)
-    # repeats found already need not meet anything
-    where = F.when(F.col("piece").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("key"))
-    found, _ = stage(
-        pieces.withColumn("key", where).repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_shards(units), "doc_id long, start long, units long, digest binary"),
-        "repeats",
+    # repeats found already need not meet anything, and stretches of hot anchors meet by window
+    apart = F.col("doc_id").isNotNull() & (F.col("piece").isNull() | (F.col("n") < 0))
+    found, seen = stage(
+        pieces.withColumn("key", F.when(apart, F.xxhash64("doc_id", "start")).otherwise(F.col("key")))
+        .repartition("key").sortWithinPartitions("key", "doc_id")
+        .mapInArrow(_shards(units), "doc_id long, start long, units long, piece binary"),
+        "repeats", n_hot=F.count("piece"),
+    )
+    parts = found.where("piece is null").select("doc_id", "start", "units")
+    if not seen["n_hot"]:
+        return parts
+    single, _ = stage(
+        found.where("piece is not null").repartition("doc_id", "start")
+        .mapInArrow(_windows(units), "doc_id long, start long, units long, digest binary"),
+        "windows",
     )
-    single = found.where("digest is not null")
     least = single.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("least"))
     later = single.join(least, "digest").where("struct(doc_id, start) > least")
-    return found.where("digest is null").unionByName(later, allowMissingColumns=True).select("doc_id", "start", "units")
+    return parts.unionByName(later.select("doc_id", "start", "units"))
 
 
 def cut(docs: DataFrame, parts: DataFrame, run: Callable, schema: str) -> DataFrame:

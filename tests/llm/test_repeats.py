@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from zstandard import ZstdCompressor
 
 from skyloom.llm import recurring, substring, suffixes
 from skyloom.llm.queries import op5_substring_dedup, op8_suffix_dedup
@@ -92,3 +94,46 @@ def test_empty_null_ids_and_repeated_rows(spark):
     for f, n in ((substring.remove_passages, 40), (suffixes.remove_strings, len(text))):
         assert f(df.limit(0)).count() == 0
         assert sorted((r.doc_id or 0, r.n_removed) for r in f(df).collect()) == [(0, 0), (1, 0), (1, 0), (2, n)]
+
+
+@pytest.mark.parametrize("spread", [0, 2000])
+def test_spread_anchors(spark, monkeypatch, spread):
+    """Anchors that are hot in all batches, and in some batches only."""
+    docs = fixture()
+    rnd = random.Random(6)
+    line = "a line of some length that stands in many documents " * 3
+    docs += [(1000 + i, f"{rnd.random()} {line}{rnd.random()}" if i % 3 < 1 or i < 60 else f"{rnd.random()}") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    monkeypatch.setattr(recurring, "SPREAD_BYTES", spread)
+    check_words(substring.remove_passages(df).collect(), docs)
+    check_bytes(suffixes.remove_strings(df).collect(), docs)
+
+
+def stretches_of_one_anchor(n):
+    rnd = random.Random(7)
+    pieces = [rnd.randbytes(165) for _ in range(n)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([5] * n), pa.array(range(n)), pa.array([0] * n), pa.array([66] * n), pa.array(pieces, pa.binary())],
+        ["key", "doc_id", "start", "n", "piece"],
+    )
+
+
+def test_hot_anchors_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(recurring, "HOT_BYTES", 1 << 20)
+    out = list(recurring._shards(suffixes.UNITS)(iter([stretches_of_one_anchor(10_000)])))
+    assert max(len(b) for b in out) <= 60_000
+    windows = list(recurring._windows(suffixes.UNITS)(iter(out)))
+    assert max(len(b) for b in windows) <= 60_000
+    assert sum(len(b) for b in windows) == 660_000
+
+
+def test_a_common_line_is_spread_before_the_shuffle():
+    rnd = random.Random(8)
+    line = bytes(rnd.choices(b"abcdefgh ", k=60))
+    texts = [bytes(rnd.choices(b"abcdefgh ", k=100)) + line + bytes(rnd.choices(b"abcdefgh ", k=100)) for _ in range(2000)]
+    packed = pa.array([ZstdCompressor().compress(t) for t in texts], pa.binary())
+    found = pa.array([[{"key": 9, "place": 80 * recurring.PLACE + 60}]] * 2000, pa.list_(pa.struct({"key": pa.int64(), "place": pa.int64()})))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), packed, found], ["doc_id", "text", "found"])
+    rows = [r for b in recurring._pieces(suffixes.UNITS)(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["doc_id"] is None for r in rows) == 1
+    assert sum(r["doc_id"] is not None and r["n"] < 0 for r in rows) == 2000
