@@ -61,3 +61,20 @@ def test_odd_rows(spark, monkeypatch, sizes):
 def test_repeated_rows_and_null_id(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in vectors.near_vectors(df).collect()) == [(1, 1, 1, True)] * 2
+
+
+def test_recall_with_more_lists_than_probes(spark, monkeypatch):
+    """Planted pairs of cosine 0.90 to 0.92 in about 300 lists, of which 16 are looked into."""
+    monkeypatch.setattr(vectors, "LIST", 10)
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(2500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rnd.normal(size=(500, 64))
+    side -= (side * x[:500]).sum(1, keepdims=True) * x[:500]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rnd.uniform(0.901, 0.92, size=(500, 1))
+    rows = list(enumerate(np.concatenate([x, cosine * x[:500] + np.sqrt(1 - cosine**2) * side]).astype(np.float32).tolist()))
+    links, _ = brute(rows)
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert sum(map(len, links.values())) == 1000 and all(got[i] <= len(links[i]) for i in links)
+    assert sum(got.values()) >= 980
