@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import decontaminate, language, licenses, packing, preferences, quality, simhash, substring, suffixes, vectors
+from skyloom.llm import (
+    decontaminate, language, licenses, mixing, packing, preferences, prefixes, quality, resampling, simhash, substring, suffixes, vectors,
+)
 from skyloom.llm.oracles import ORACLES
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -75,11 +77,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
+    return mixing.allocate(table(spark, sf_dir, "documents"))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefixes that grafted conversations share."""
+    return prefixes.prefix_trie(prefixes.grafted(prefixes.turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_preference_format, op3_packing, op4_decontamination, op5_substring_dedup, op6_simhash_neardup, op7_quality,
-        op8_suffix_dedup, op9_embedding_neardup, op10_license_scan,
+        op8_suffix_dedup, op9_embedding_neardup, op10_license_scan, op11_source_mix, op12_target_resampling, op13_prefix_trie,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
