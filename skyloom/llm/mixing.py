@@ -19,6 +19,7 @@ from skyloom.session import stage
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Cells of the order keys of a source. Sums per cell find the cell that the last document taken is in.
 CELLS = 65_536
+CELL_BLOCK = 256
 
 
 def bits(size: Column) -> Column:
@@ -99,9 +100,9 @@ def plan(narrow: DataFrame, weights: Sequence[int], share: float, max_copies: in
     )
     keyed = _keyed(narrow, chances).where("key is not null and size > 0")
     budget = chances.groupBy("origin").agg((F.max(F.floor(F.col("target") + 0.5)) - F.sum(F.col("whole") * F.col("class_size"))).alias("budget"))
-    # the cell of the last document: one row per source and cell
-    along = W.partitionBy("origin").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    cells = keyed.groupBy("origin", _cell().alias("cell")).agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(along))
+    # the cell of the last document: one row per source and cell, summed up by blocks of cells
+    cells = keyed.groupBy("origin", _cell().alias("cell")).agg(F.sum("size").alias("words"))
+    cells = running_sum(cells, ["origin"], "cell", {"words": "upto"}, block=CELL_BLOCK)
     at = (
         join_back(cells, budget, ["origin"]).where("upto >= budget and upto - words < budget")
         .select("origin", "cell", (F.col("budget") - F.col("upto") + F.col("words")).alias("room"))
