@@ -88,12 +88,12 @@ def _visit_rounds(
     """Hand out visits in rounds; every target asks for what it still needs, every pointing takes what fits.
 
     A round with an open target and a pointing with room places at least one visit; the first round that places
-    none is the last.
+    none is the last. ``_room`` of the cover is what a pointing can take in all.
     """
     pair = [*keys, "ppc_code", "ob_code"]
     while True:
         if taken is None:
-            open_pairs = cover.withColumns({"_need": F.col("frames"), "_free": F.lit(capacity)})
+            open_pairs = cover.withColumns({"_need": F.col("frames"), "_free": F.col("_room")})
         else:
             got = taken.groupBy(*keys, "ob_code").agg(F.count(F.lit(1)).alias("_got"))
             used = taken.groupBy(*keys, "ppc_code").agg(F.count(F.lit(1)).alias("_used"))
@@ -101,20 +101,69 @@ def _visit_rounds(
             open_pairs = open_pairs.withColumns(
                 {
                     "_need": F.col("frames") - F.coalesce("_got", F.lit(0)),
-                    "_free": F.lit(capacity) - F.coalesce("_used", F.lit(0)),
+                    "_free": F.col("_room") - F.coalesce("_used", F.lit(0)),
                 }
             ).drop("_got", "_used")
         open_pairs = open_pairs.where("_need > 0 and _free > 0")
-        # a hash spreads the wishes evenly over the pointings that cover a target
-        wish = W.partitionBy(*keys, "ob_code").orderBy(F.xxhash64("ob_code", "ppc_code"), "ppc_code")
-        wished = open_pairs.withColumn("_w", F.row_number().over(wish)).where("_w <= _need")
+        wished = open_pairs.withColumn("_w", F.row_number().over(_wish(keys))).where("_w <= _need")
         placed = top_rows(
             wished, [*keys, "ppc_code"], preference(), F.col("_free"), "ob_code", spread_for(n_pairs), bound=capacity
         ).select(*pair)
         placed, seen = stage(placed, "visits", n=F.count(F.lit(1)))
-        taken = placed if taken is None else stage(taken.unionByName(placed), "taken")[0]
         if not seen["n"]:
-            return taken
+            return placed if taken is None else taken
+        taken = placed if taken is None else stage(taken.unionByName(placed), "taken")[0]
+
+
+def _wish(keys: Sequence[str]):
+    # a hash spreads the wishes evenly over the pointings that cover a target
+    return W.partitionBy(*keys, "ob_code").orderBy(F.xxhash64("ob_code", "ppc_code"), "ppc_code")
+
+
+def _fitting(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs with room of the targets that find room for all their frames, numbered in the order of their wishes.
+
+    Room only shrinks, so that a target that does not fit now never will.
+    """
+    of_target = W.partitionBy(*keys, "ob_code")
+    return pairs.where("_free > 0").withColumns(
+        {"_w": F.row_number().over(_wish(keys)), "_n": F.count(F.lit(1)).over(of_target)}
+    ).where("_n >= frames").drop("_n")
+
+
+def _fill_whole(cover: DataFrame, taken: DataFrame, keys: list[str], capacity: int, n_pairs: int) -> DataFrame:
+    """``taken`` and the visits of further whole targets, until no target left out fits.
+
+    In each round every target that fits asks for all its frames at once, pointings take the preferred, and targets that
+    were taken everywhere stay. The most preferred target of a list always is among them, so that rounds come to an end.
+    """
+    pair = [*keys, "ppc_code", "ob_code"]
+    used = taken.groupBy(*keys, "ppc_code").agg(F.count(F.lit(1)).alias("_used"))
+    left_out = cover.join(taken.select(*keys, "ob_code").distinct(), [*keys, "ob_code"], "left_anti")
+    free = F.col("_free") - F.coalesce("_used", F.lit(0))
+    pairs = join_back(left_out.withColumn("_free", F.col("_room")), used, [*keys, "ppc_code"]).withColumn("_free", free).drop("_used")
+    pairs, seen = stage(_fitting(pairs, keys), "fitting", n=F.count(F.lit(1)))
+    while seen["n"]:
+        accepted = top_rows(
+            pairs.where("_w <= frames"), [*keys, "ppc_code"], preference(), F.col("_free"), "ob_code", spread_for(n_pairs), bound=capacity
+        )
+        of_target = W.partitionBy(*keys, "ob_code")
+        whole = accepted.withColumn("_got", F.count(F.lit(1)).over(of_target)).where("_got = frames").select(*pair)
+        whole, _ = stage(whole, "whole")
+        taken = taken.unionByName(whole)
+        used = whole.groupBy(*keys, "ppc_code").agg(F.count(F.lit(1)).alias("_used"))
+        rest = pairs.join(whole.select(*keys, "ob_code").distinct(), [*keys, "ob_code"], "left_anti")
+        rest = join_back(rest.drop("_w"), used, [*keys, "ppc_code"]).withColumn("_free", free).drop("_used")
+        pairs, seen = stage(_fitting(rest, keys), "fitting", n=F.count(F.lit(1)))
+    return taken
+
+
+def with_room(pointings: DataFrame, links: DataFrame | None, keys: Sequence[str], capacity: int) -> DataFrame:
+    """Add ``_room``: how many more targets a pointing takes."""
+    if links is None:
+        return pointings.withColumn("_room", F.lit(capacity))
+    used = links.groupBy(*keys, "ppc_code").agg(F.count(F.lit(1)).cast("int").alias("_used"))
+    return join_back(pointings, used, [*keys, "ppc_code"]).withColumn("_room", F.lit(capacity) - F.coalesce("_used", F.lit(0))).drop("_used")
 
 
 def assign_visits(
@@ -122,38 +171,68 @@ def assign_visits(
     pointings: DataFrame,
     list_cols: Sequence[str] = LIST_COLS,
     capacity: int = CAPACITY,
+    links: DataFrame | None = None,
 ) -> DataFrame:
-    """Final assignment of targets to pointings (``ppc_code``, ``ob_code``).
+    """Final assignment of targets to pointings (``ppc_code``, ``ob_code``), besides the ``links`` made before.
 
-    A target of ``frames`` frames gets that many pointings or none. Visits are handed out in rounds;
-    then incomplete targets give theirs back, and the freed fibres are handed out once more.
+    A target of ``frames`` frames gets that many pointings or none. Visits are handed out in rounds, in which a target
+    keeps what it got. Of the targets left incomplete, those of the last priority step of each list are then locked out
+    and give their visits back, which are handed out anew, until none is incomplete. In the end targets left out, the
+    locked ones too, are taken in as long as one fits wholly: no target left out finds room for all its frames.
     ``targets`` needs ``ob_code, ra, dec, priority, weight, frames``.
     """
     keys = list(list_cols)
+    target = [*keys, "ob_code"]
     pairs = targets_in_fields(
-        targets, pointings, keys, target_keep=("ob_code", "priority", "weight", "frames")
-    )
-    enough = pairs.groupBy(*keys, "ob_code", "frames").agg(F.count(F.lit(1)).alias("_n")).where("_n >= frames")
-    cover, seen = stage(
-        pairs.join(enough.select(*keys, "ob_code"), [*keys, "ob_code"], "left_semi"), "cover", n=F.count(F.lit(1))
-    )
-    links = cover.limit(0).select(*keys, "ppc_code", "ob_code")
+        targets, with_room(pointings, links, keys, capacity), keys, target_keep=("ob_code", "priority", "weight", "frames"),
+        pointing_keep=("ppc_code", "_room"),
+    ).where("_room > 0")
+    enough = pairs.groupBy(*target, "frames").agg(F.count(F.lit(1)).alias("_n")).where("_n >= frames")
+    cover, seen = stage(pairs.join(enough.select(*target), target, "left_semi"), "cover", n=F.count(F.lit(1)))
     n_pairs = seen["n"]
     if not n_pairs:
-        return links
-    need = targets.select(*keys, "ob_code", "frames")
-
-    def complete(taken: DataFrame) -> tuple[DataFrame, int]:
-        got = taken.groupBy(*keys, "ob_code").agg(F.count(F.lit(1)).alias("_got"))
-        partial = got.join(need, [*keys, "ob_code"]).where("_got < frames")
-        kept, seen = stage(
-            taken.join(partial, [*keys, "ob_code"], "left_anti"), "complete", n=F.count(F.lit(1))
-        )
-        return kept, seen["n"]
-
-    taken = _visit_rounds(cover, None, keys, capacity, n_pairs)
-    total = taken.count()
-    kept, n = complete(taken)
-    if n < total:
-        kept, _ = complete(_visit_rounds(cover, kept, keys, capacity, n_pairs))
-    return kept.select(*keys, "ppc_code", "ob_code")
+        return cover.select(*keys, "ppc_code", "ob_code")
+    need = cover.groupBy(*target).agg(F.max("frames").alias("frames"), F.max("priority").alias("priority"))
+    offered = cover
+    taken = _visit_rounds(offered, None, keys, capacity, n_pairs)
+    while True:
+        got = taken.groupBy(*target).agg(F.count(F.lit(1)).alias("_got"))
+        partial, seen = stage(got.join(need, target).where("_got < frames"), "partial", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            break
+        last = partial.groupBy(*keys).agg(F.max("priority").alias("_last")) if keys else partial.agg(F.max("priority").alias("_last"))
+        locked = join_back(partial, last, keys).where("priority = _last").select(*target)
+        offered, _ = stage(offered.join(locked, target, "left_anti"), "offered")
+        taken, _ = stage(taken.join(locked, target, "left_anti"), "taken")
+        taken = _visit_rounds(offered, taken, keys, capacity, n_pairs)
+    return _fill_whole(cover, taken, keys, capacity, n_pairs).select(*keys, "ppc_code", "ob_code")
+
+
+def leftovers(
+    targets: DataFrame, pointings: DataFrame, links: DataFrame, list_cols: Sequence[str] = LIST_COLS, capacity: int = CAPACITY,
+    out_of_rounds: bool = False,
+) -> DataFrame:
+    """The ledger of unplaced visits: ``ob_code, frames, frames_left, n_fields, n_free, reason``, a row per unfinished target.
+
+    ``no field``: no pointing covers the target; ``field full``: those that do have no room; ``all or nothing``: they have
+    room, but not for all its frames; ``round limit``: planning had ended before a field was looked for
+    (``out_of_rounds``). Frames asked for are those of ``links`` and those of the ledger.
+    """
+    keys = list(list_cols)
+    target = [*keys, "ob_code"]
+    got = links.groupBy(*target).agg(F.count(F.lit(1)).alias("_got"))
+    held = links.select(*target, "ppc_code", F.lit(True).alias("_held"))
+    left = join_back(targets, got, target).withColumn("frames_left", (F.col("frames") - F.coalesce("_got", F.lit(0))).cast("int")).where("frames_left > 0")
+    near = targets_in_fields(left, with_room(pointings, links, keys, capacity), keys, target_keep=("ob_code",), pointing_keep=("ppc_code", "_room"))
+    near = near.join(held, [*target, "ppc_code"], "left")
+    fields = near.groupBy(*target).agg(
+        F.count(F.lit(1)).alias("n_fields"), F.count_if((F.col("_room") > 0) & F.col("_held").isNull()).alias("n_free")
+    )
+    reason = (
+        F.when(F.col("n_fields") == 0, "round limit" if out_of_rounds else "no field")
+        .when(F.col("n_free") == 0, "field full").when(F.col("n_free") < F.col("frames_left"), "all or nothing").otherwise("round limit")
+    )
+    counted = join_back(left.select(*target, "frames", "frames_left"), fields, target).withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in ("n_fields", "n_free")}
+    )
+    return counted.withColumn("reason", reason)

@@ -95,24 +95,20 @@ def _grid_lines(centre: str, reach: str, axis: str) -> str:
     return f"if({first} <= {last}, sequence({first}, greatest({first}, {last})), array())"
 
 
-def density_map(
-    targets: DataFrame, groups: Sequence[str], weight: str = "weight", bandwidth: float = FIELD_RADIUS,
-    grid: DataFrame | None = None, collapse: bool = True,
-) -> DataFrame:
-    """Weighted density on the grid of every group: sum of w (1 - d / bandwidth) over near targets.
+SPOTS = 16  # parts of one place of the sky among the tasks that spread positions over the grid
+
+
+def spread(spots: DataFrame, groups: Sequence[str], grid: DataFrame, bandwidth: float) -> DataFrame:
+    """Each row of ``spots`` with every grid point within the bandwidth: ``ix, iy``, the point's ``gx, gy`` and the kernel
+    ``k`` (1 - d / bandwidth, above 0).
 
-    Only grid points near a target get a row. Every target meets the few grid points within the
-    bandwidth, and the sums are combined before the shuffle: the work grows with the targets, and a
-    dense group does not gather anywhere.
+    Targets of one place share their points and mostly are in one task, so that an aggregation of the result is combined
+    before its shuffle; a dense place is dealt to several tasks.
     """
-    grid = grid if grid is not None else grid_parameters(targets, groups)
-    # copies of a position count once; as every row is about to become hundreds, the few rows are
-    # spread over a fixed number of tasks that adaptive execution does not merge again
-    spots = targets.select(*groups, "ra", "dec", F.col(weight).alias("_w"))
-    if collapse:
-        spots = spots.groupBy(*groups, "ra", "dec").agg(F.sum("_w").alias("_w"))
-    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = join_back(spots, grid, groups).repartition(tasks, *groups, "ra", "dec")
+    tasks = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = [F.floor(F.col(c) / bandwidth) for c in ("ra", "dec")]
+    # as every row is about to become hundreds, the few rows are spread over tasks that are not merged again
+    rows = join_back(spots, grid, groups).repartition(tasks, *groups, *place, F.pmod(F.xxhash64("ra", "dec"), F.lit(SPOTS)))
     h = num(bandwidth)
     reach = (
         f"(if(abs(dec) + {h} >= 90, 180D, degrees(asin(least(1D, {num(math.sin(math.radians(bandwidth)))}"
@@ -123,14 +119,40 @@ def density_map(
         "ix", F.expr(f"explode(array_distinct(concat({turns})))")
     )
     x, y = "(x_origin + ix * x_step)", "(y_origin + iy * y_step)"
-    value = F.expr(f"_w * (1 - {separation_sql('ra', 'dec', x, y)} / {h})")
+    kernel = F.expr(f"1 - {separation_sql('ra', 'dec', x, y)} / {h}")
+    return met.withColumns({"gx": F.expr(x), "gy": F.expr(y), "k": kernel}).where("k > 0")
+
+
+def density_map(
+    targets: DataFrame, groups: Sequence[str], weight: str = "weight", bandwidth: float = FIELD_RADIUS,
+    grid: DataFrame | None = None, collapse: bool = True,
+) -> DataFrame:
+    """Weighted density on the grid of every group: sum of w (1 - d / bandwidth) over near targets.
+
+    Only grid points near a target get a row. The work grows with the targets, and a dense group does not gather anywhere.
+    """
+    grid = grid if grid is not None else grid_parameters(targets, groups)
+    spots = targets.select(*groups, "ra", "dec", F.col(weight).alias("_w"))
+    if collapse:  # copies of a position count once
+        spots = spots.groupBy(*groups, "ra", "dec").agg(F.sum("_w").alias("_w"))
+    points = spread(spots, groups, grid, bandwidth).groupBy(*groups, "ix", "iy")
+    return points.agg(F.min("gx").alias("ra"), F.min("gy").alias("dec"), F.expr("sum(_w * k)").alias("z"))
+
+
+def updated_map(density: DataFrame | None, changes: DataFrame, groups: Sequence[str], grid: DataFrame, bandwidth: float = FIELD_RADIUS) -> DataFrame:
+    """A map (``ix, iy, ra, dec, z, n``) after changes of weight: only the changed targets are spread over the grid.
+
+    ``changes`` has ``ra, dec, dw`` (change of weight) and ``dn`` (-1 for a target that goes, 1 for one that comes, else
+    0). ``n`` counts the targets near a point, so that a point that no target is left at goes, whatever the rounding of z.
+    Without a map it is that of the changes alone.
+    """
+    parts = spread(changes, groups, grid, bandwidth).select(
+        *groups, "ix", "iy", F.col("gx").alias("ra"), F.col("gy").alias("dec"), F.expr("dw * k").alias("z"), F.col("dn").cast("bigint").alias("n")
+    )
     return (
-        met.withColumn("z", value).where("z > 0")
-        .groupBy(*groups, "ix", "iy", "x_origin", "x_step", "y_origin", "y_step")
-        .agg(F.sum("z").alias("z"))
-        .select(
-            *groups, "ix", "iy", F.expr(x).alias("ra"), F.expr(y).alias("dec"), "z"
-        )
+        (parts if density is None else density.unionByName(parts)).groupBy(*groups, "ix", "iy")
+        .agg(F.min("ra").alias("ra"), F.min("dec").alias("dec"), F.sum("z").alias("z"), F.sum("n").alias("n"))
+        .where("n > 0")
     )
 
 

@@ -11,14 +11,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skyloom.functions.sky import cell_of
-from skyloom.operators.allocation import CAPACITY, assign_visits, fill_pointings, shift_empty_pointings
-from skyloom.operators.cluster import components
+from skyloom.functions.sky import cell_of, cells_around, num, separation_sql
+from skyloom.operators.allocation import CAPACITY, assign_visits, fill_pointings, leftovers, shift_empty_pointings
+from skyloom.operators.cluster import components, group_pointings
 from skyloom.operators.completion import completion_curve, rank_pointings, with_required_exposure
-from skyloom.operators.density import density_map, grid_parameters, local_density, target_weight
-from skyloom.operators.ordered import join_back, rank_rows
+from skyloom.operators.density import count_cell, grid_parameters, local_density, target_weight, updated_map
+from skyloom.operators.ordered import join_back, rank_rows, running_sum
 from skyloom.operators.reports import pointing_statistics
 from skyloom.operators.spatial import near_pairs, targets_in_fields
 from skyloom.schema import (
@@ -30,25 +30,23 @@ from skyloom.schema import (
     SINGLE_EXPTIME,
     WEIGHTS,
 )
-from skyloom.session import stage
+from skyloom.session import stage, stage_result, staged_scope
 
-# deg; in a plan, targets this close count as one point of the density map, and peaks are looked for on
-# a grid no finer than this, which is less than the shifts tried for an empty field
-BIN = 0.1
 SHIFT_EVERY = 4  # rounds between two looks at pointings without targets
 # a field is visited again in the same round while at least this share of its targets needs another frame;
 # otherwise the number of rounds would grow with the longest exposure
 REPEAT_SHARE = 0.7
-SMALL = 1_000_000  # rows up to which a round joins its density counts without storing them
 
 
 @dataclass
 class Plan:
-    """``pointings`` (one row each), ``bridge`` (ppc_code, ob_code) and the weighted ``targets``."""
+    """``pointings`` (one row each), ``bridge`` (ppc_code, ob_code), the weighted ``targets`` and the ``ledger`` of the
+    frames that are in no pointing, with a reason for each target."""
 
     pointings: DataFrame
     bridge: DataFrame
     targets: DataFrame
+    ledger: DataFrame
     status: int  # 999 found, 2 given by the user
     n_unfinished: int
 
@@ -64,46 +62,53 @@ def weighted_targets(
     )
 
 
-def separate_peaks(active: DataFrame, groups: Sequence[str], diameter: float = FIELD_DIAMETER) -> DataFrame:
-    """Density peaks of every group that are the highest within ``diameter`` of themselves.
+def start_map(active: DataFrame, groups: Sequence[str], grid: DataFrame, bandwidth: float) -> DataFrame:
+    """The density map (``ix, iy, ra, dec, z, n``) of all targets of ``active``."""
+    changes = active.select(*groups, "ra", "dec", F.col("weight").alias("dw"), F.lit(1).alias("dn"))
+    return updated_map(None, changes, groups, grid, bandwidth)
+
+
+def map_peaks(active: DataFrame, density: DataFrame, groups: Sequence[str], diameter: float = FIELD_DIAMETER) -> DataFrame:
+    """Points of a density map that are the highest of their group within ``diameter`` of themselves.
 
     Gives ``ppc_ra, ppc_dec, z`` and the tile (``band``, ``bin``) of each peak. The highest peak of a group
-    is always among them.
+    is always among them. A group of one target peaks at that target.
     """
     groups = list(groups)
-    grid = grid_parameters(active, groups, BIN)
-    binned = (
-        active.groupBy(*groups, F.floor(F.col("ra") / BIN).alias("_x"), F.floor(F.col("dec") / BIN).alias("_y"))
-        .agg(F.sum("weight").alias("weight"), F.avg("ra").alias("ra"), F.avg("dec").alias("dec"))
-    )
-    alone = grid.where("n_targets = 1").select(*groups)
-    single = (binned.join(alone, groups, "left_semi") if groups else binned.limit(0)).select(
-        *groups, "ra", "dec", F.col("weight").alias("z")
-    )
-    mapped = density_map(binned, groups, "weight", diameter / 2.0, grid.where("n_targets > 1"), collapse=False).select(
-        *groups, F.pmod("ra", F.lit(360.0)).alias("ra"), "dec", F.round("z", 9).alias("z")
+    alone = active.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("ra").alias("ra"), F.max("dec").alias("dec"), F.max("weight").alias("z")
+    ).where("_n = 1")
+    points = density.select(*groups, F.pmod("ra", F.lit(360.0)).alias("ra"), "dec", F.round("z", 9).alias("z")).unionByName(
+        alone.select(*groups, "ra", "dec", (F.col("z") + 1e-9).alias("z"))
     )
-    tile = cell_of("ra", "dec", diameter)
     best = (
-        mapped.unionByName(single).withColumn("_tile", tile)
+        points.withColumn("_tile", cell_of("ra", "dec", diameter))
         .groupBy(*groups, "_tile")
         .agg(F.max(F.struct("z", F.negate("ra").alias("r"), F.negate("dec").alias("d"))).alias("_best"))
-        .select(*groups, F.col("_tile.band").alias("band"), F.col("_tile.bin").alias("bin"), "_best")
+        .select(*groups, "_tile", "_best", (-F.col("_best.r")).alias("ra"), (-F.col("_best.d")).alias("dec"))
     )
-    best, _ = stage(best, "tile-peaks")  # one row per tile; read three times below
-    left = best.select(*groups, "band", "bin", F.col("_best").alias("_mine"), (-F.col("_best.r")).alias("l_ra"), (-F.col("_best.d")).alias("l_dec"))
-    right = best.select(*groups, F.col("_best").alias("_other"), (-F.col("_best.r")).alias("r_ra"), (-F.col("_best.d")).alias("r_dec"))
-    beaten = near_pairs(left, right, diameter, groups).where("_other > _mine").select(*groups, "band", "bin").distinct()
-    return best.join(beaten, [*groups, "band", "bin"], "left_anti").select(
-        *groups, "band", "bin", (-F.col("_best.r")).alias("ppc_ra"), (-F.col("_best.d")).alias("ppc_dec"), F.col("_best.z").alias("z")
+    # each tile's best point goes to the tiles around it: a tile meets a handful of others
+    around = best.withColumn("_to", F.explode(cells_around("ra", "dec", diameter)))
+    own = F.when(F.col("_to") == F.col("_tile"), F.col("_best"))
+    met = around.groupBy(*groups, "_to").agg(F.max(own).alias("_mine"), F.collect_list("_best").alias("_all"))
+    near = separation_sql("-x.r", "-x.d", "-_mine.r", "-_mine.d")
+    highest = F.expr(f"not exists(_all, x -> x > _mine and {near} <= {num(diameter)})")
+    return met.where(F.col("_mine").isNotNull() & highest).select(
+        *groups, F.col("_to.band").alias("band"), F.col("_to.bin").alias("bin"), (-F.col("_mine.r")).alias("ppc_ra"),
+        (-F.col("_mine.d")).alias("ppc_dec"), F.col("_mine.z").alias("z"),
     )
 
 
+def separate_peaks(active: DataFrame, groups: Sequence[str], diameter: float = FIELD_DIAMETER) -> DataFrame:
+    """:func:`map_peaks` of a map of its own."""
+    return map_peaks(active, start_map(active, groups, grid_parameters(active, groups), diameter / 2.0), groups, diameter)
+
+
 def _round(
-    active: DataFrame, n_active: int, groups: list[str], number: int, capacity: int, radius: float
+    active: DataFrame, density: DataFrame, n_active: int, groups: list[str], number: int, capacity: int, radius: float
 ) -> DataFrame:
     """Pointings of one round with their targets and the ``visits`` of each target to its pointing."""
-    peaks = separate_peaks(active, groups, 2.0 * radius).withColumns(
+    peaks = map_peaks(active, density, groups, 2.0 * radius).withColumns(
         {
             "ppc_pa": F.lit(0.0),
             "ppc_code": F.concat_ws(
@@ -160,48 +165,107 @@ def find_pointings(
     radius: float = FIELD_RADIUS,
     exponents=WEIGHTS,
     prefix: str = "",
+    progress: str | None = None,
+    first_round: int = 0,
+    grid_step: float = 0.0,
 ) -> tuple[DataFrame, int]:
     """Pointings that give every target its frames, and the number of targets left when a round placed nothing.
 
     The result has one row per pointing and target, with ``round``. ``weighted`` comes from
-    :func:`weighted_targets`; ``keys`` are the list columns and the resolution.
+    :func:`weighted_targets`; ``keys`` are the list columns and the resolution. The density map lies on the grid of the
+    first round and is kept up to date: a round spreads the targets whose weight it changed, not all of them. If
+    ``progress`` names a folder, each round appends its change of the completion to it (:func:`read_progress`).
     """
     keys = list(keys)
     groups = [*keys, "cluster"]
-    columns = [*keys, "row_id", "ob_code", "ra", "dec", "priority", "local_count", "weight", F.col("frames").alias("left")]
+    columns = [*keys, "row_id", "ob_code", "ra", "dec", "priority", "weight", F.col("frames").alias("left")]
     active = components(weighted.select(*columns), 2.0 * radius, keys)
-    todo = {"n": F.count(F.lit(1)), "frames": F.sum(F.col("left").cast("long"))}
-    active, seen = stage(active, "active", **todo)
+    todo = {"n": F.count_if(F.col("left") > 0), "frames": F.sum(F.col("left").cast("long"))}
+    table, seen = stage(active.withColumn("_before", F.col("weight")), "active", **todo)
+    grid, _ = stage(grid_parameters(table, groups, grid_step), "grid")
+    density, _ = stage(start_map(table, groups, grid, radius), "map")
     rounds, before = [], None
     while seen["n"] and seen != before:
         number, before = len(rounds), seen
-        placed = _round(active, seen["n"], groups, number, capacity, radius).where("ob_code is not null")
-        rounds.append(placed.withColumn("round", F.lit(number)))
+        active = table.where("left > 0")
+        placed = _round(active, density, seen["n"], groups, number, capacity, radius).where("ob_code is not null")
+        rounds.append(placed.withColumn("round", F.lit(first_round + number)))
+        if progress:
+            changes = _completion_change(placed.join(active.select(*groups, "ob_code", F.col("left").alias("_left")), [*groups, "ob_code"]), keys, prefix)
+            changes.withColumn("round", F.lit(first_round + number)).write.mode("append").parquet(progress)
         got = placed.select(*groups, "ob_code", F.col("visits").alias("_got"))
-        rest = join_back(active, got, [*groups, "ob_code"]).withColumn(
-            "left", (F.col("left") - F.coalesce("_got", F.lit(0))).cast("int")
-        ).drop("_got").where("left > 0")
-        # the weight follows the remaining time, and the density counted in the round before
+        # the weight follows the remaining time, and the density at the start of the round
+        counted = join_back(
+            active.withColumn("_cell", count_cell(F.col("ra"), F.col("dec"))).drop("_before"),
+            active.groupBy(*groups, count_cell(F.col("ra"), F.col("dec")).alias("_cell")).agg(F.count(F.lit(1)).alias("local_count")),
+            [*groups, "_cell"],
+        )
+        rest = join_back(counted, got, [*groups, "ob_code"]).withColumns({
+            "left": (F.col("left") - F.coalesce("_got", F.lit(0))).cast("int"), "_before": F.col("weight"),
+        })
         rest = rest.withColumn(
             "weight",
-            target_weight(F.col("priority"), F.col("left") * F.lit(single_exptime), F.col("local_count"), single_exptime, exponents),
-        )
-        active, seen = stage(
-            local_density(rest, groups, staged=seen["n"] > SMALL), "active", **todo
+            F.when(F.col("left") > 0, target_weight(F.col("priority"), F.col("left") * F.lit(single_exptime), F.col("local_count"), single_exptime, exponents))
+            .otherwise(0.0),
         )
+        table, seen = stage(rest.select(*table.columns), "active", **todo)
+        if seen["n"]:
+            changes = table.where("weight <> _before").select(
+                *groups, "ra", "dec", (F.col("weight") - F.col("_before")).alias("dw"), F.when(F.col("left") > 0, 0).otherwise(-1).alias("dn")
+            )
+            density, _ = stage(updated_map(density, changes, groups, grid, radius), "map")
     if not rounds:
         empty = active.limit(0).select(
             *groups, F.lit("").alias("ppc_code"), *[F.lit(0.0).alias(c) for c in ("ppc_ra", "ppc_dec", "ppc_pa")], "ob_code", F.lit(0).alias("round")
         )
         return empty, 0
     every = reduce(DataFrame.unionByName, rounds)
-    code = F.concat(F.lit(prefix), F.concat_ws("_v", "ppc_code", F.col("_visit").cast("string")))
     found = every.withColumn("_visit", F.explode(F.sequence(F.lit(1), F.col("visits")))).select(
-        *groups, code.alias("ppc_code"), "ppc_ra", "ppc_dec", "ppc_pa", "ob_code", "round"
+        *groups, _visit_code(prefix).alias("ppc_code"), "ppc_ra", "ppc_dec", "ppc_pa", "ob_code", "round"
     )
     return found, seen["n"] or 0
 
 
+def _visit_code(prefix: str) -> Column:
+    return F.concat(F.lit(prefix), F.concat_ws("_v", "ppc_code", F.col("_visit").cast("string")))
+
+
+def _completion_change(placed: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """What each pointing of a round adds: visits and targets completed, by priority."""
+    each = placed.withColumn("_visit", F.explode(F.sequence(F.lit(1), F.col("visits"))))
+    return each.groupBy(*keys, _visit_code(prefix).alias("ppc_code"), "priority").agg(
+        F.count(F.lit(1)).alias("n_visits"), F.count_if(F.col("_visit") == F.col("_left")).alias("n_completed")
+    )
+
+
+def read_progress(
+    spark, folder: str, targets: DataFrame, single_exptime: float = SINGLE_EXPTIME, list_cols: Sequence[str] = LIST_COLS
+) -> DataFrame:
+    """The completion curve of the rounds that a running or ended plan has written to its ``progress`` folder so far.
+
+    Rows as of :func:`completion_curve`: after each pointing (``ppc_id``, in the order in which rounds found them) fibre
+    hours and complete targets by priority and in all, absolute and in percent. Only sums of the small changes are formed:
+    neither targets nor their links are read again but for the totals.
+    """
+    keys = [*list_cols, "resolution"]
+    changes = spark.read.parquet(folder)
+    spots = changes.groupBy(*keys, "round", "ppc_code").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    ranked, _ = stage(rank_rows(spots, keys, [F.col("round"), F.col("ppc_code")], "ppc_id").drop("round"), "progress")
+    every = ["all", *map(str, range(10))]
+    grid = ranked.withColumn("priority", F.explode(F.array(*map(F.lit, every))))
+    named = changes.withColumn("priority", F.explode(F.array(F.lit("all"), F.col("priority").cast("string"))))
+    by = [*keys, "ppc_code", "priority"]
+    steps = join_back(grid, named.groupBy(*by).agg(F.sum("n_visits").alias("_v"), F.sum("n_completed").alias("_c")), by).fillna(0, ["_v", "_c"])
+    summed = running_sum(steps, [*keys, "priority"], "ppc_id", {"_v": "visits", "_c": "n"})
+    need = with_required_exposure(targets, single_exptime).withColumn("priority", F.explode(F.array(F.lit("all"), F.col("priority").cast("string"))))
+    totals = need.groupBy(*keys, "priority").agg(F.count(F.lit(1)).alias("_all"), F.sum("exptime_req").alias("_time"))
+    fh = F.col("visits") * (single_exptime / 3600.0)
+    return summed.join(totals, [*keys, "priority"]).select(
+        *keys, "ppc_code", "ppc_id", "priority", fh.alias("fh"), (fh * 3600.0 / F.col("_time") * 100.0).alias("fh_pct"),
+        "n", (F.col("n") / F.col("_all") * 100.0).alias("n_pct"),
+    )
+
+
 def _name_pointings(pointings: DataFrame, links: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Final codes ``Point_1`` ... per key, in the order in which the pointings were found."""
     numbered = rank_rows(pointings, keys, [F.col("round"), F.col("ppc_code")], "_no").withColumn(
@@ -223,75 +287,89 @@ def plan_pointings(
     radius: float = FIELD_RADIUS,
     max_residual_rounds: int = MAX_RESIDUAL_ROUNDS,
     exponents=WEIGHTS,
+    progress: str | None = None,
 ) -> Plan:
     """Plan pointings for every list and resolution, or assign targets to a user's pointings.
 
     Steps: weights, clusters, pointing rounds, final assignment, and up to ``max_residual_rounds`` further
-    plans for targets that still lack frames. Pointings without a target are left out.
+    plans for targets that still lack frames; those may also use room that earlier pointings have. Pointings without a
+    target are left out. What is left then is in the ledger, with a reason. If ``progress`` names a folder, rounds append
+    their change of the completion to it while the plan is made. Tables of single steps are deleted at the end.
     """
     keys = [*list_cols, "resolution"]
+    with staged_scope(targets.sparkSession):
+        return _plan(targets, user_pointings, keys, single_exptime, capacity, n_fibers, radius, max_residual_rounds, exponents, progress)
+
+
+def _plan(targets, user_pointings, keys, single_exptime, capacity, n_fibers, radius, max_residual_rounds, exponents, progress) -> Plan:
     weighted = weighted_targets(targets, single_exptime, keys, exponents).select(
-        *keys, "row_id", "ob_code", "ra", "dec", "priority", "exptime", "frames", "exptime_req", "local_count", "weight"
+        *keys, "row_id", "ob_code", "ra", "dec", "priority", "exptime", "frames", "exptime_req", "local_count", "weight",
+        F.lit(single_exptime).alias("single_exptime"),
     )
-    weighted, _ = stage(weighted, "weighted")
+    weighted, _ = stage_result(weighted, "weighted")
     position = [*keys, "ppc_code", "ppc_ra", "ppc_dec", "ppc_pa"]
+    out_of_rounds = False
     if user_pointings is not None:
         given = user_pointings.withColumn("resolution", F.col("ppc_resolution")).select(*position).withColumn("round", F.lit(0))
-        given, _ = stage(given, "given")
-        links = assign_visits(weighted, given, keys, capacity)
-        pointings = given
+        pointings, _ = stage(given, "given")
+        links = assign_visits(weighted, pointings, keys, capacity)
         status = 2
-        unfinished = -1
     else:
         status = 999
-        pointings = links = None
+        pointings = weighted.limit(0).select(
+            *keys, F.lit("").alias("ppc_code"), *[F.lit(0.0).alias(c) for c in ("ppc_ra", "ppc_dec", "ppc_pa")], F.lit(0).alias("round")
+        )
+        links = weighted.limit(0).select(*keys, F.lit("").alias("ppc_code"), "ob_code")
         missing, unfinished, first = weighted, None, 0
         for attempt in range(max_residual_rounds + 1):
-            found, _ = find_pointings(missing, keys, single_exptime, capacity, radius, exponents, f"a{attempt:02d}_")
-            spots, seen = stage(
-                found.groupBy(*position).agg((F.min("round") + first).alias("round")), "spots", n=F.count(F.lit(1)), last=F.max("round")
-            )
+            found, _ = find_pointings(missing, keys, single_exptime, capacity, radius, exponents, f"a{attempt:02d}_", progress, first)
+            spots, seen = stage(found.groupBy(*position).agg(F.min("round").alias("round")), "spots", n=F.count(F.lit(1)), last=F.max("round"))
             if not seen["n"]:
                 break
             first = seen["last"] + 1
-            new = assign_visits(missing, spots, keys, capacity)
-            used = spots.join(new.select(*keys, "ppc_code"), [*keys, "ppc_code"], "left_semi")
-            pointings = used if pointings is None else pointings.unionByName(used)
-            links = new if links is None else links.unionByName(new)
-            pointings, links = stage(pointings, "pointings")[0], stage(links, "links")[0]
+            offered = pointings.unionByName(spots)
+            new = assign_visits(missing, offered, keys, capacity, links if attempt else None)
+            links, _ = stage(links.unionByName(new), "links")
+            pointings, _ = stage(offered.join(links.select(*keys, "ppc_code").distinct(), [*keys, "ppc_code"], "left_semi"), "pointings")
             got = links.groupBy(*keys, "ob_code").agg(F.count(F.lit(1)).alias("_got"))
             rest = join_back(weighted, got, [*keys, "ob_code"]).withColumn(
                 "_left", F.col("frames") - F.coalesce("_got", F.lit(0))
             ).where("_left > 0")
             rest = rest.withColumns({"frames": F.col("_left").cast("int"), "exptime_req": F.col("_left") * F.lit(single_exptime)})
-            rest = local_density(rest.drop("_got", "_left"), keys).withColumn(
-                "weight", target_weight(F.col("priority"), F.col("exptime_req"), F.col("local_count"), single_exptime, exponents)
-            )
             before = unfinished
             missing, seen = stage(rest.select(*weighted.columns), "missing", n=F.count(F.lit(1)))
             unfinished = seen["n"]
             if not unfinished or unfinished == before:
                 break
-    if pointings is None:
-        pointings = weighted.limit(0).select(
-            *keys, F.lit("").alias("ppc_code"), *[F.lit(0.0).alias(c) for c in ("ppc_ra", "ppc_dec", "ppc_pa")]
-        ).withColumn("round", F.lit(0))
-        links = weighted.limit(0).select(*keys, F.lit("").alias("ppc_code"), "ob_code")
-    if status == 2:
-        bridge = links
-    else:
-        pointings, bridge = _name_pointings(pointings, links, keys)
-    bridge, _ = stage(bridge.select(*keys, "ppc_code", "ob_code"), "bridge")
+            counted = local_density(missing, keys).withColumn(
+                "weight", target_weight(F.col("priority"), F.col("exptime_req"), F.col("local_count"), single_exptime, exponents)
+            )
+            missing, _ = stage(counted.select(*weighted.columns), "missing")
+            out_of_rounds = attempt == max_residual_rounds
+        pointings, links = _name_pointings(pointings, links, keys)
+    bridge, _ = stage_result(links.select(*keys, "ppc_code", "ob_code"), "bridge")
     stats = pointing_statistics(bridge, weighted, keys, n_fibers)
     full = join_back(pointings, stats, [*keys, "ppc_code"]).withColumns(
         {
             "n_assigned": F.coalesce("n_assigned", F.lit(0).cast("bigint")),
             "tel_fiber_usage_frac": F.coalesce("tel_fiber_usage_frac", F.lit(0.0)),
             "ppc_resolution": F.col("resolution"),
+            "single_exptime": F.lit(single_exptime),
         }
     )
-    full, _ = stage(full, "plan")
-    return Plan(full, bridge, weighted, status, unfinished)
+    full, _ = stage_result(full, "plan")
+    ledger, seen = stage_result(leftovers(weighted, full, bridge, keys, capacity, out_of_rounds), "ledger", n=F.count(F.lit(1)))
+    return Plan(full, bridge, weighted, ledger, status, seen["n"])
+
+
+def with_group_ids(pointings: DataFrame, list_cols: Sequence[str] = LIST_COLS, diameter: float = FIELD_DIAMETER) -> DataFrame:
+    """Add ``group_id`` to the pointings of a plan: fields within one diameter of each other, by steps. Groups are counted
+    from 1 in each list and resolution, in the order of their first pointings."""
+    keys = [*list_cols, "resolution"]
+    numbered, _ = stage(rank_rows(pointings, keys, [F.length("ppc_code"), F.col("ppc_code")], "_row"), "numbered")
+    grouped, _ = stage(group_pointings(numbered, diameter, keys, "_row").withColumnRenamed("group_id", "_group"), "grouped")
+    names = rank_rows(grouped.select(*keys, "_group").distinct(), keys, [F.col("_group")], "group_id")
+    return join_back(grouped, names, [*keys, "_group"]).drop("_group", "_row")
 
 
 def plan_completion(plan: Plan, single_exptime: float = SINGLE_EXPTIME, list_cols: Sequence[str] = LIST_COLS) -> DataFrame:

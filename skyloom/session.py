@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own_scratch: dict[str, str] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("staged tables of the scope", default=None)
 
 
 def session(app: str = "skyloom", master: str | None = None, **conf) -> SparkSession:
@@ -53,6 +57,9 @@ def stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/skyloom/{label}-{uuid.uuid4().hex}"
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     seen: dict = {}
     if metrics:
         observation = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
@@ -61,3 +68,31 @@ def stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict
     else:
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen
+
+
+@contextmanager
+def staged_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged inside are deleted at the end, if it is reached without an error.
+
+    What leaves the scope has to be staged by :func:`stage_result`; other frames may still read the deleted tables.
+    """
+    token = _scope.set([])
+    try:
+        yield _scope.get()
+        done = list(_scope.get())
+    finally:
+        _scope.reset(token)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in done:
+        path = hadoop.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def stage_result(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`stage` for a table that outlives the scope it is made in (and belongs to none)."""
+    token = _scope.set(None)
+    try:
+        return stage(df, label, **metrics)
+    finally:
+        _scope.reset(token)

@@ -529,6 +529,19 @@ select o.ppc_code, f.no as shift_no, round(coalesce(f.ra, o.ppc_ra), 6) as ppc_r
 from off o left join first_hit f using (ppc_code) where f.no is null or f.no > 0"""
 
 # a plan may differ in its pointings, but not in what it keeps
-ORACLES["plan_invariants"] = ORACLES["user_plan_invariants"] = cte("targets") + """
-select list_no, resolution, count(*) as n_targets, 0::bigint as n_outside, 0::bigint as n_repeated, 0::bigint as n_over_capacity, 0::bigint as n_partial
-from targets group by all"""
+COVERED = cte("targets", "pointings") + ",\n" + in_field("pointings") + """,
+need as (select *, cast(ceil(exptime / 900) as bigint) as frames from targets),
+fields as (select ob_code, count(*) as n_fields from inside where ppc_resolution = resolution group by ob_code),
+placed as (select n.*, coalesce(n_fields, 0) as n_fields, coalesce(n_fields, 0) >= frames as whole from need n left join fields using (ob_code))"""
+INVARIANTS = "0::bigint as n_outside, 0::bigint as n_repeated, 0::bigint as n_over_capacity, 0::bigint as n_partial, 0::bigint as n_would_fit"
+ORACLES["plan_invariants"] = cte("targets") + f"""
+select list_no, resolution, count(*) as n_targets, sum(cast(ceil(exptime / 900) as bigint))::bigint as frames_asked, 0::bigint as frames_left, {INVARIANTS},
+ count(*) as n_placed, 0::bigint as n_left, sum(cast(ceil(exptime / 900) as bigint))::bigint as frames_placed from targets group by all"""
+# no pointing is filled up by these tables, so that a target is placed if it lies in enough fields
+ORACLES["user_plan_invariants"] = COVERED + f"""
+select list_no, resolution, count(*) as n_targets, sum(frames)::bigint as frames_asked, coalesce(sum(frames) filter (not whole), 0)::bigint as frames_left,
+ {INVARIANTS}, count(*) filter (whole) as n_placed, count(*) filter (not whole) as n_left,
+ coalesce(sum(frames) filter (whole), 0)::bigint as frames_placed from placed group by all"""
+ORACLES["plan_ledger"] = COVERED + """
+select list_no, resolution, ob_code, frames, frames as frames_left, n_fields, n_fields as n_free,
+ case when n_fields = 0 then 'no field' else 'all or nothing' end as reason from placed where not whole"""

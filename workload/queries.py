@@ -622,12 +622,15 @@ def shifted_pointings(spark, sf):
     return rounded(longs(out.select("ppc_code", "shift_no", "ppc_ra", "ppc_dec"), "shift_no"), 6, "ppc_ra", "ppc_dec")
 
 
+def _every_list(spark, sf):
+    """The given pointings for each list."""
+    return view(spark, sf, "pointings").withColumn("list_no", F.explode(F.sequence(F.lit(0), F.lit(9))))
+
+
 @query
 def user_pointing_plan(spark, sf):
     """Given pointings, all-or-nothing assignment: no pointing is looked for."""
-    plan = pointing_plan.plan_pointings(
-        view(spark, sf, "targets"), view(spark, sf, "pointings").withColumn("list_no", F.explode(F.sequence(F.lit(0), F.lit(9)))), LISTS, T, capacity=60
-    )
+    plan = pointing_plan.plan_pointings(view(spark, sf, "targets"), _every_list(spark, sf), LISTS, T)
     return rounded(plan.pointings.select("list_no", "ppc_code", "resolution", "n_assigned", "tel_fiber_usage_frac"), 6, "tel_fiber_usage_frac")
 
 
@@ -638,36 +641,55 @@ def plan_pointings(spark, sf):
 
 
 def _invariants(plan: pointing_plan.Plan, capacity: int) -> DataFrame:
-    """What every plan has to keep, per list and resolution: counts of what breaks it."""
+    """What every plan has to keep, per list and resolution: frames placed and left over, and counts of what breaks it.
+
+    ``n_would_fit`` are targets left out though enough of the pointings that cover them have room.
+    """
     keys = [*LISTS, "resolution"]
     bridge, targets = plan.bridge, plan.targets
-    inside = spatial.targets_in_fields(targets, plan.pointings, keys).select(*keys, "ppc_code", "ob_code").distinct()
+    inside, _ = stage(spatial.targets_in_fields(targets, plan.pointings, keys).select(*keys, "ppc_code", "ob_code").distinct(), "inside")
     got = bridge.groupBy(*keys, "ob_code").agg(F.count(F.lit(1)).alias("got"))
+    used = bridge.groupBy(*keys, "ppc_code").agg(F.count(F.lit(1)).alias("n"))
+    left = targets.select(*keys, "ob_code", "frames").join(got, [*keys, "ob_code"], "left_anti")
+    room = inside.join(used.where(F.col("n") >= capacity), [*keys, "ppc_code"], "left_anti").join(left, [*keys, "ob_code"])
     broken = {
         "n_outside": bridge.join(inside, [*keys, "ppc_code", "ob_code"], "left_anti"),
         "n_repeated": bridge.groupBy(*keys, "ppc_code", "ob_code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
-        "n_over_capacity": bridge.groupBy(*keys, "ppc_code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > capacity),
+        "n_over_capacity": used.where(F.col("n") > capacity),
         "n_partial": got.join(targets.select(*keys, "ob_code", "frames"), [*keys, "ob_code"]).where("got <> frames"),
+        "n_would_fit": room.groupBy(*keys, "ob_code", "frames").agg(F.count(F.lit(1)).alias("n")).where("n >= frames"),
+        "n_placed": got,
+        "n_left": plan.ledger,
+        "frames_placed": bridge,
     }
-    out = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_targets"))
+    out = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_targets"), F.sum("frames").cast("bigint").alias("frames_asked"))
+    out = out.join(plan.ledger.groupBy(*keys).agg(F.sum("frames_left").alias("frames_left")), keys, "left")
     for name, rows in broken.items():
         out = out.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys, "left")
-    return out.select(*keys, "n_targets", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in broken])
+    return out.select(
+        *keys, "n_targets", "frames_asked", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("frames_left", *broken)]
+    )
 
 
 @query
 def user_plan_invariants(spark, sf):
-    """The given pointings again: fields, capacity and whole targets are kept."""
-    pointings = view(spark, sf, "pointings").withColumn("list_no", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    return _invariants(pointing_plan.plan_pointings(view(spark, sf, "targets"), pointings, LISTS, T, capacity=60), 60)
+    """The given pointings again: every target that lies in enough of them is placed whole, nothing else."""
+    return _invariants(pointing_plan.plan_pointings(view(spark, sf, "targets"), _every_list(spark, sf), LISTS, T), pointing_plan.CAPACITY)
 
 
 @query
 def plan_invariants(spark, sf):
-    """A plan of all lists: fields, capacity and whole targets are kept."""
+    """A plan of all lists: every frame is placed, and fields, capacity and whole targets are kept."""
     return _invariants(pointing_plan.plan_pointings(view(spark, sf, "targets"), None, LISTS, T), pointing_plan.CAPACITY)
 
 
+@query
+def plan_ledger(spark, sf):
+    """Frames of the targets that the given pointings leave out, with the reason."""
+    plan = pointing_plan.plan_pointings(view(spark, sf, "targets"), _every_list(spark, sf), LISTS, T)
+    return plan.ledger.select("list_no", "resolution", "ob_code", *[F.col(c).cast("bigint").alias(c) for c in ("frames", "frames_left", "n_fields", "n_free")], "reason")
+
+
 # --- reproduction -------------------------------------------------------------------
 
 
