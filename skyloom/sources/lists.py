@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from skyloom.functions import parsing
 from skyloom.operators.ordered import rank_rows
 from skyloom.schema import FILTER_NAMES, POINTING_REQUIRED, POINTING_TYPES
-from skyloom.sources.textfiles import has, read_lines, tables
+from skyloom.session import stage
+from skyloom.sources.textfiles import has, read_lines, records, tables
 
 _INTEGERS = ["obj_id", "priority"]
 _INTEGERS_OR_NONE = ["tract", "patch"]
@@ -30,17 +31,21 @@ FORMATS = ["csv", "ecsv"]
 def _extension(path: Column) -> Column:
     """Format that a name tells. A folder of parts, one list as Spark wrote it, holds ECSV."""
     told = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.when((told == "") & path.rlike(r"/[^/=]+=[^/]+$"), "ecsv").otherwise(told)
+    return F.when(path.rlike(r"/[^/=]+=[^/]+$"), "ecsv").otherwise(told)
 
 
 def _typed(lines: DataFrame, list_col: str, parsers: dict[str, Callable[[Column], tuple[Column, Column]]]) -> DataFrame:
-    """Apply parsers to the cells of each named column; ``_error`` is the first failure of a row."""
-    rows = tables(lines, names=list(parsers)).withColumnRenamed("path", list_col)
+    """Apply parsers to the cells of each named column; ``_error`` is the first failure of a row.
+
+    Records are cut into cells once and stored: the report and the rows are both made from the cells.
+    """
+    rows, _ = stage(tables(records(lines), names=list(parsers)).withColumnRenamed("path", list_col), "cells")
     parsed = {name: parse(F.col("_cells")[i]) for i, (name, parse) in enumerate(parsers.items())}
     there = {name: F.col("_at")[i] > 0 for i, name in enumerate(parsers)}
     values = {name: F.when(there[name], value) for name, (value, _) in parsed.items()}
-    failures = F.array_compact(F.array(*[F.when(there[name], error) for name, (_, error) in parsed.items()]))
-    return rows.withColumns({**values, "_error": F.try_element_at(failures, F.lit(1))}).drop("_at", "_cells")
+    unclosed = F.when(F.col("_unclosed"), "a quote is not closed")
+    failures = F.array_compact(F.array(unclosed, *[F.when(there[name], error) for name, (_, error) in parsed.items()]))
+    return rows.withColumns({**values, "_error": F.try_element_at(failures, F.lit(1))}).drop("_at", "_cells", "_unclosed")
 
 
 def _report(rows: DataFrame, lines: DataFrame, list_col: str) -> DataFrame:

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from skyloom.operators.ordered import join_back
+from skyloom.session import stage
 
 # everything up to the first # outside quotes; possessive, so that long lines need no backtracking
 _BEFORE_COMMENT = r'^((?:[^"#]++|"[^"]*+"?)*+)#.*$'
 _PART = r"/part-(\d+)[^/]*$"
+# what a line leaves behind that begins outside, or inside, a quoted cell: a quote that is not closed
+_OPENED = r'^(?:[^"#]++|"[^"]*+")*+"[^"]*+$'
+_STILL_OPEN = r'^[^"]*+$|^[^"]*+"(?:[^"#]++|"[^"]*+")*+"[^"]*+$'
+BLOCK = 65_536  # row ids whose lines are put in order by one window
 _CELL = r',("(?:[^"]|"")*+"|[^,]*+)'
 _CELL_SPACE = r' ("(?:[^"]|"")*+"|[^ ]*+)'
 
@@ -35,6 +42,65 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], names: str = "*"
     )
 
 
+def records(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Lines joined to records: a quoted cell may go on over line ends. Adds ``_unclosed``.
+
+    Whether a line begins inside a quoted cell follows from all lines before it: a line keeps that state, turns it around
+    or, as a # may hide a quote, ends in the same state whatever it began in. So the state after any lines is that of the
+    last such line, turned around once for each turning line since. Blocks of lines are summed up first and put
+    together by file, so that no file is read by one task. Only files with a line that leaves a quote open take part; the
+    lines of all others stay as they are. A record has the ``row_id`` and other columns of its first line. A quote that
+    is never closed is no record: its first line alone stays, marked as ``_unclosed``.
+    """
+    quoted = F.contains(F.col("line"), F.lit('"'))
+    ends_open = quoted & F.col("line").rlike(_OPENED)
+    files, seen = stage(lines.groupBy("path").agg(F.bool_or(ends_open).alias("_open")).where("_open").select("path"), "open-files", n=F.count(F.lit(1)))
+    single = lines.withColumn("_unclosed", F.lit(False))
+    if not seen["n"]:
+        return single
+    stays_open = ~quoted | F.col("line").rlike(_STILL_OPEN)
+    marked = lines.join(files, "path", "left_semi").withColumns(
+        {"_block": F.floor(F.col("row_id") / block), "_from0": ends_open.cast("int"), "_from1": stays_open.cast("int")}
+    )
+    by_block = W.partitionBy("path", "_block").orderBy("row_id")
+    upto = by_block.rowsBetween(W.unboundedPreceding, 0)
+    fixed = F.col("_from0") == F.col("_from1")
+    turns = F.sum((F.col("_from0") > F.col("_from1")).cast("int")).over(upto)
+    told = marked.withColumn("_turns", turns).withColumn("_fixed", F.last(F.when(fixed, F.struct(F.col("_from0").alias("state"), "_turns")), True).over(upto))
+    # after a line: a state, or null where the block's first state decides, and the turns since
+    known = F.when(F.col("_fixed").isNotNull(), (F.col("_fixed.state") + F.col("_turns") - F.col("_fixed._turns")) % 2)
+    told = told.withColumns({"_known": known, "_turned": F.col("_turns") % 2}).drop("_fixed", "_turns")
+    told, _ = stage(told, "quoted-lines")
+    blocks = told.groupBy("path", "_block").agg(F.max_by(F.struct("_known", "_turned"), "row_id").alias("_end"))
+    by_file = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, 0)
+    sums = blocks.withColumn("_t", F.sum(F.when(F.col("_end._known").isNull(), F.col("_end._turned")).otherwise(0)).over(by_file)).withColumn(
+        "_f", F.last(F.when(F.col("_end._known").isNotNull(), F.struct(F.col("_end._known").alias("state"), "_t")), True).over(by_file)
+    )
+    state = F.coalesce((F.col("_f.state") + F.col("_t") - F.col("_f._t")) % 2, F.col("_t") % 2)
+    begin = sums.select("path", "_block", state.alias("_after")).withColumn(
+        "_begin", F.coalesce(F.lag("_after").over(W.partitionBy("path").orderBy("_block")), F.lit(0))
+    ).drop("_after")
+    stated = join_back(told, begin, ["path", "_block"]).withColumn("_after", F.coalesce("_known", (F.col("_begin") + F.col("_turned")) % 2))
+    inside = F.coalesce(F.lag("_after").over(by_block), F.col("_begin"))
+    stated = stated.withColumn("_inside", inside).withColumn("_first", F.last(F.when(F.col("_inside") == 0, F.col("row_id")), True).over(upto))
+    stated, _ = stage(stated.drop("_known", "_turned", "_begin", "_from0", "_from1"), "stated-lines")
+    carried = stated.groupBy("path", "_block").agg(F.max("_first").alias("_last"), F.max_by("_after", "row_id").alias("_open"))
+    before = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = carried.withColumns({"_carried": F.max("_last").over(before), "_final": F.last("_open").over(W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+                                   "_end": F.max("_last").over(W.partitionBy("path"))})
+    placed = join_back(stated, carried.select("path", "_block", "_carried", "_final", "_end"), ["path", "_block"]).withColumn("_record", F.coalesce("_first", "_carried"))
+    unclosed = (F.col("_final") == 1) & (F.col("_record") == F.col("_end"))
+    placed = placed.withColumn("_unclosed", unclosed).where(~unclosed | (F.col("row_id") == F.col("_record")))
+    others = [c for c in lines.columns if c not in ("path", "row_id", "line")]
+    whole = placed.where("_inside = 0 and (_after = 0 or _unclosed)").select(*lines.columns, "_unclosed")
+    parts = placed.where("(_inside = 1 or _after = 1) and not _unclosed").groupBy("path", "_record").agg(
+        *[F.min_by(c, "row_id").alias(c) for c in others], F.array_sort(F.collect_list(F.struct("row_id", "line"))).alias("_lines")
+    ).select(
+        "path", F.col("_record").alias("row_id"), *others, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("line"), F.lit(False).alias("_unclosed")
+    )
+    return single.join(files, "path", "left_anti").unionByName(whole).unionByName(parts)
+
+
 def without_comment(line: Column) -> Column:
     return F.regexp_replace(line, _BEFORE_COMMENT, "$1")
 

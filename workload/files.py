@@ -17,7 +17,7 @@ from skyloom.operators import checks, registry, reports
 from skyloom.schema import NA_TEXTS
 from skyloom.session import scratch_dir
 from skyloom.sources import lists, submissions
-from skyloom.sources.textfiles import cell, tables
+from skyloom.sources.textfiles import cell, records, tables
 from workload.views import table
 
 FILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,34 @@ def _with_head(spark: SparkSession, body: DataFrame, head: list[str]) -> DataFra
     return lines.withColumn("file_size", F.lit(0).cast("bigint"))
 
 
+# a note in one to four lines; those after the first have a quote or a # inside, and the last a comment with a quote
+NOTE_LINES = [
+    "concat(cast(o_orderkey as string), ',\"', o_orderpriority)", "concat('\"\"# ', cast(o_custkey as string))", "''",
+    "concat('end\",', cast(o_custkey as string), ' # a \" more')",
+]
+
+
+@query("""select concat('/in/f', o_orderkey % 7, '.csv') as path, o_orderkey * 64 as row_id, cast(o_orderkey as varchar) as key,
+ o_orderpriority || case o_orderkey % 4 when 0 then '' when 1 then chr(10) || '"# ' || o_custkey when 2 then chr(10) || '"# ' || o_custkey || chr(10) else chr(10) end
+ || chr(10) || 'end' as note, cast(o_custkey as varchar) || ' ' as last, false as unclosed from orders
+union all select concat('/in/f', f, '.csv'), 1::bigint << 40, '0', '"not closed', null, true from range(7) t(f)""")
+def multiline_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Quoted cells over up to four lines, in files whose last quote is not closed."""
+    parts = [F.struct(F.lit(i).alias("i"), F.expr(text).alias("line")) for i, text in enumerate(NOTE_LINES)]
+    # which of the lines a note has
+    chosen = F.array(*[F.array(*map(F.lit, c)) for c in ([0, 3], [0, 1, 3], [0, 1, 2, 3], [0, 2, 3])])
+    rows = _orders(spark, sf, "o_orderkey", "o_custkey", "o_orderpriority", "concat('/in/f', cast(o_orderkey % 7 as string), '.csv') as path")
+    some = F.element_at(chosen, (F.col("o_orderkey") % 4 + 1).cast("int"))
+    body = rows.withColumn("_p", F.explode(F.filter(F.array(*parts), lambda p: F.array_contains(some, p["i"])))).select(
+        "path", (F.col("o_orderkey") * 64 + F.col("_p.i")).alias("row_id"), F.col("_p.line").alias("line")
+    )
+    ends = body.select("path").distinct().withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
+        "path", (F.lit(1 << 40) + F.col("_p")).alias("row_id"), F.when(F.col("_p") == 0, '0,"not closed').otherwise("1,2").alias("line")
+    )
+    table_of = tables(records(_with_head(spark, body.unionByName(ends), ["key,note,last"])))
+    return table_of.select("path", "row_id", cell("key").alias("key"), cell("note").alias("note"), cell("last").alias("last"), F.col("_unclosed").alias("unclosed"))
+
+
 @query(f"""select {PATH} as path, o_orderkey as row_id, cast(o_orderkey as varchar) as key, {WORD} as word, cast(null as varchar) as absent,
  cast(3 as integer) as n_cells from orders where o_orderkey % 13 <> 0""")
 def table_rows(spark: SparkSession, sf: str) -> DataFrame:
