@@ -7,38 +7,97 @@ complete a window.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from skyloom.llm.common import IS_SPACE, flat, groups_of, keys_table, mix
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long"
 )
-#: White space as the tokenizer's splitting pattern sees it (the Unicode property, without 0x1C to 0x1F).
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Some letters, and all ASCII characters that are neither letters nor white space.
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-SIGNS = "!-@\\[-`{-~"
-#: The splitting pattern never joins what stands before a blank to what comes after it, nor letters to a sign after them.
-CHUNK = re.compile(f" ?[{LETTERS}]++(?=[{SPACE}{SIGNS}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Half of the chunks that a worker remembers, at some 200 bytes each.
-KNOWN_CHUNKS = 250_000
-
-
-class ChunkIds(dict):
-    """Ids of chunks of text (a word with the blank before it) as bytes of 32-bit integers.
-
-    The tokenizer splits a text wherever CHUNK does, so a text's ids are those of its chunks, one after the other. A
-    chunk that was met before is not encoded again. When enough are known they become the old ones, of which those
-    that are met again are known again; the old ones before are forgotten. Texts with an added token's own string are
-    encoded whole.
+#: Text whose chunks are found and told apart at a time, and the part of it that is hashed or compared at a time.
+SLICE, STEP = 8 << 20, 1 << 20
+WEIGHTS = keys_table(4096, 7)
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def chunk_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where chunks begin in the bytes of texts that begin at ``texts``: at each text, at white space after anything else,
+    and at an ASCII sign after a Latin letter.
+
+    The tokenizer's splitting pattern never joins what stands before such a place to what comes after it, and looks ahead
+    only whether white space ends, so that a text's ids are those of its chunks, one after the other.
+    """
+    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
+    second = np.concatenate([np.zeros(1, np.uint8), before[:-1]])
+    third = np.concatenate([np.zeros(1, np.uint8), second[:-1]])
+    # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    space = IS_SPACE[before] | ((second == 0xC2) & ((before == 0x85) | (before == 0xA0)))
+    punctuation = (third == 0xE2) & (second == 0x80) & ((before <= 0x8A) | (before == 0xA8) | (before == 0xA9) | (before == 0xAF))
+    space |= punctuation | ((third == 0xE2) & (second == 0x81) & (before == 0x9F))
+    space |= (before == 0x80) & (((third == 0xE1) & (second == 0x9A)) | ((third == 0xE3) & (second == 0x80)))
+    letter = _LETTER[before] | (second == 0xC4) | (second == 0xC5) | ((second == 0xC3) & (before != 0x97) & (before != 0xB7))
+    cut = (IS_SPACE[data] & ~space) | (_SIGN[data] & letter)
+    cut[texts[texts < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
+def _positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def distinct_chunks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): the number of each distinct chunk's first copy, and for every chunk the place in ``first``.
+
+    Hashes only propose equal chunks; every chunk's bytes are compared with those of the copy it is said to equal.
+    """
+    lengths = np.diff(np.append(starts, len(data)))
+    hashes = np.empty(len(starts), np.uint64)
+    for i, j in groups_of(lengths, STEP):
+        lo, hi = starts[i], starts[j - 1] + lengths[j - 1]
+        place = np.arange(hi - lo) - np.repeat(starts[i:j] - lo, lengths[i:j])
+        hashes[i:j] = np.add.reduceat((data[lo:hi].astype(np.uint64) + np.uint64(1)) * WEIGHTS[place & 4095], starts[i:j] - lo)
+    _, first, which = np.unique(mix(hashes) ^ lengths.astype(np.uint64), return_index=True, return_inverse=True)
+    other = first[which]
+    wrong = lengths != lengths[other]
+    for i, j in groups_of(lengths, STEP):
+        lo, hi = starts[i], starts[j - 1] + lengths[j - 1]
+        pick = np.where(wrong[i:j], 0, lengths[i:j])
+        mine, theirs = _positions(starts[i:j], pick), _positions(starts[other[i:j]], pick)
+        unlike = np.concatenate([[0], np.cumsum(data[mine] != data[theirs])])
+        ends = np.cumsum(pick)
+        wrong[i:j] |= unlike[ends] != unlike[ends - pick]
+    if wrong.any():  # a collision: these few are told apart by their bytes
+        own: dict[bytes, int] = {}
+        extra = []
+        for k in np.flatnonzero(wrong):
+            text = data[starts[k] : starts[k] + lengths[k]].tobytes()
+            if text not in own:
+                own[text] = len(first) + len(extra)
+                extra.append(k)
+            which[k] = own[text]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return first, which
+
+
+class TextIds:
+    """Ids of texts: distinct chunks of many texts are encoded once and put together by their places.
+
+    Nothing is kept from one call to the next. Texts with an added token's own string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,32 +106,39 @@ class ChunkIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def of(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = CHUNK.findall(text)
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            if len(self) > KNOWN_CHUNKS:
-                self.old = dict(self)
-                self.clear()
-            here = set(chunks)
-            self.update((c, self.old[c]) for c in here & self.old.keys())
-            new = [c for c in here if c not in self]
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.__getitem__, chunks))
-
-
-@cache
-def chunk_ids(path: str) -> ChunkIds:
-    """The worker's own chunks for a vocabulary file, kept from task to task."""
-    return ChunkIds(path)
+    def of(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, as 32-bit integers. A null counts as an empty text."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+        for i, j in groups_of(sizes, SLICE):
+            ids, at = self._chunked(*flat(column.slice(i, j - i)))
+            for k in range(i, j):
+                if whole[k]:
+                    yield np.array(self.tokenizer.encode(column[k].as_py(), add_special_tokens=False).ids, "<u4")
+                else:
+                    yield ids[at[k - i] : at[k - i + 1]]
+
+    def _chunked(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where those of each text begin (one more at the end)."""
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        starts = chunk_starts(data, texts[:-1])
+        first, which = distinct_chunks(data, starts)
+        stops = np.append(starts, len(data))[first + 1]
+        held = data.tobytes()
+        parts = [held[a:b].decode() for a, b in zip(starts[first].tolist(), stops.tolist(), strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        table = np.fromiter(chain.from_iterable(found), "<u4", int(counts.sum()))
+        begin = np.cumsum(counts) - counts
+        upto = np.concatenate([[0], np.cumsum(counts[which])])
+        return table[_positions(begin[which], counts[which])], upto[np.searchsorted(starts, texts)]
 
 
 class Levels:
@@ -143,7 +209,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, levels = chunk_ids(vocabulary), Levels(size)
+        ids_of, levels = TextIds(vocabulary), Levels(size)
         first = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
         out: list[tuple] = []
@@ -165,8 +231,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0) ->
             return pa.RecordBatch.from_arrays(columns, names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = ids_of.of(text.as_py() or "") + end
+            for doc_id, found in zip(b.column(0).to_pylist(), ids_of.of(b.column(1)), strict=True):
+                ids = found.tobytes() + end
                 total = len(ids) // 4
                 whole = total // size * size
                 for start in range(0, whole, size):

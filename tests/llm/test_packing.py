@@ -57,3 +57,49 @@ def test_repeated_rows_and_null_id(spark):
     rows = pack(docs, PATH).collect()
     assert sum(r.length for r in rows if r.doc_id == 1) == 2 * 3
     assert sum(r.length for r in rows if r.doc_id is None) == 2
+
+
+def test_ids_equal_the_tokenizers(monkeypatch):
+    """Random strings of letters, signs and every kind of white space; also if all hashes collide."""
+    import random
+
+    import pyarrow as pa
+
+    from skyloom.llm import packing
+
+    ids = packing.TextIds(PATH)
+    r = random.Random(5)
+    some = "abcé'ßÀ×÷ \t\n\r\x0b\x0c\x1c\x1f\x85\xa0   ​    　,.!\"#@[`{~019àĀſƀ中😀"
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(14))) for _ in range(30_000)] + ["it's we'll I'd'", "a <|endoftext|> b", "", None]
+    want = [ids.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in ids.of(pa.array(texts))] == want
+    monkeypatch.setattr(packing, "SLICE", 50)
+    assert [g.tolist() for g in ids.of(pa.array(texts[:3000]))] == want[:3000]
+    monkeypatch.setattr(packing, "SLICE", 1 << 20)
+    monkeypatch.setattr(packing, "STEP", 1000)
+    monkeypatch.setattr(packing, "WEIGHTS", np.zeros(4096, np.uint64))
+    assert [g.tolist() for g in ids.of(pa.array(texts[:3000]))] == want[:3000]
+
+
+def test_placing_keeps_the_sum_of_squares_smallest():
+    import random
+
+    from skyloom.llm.packing import Levels
+
+    size, r = 32, random.Random(3)
+    levels, counts = Levels(size), [0] * (size + 1)
+    for n in range(3000):
+        s = r.randrange(1, size)
+        sums = {}
+        for h in range(size - s + 1):
+            if h == 0 or counts[h]:
+                after = counts.copy()
+                after[h] -= h > 0
+                after[h + s] += 1
+                sums[h] = sum(c * c for c in after[1:size])
+        full = levels.place((n, s))
+        now = [int(c) for c in levels.counts[: size]]
+        moved = min(sums.values())
+        assert sum(c * c for c in now[1:size]) == moved
+        counts = [0, *now[1:], 0]
+        assert full is None or sum(p[-1] for p in full) == size
