@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -25,6 +26,8 @@ SCHEMA = (
 )
 #: Text whose chunks are found and told apart at a time, and the part of it that is hashed or compared at a time.
 SLICE, STEP = 8 << 20, 1 << 20
+#: Distinct chunks that are encoded as one text.
+LINE = 1 << 18
 WEIGHTS = keys_table(4096, 7)
 
 _LETTER = np.zeros(256, bool)
@@ -33,23 +36,26 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def chunk_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+def space_before(data: np.ndarray) -> np.ndarray:
+    """For each place in bytes of UTF-8, the end too: is the character before it white space to the tokenizer?"""
+    one, two, three = (np.concatenate([np.zeros(k, np.uint8), data[: len(data) - k + 1]])[: len(data) + 1] for k in (1, 2, 3))
+    # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    space = IS_SPACE[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+    space |= (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    space |= (three == 0xE2) & (two == 0x81) & (one == 0x9F)
+    return space | ((one == 0x80) & (((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))))
+
+
+def chunk_starts(data: np.ndarray, texts: np.ndarray, space: np.ndarray) -> np.ndarray:
     """Where chunks begin in the bytes of texts that begin at ``texts``: at each text, at white space after anything else,
     and at an ASCII sign after a Latin letter.
 
     The tokenizer's splitting pattern never joins what stands before such a place to what comes after it, and looks ahead
     only whether white space ends, so that a text's ids are those of its chunks, one after the other.
     """
-    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
-    second = np.concatenate([np.zeros(1, np.uint8), before[:-1]])
-    third = np.concatenate([np.zeros(1, np.uint8), second[:-1]])
-    # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
-    space = IS_SPACE[before] | ((second == 0xC2) & ((before == 0x85) | (before == 0xA0)))
-    punctuation = (third == 0xE2) & (second == 0x80) & ((before <= 0x8A) | (before == 0xA8) | (before == 0xA9) | (before == 0xAF))
-    space |= punctuation | ((third == 0xE2) & (second == 0x81) & (before == 0x9F))
-    space |= (before == 0x80) & (((third == 0xE1) & (second == 0x9A)) | ((third == 0xE3) & (second == 0x80)))
-    letter = _LETTER[before] | (second == 0xC4) | (second == 0xC5) | ((second == 0xC3) & (before != 0x97) & (before != 0xB7))
-    cut = (IS_SPACE[data] & ~space) | (_SIGN[data] & letter)
+    one, two = (np.concatenate([np.zeros(k, np.uint8), data[: len(data) - k]])[: len(data)] for k in (1, 2))
+    letter = _LETTER[one] | (two == 0xC4) | (two == 0xC5) | ((two == 0xC3) & (one != 0x97) & (one != 0xB7))
+    cut = (IS_SPACE[data] & ~space[:-1]) | (_SIGN[data] & letter)
     cut[texts[texts < len(data)]] = True
     return np.flatnonzero(cut)
 
@@ -95,7 +101,7 @@ def distinct_chunks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 class TextIds:
-    """Ids of texts: distinct chunks of many texts are encoded once and put together by their places.
+    """Ids of texts by a byte-level vocabulary: distinct chunks of many texts are encoded once and put together by place.
 
     Nothing is kept from one call to the next. Texts with an added token's own string are encoded whole.
     """
@@ -108,6 +114,11 @@ class TextIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # every character of a token stands for one byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
 
     def of(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a column, as 32-bit integers. A null counts as an empty text."""
@@ -128,17 +139,54 @@ class TextIds:
         """Ids of all texts, and where those of each text begin (one more at the end)."""
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
-        starts = chunk_starts(data, texts[:-1])
+        space = space_before(data)
+        starts = chunk_starts(data, texts[:-1], space)
         first, which = distinct_chunks(data, starts)
-        stops = np.append(starts, len(data))[first + 1]
-        held = data.tobytes()
-        parts = [held[a:b].decode() for a, b in zip(starts[first].tolist(), stops.tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        table = np.fromiter(chain.from_iterable(found), "<u4", int(counts.sum()))
-        begin = np.cumsum(counts) - counts
+        begin, stop = starts[first], np.append(starts, len(data))[first + 1]
+        table, counts = self._encoded(data, begin, stop, IS_SPACE[data[begin]] & ~space[stop])
+        at = np.cumsum(counts) - counts
         upto = np.concatenate([[0], np.cumsum(counts[which])])
-        return table[_positions(begin[which], counts[which])], upto[np.searchsorted(starts, texts)]
+        return table[_positions(at[which], counts[which])], upto[np.searchsorted(starts, texts)]
+
+    def _encoded(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and how many each has.
+
+        Chunks that ``join`` begin with white space and end with something else: in a row they are cut apart again, and
+        their ids are told apart by the bytes they stand for. The others, which end a text or are signs, are encoded one
+        by one.
+        """
+        lengths = stop - begin
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        n = int(joins.sum())
+        ids, ends = [], []
+        rows = [data[_positions(begin[c], lengths[c])].tobytes().decode() for c in (order[i:j] for i, j in groups_of(lengths[order[:n]], LINE))]
+        for (i, j), e in zip(groups_of(lengths[order[:n]], LINE), self._batch(rows), strict=True):
+            found = np.fromiter(e, "<u4", len(e))
+            bytes_upto, chunks_upto = np.cumsum(self.sizes[found]), np.cumsum(lengths[order[i:j]])
+            last = np.searchsorted(bytes_upto, chunks_upto)
+            if not np.array_equal(bytes_upto[np.minimum(last, len(found) - 1)], chunks_upto):
+                raise ValueError("a token of the vocabulary reaches over the start of a chunk")
+            ids.append(found)
+            ends.append(np.diff(last + 1, prepend=0))
+        singles = self._batch([data[begin[c] : stop[c]].tobytes().decode() for c in order[n:].tolist()])
+        ids.append(np.fromiter(chain.from_iterable(singles), "<u4"))
+        ends.append(np.fromiter(map(len, singles), np.int64))
+        counts = np.empty(len(begin), np.int64)
+        counts[order] = np.concatenate(ends)
+        # back into the order of the chunks
+        flat_ids, sorted_counts = np.concatenate(ids), counts[order]
+        at = np.empty(len(begin), np.int64)
+        at[order] = np.cumsum(sorted_counts) - sorted_counts
+        return flat_ids[_positions(at, counts)], counts
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@cache
+def text_ids(path: str) -> TextIds:
+    """A worker reads a vocabulary file once; nothing grows with the texts it meets."""
+    return TextIds(path)
 
 
 class Levels:
@@ -209,7 +257,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, levels = TextIds(vocabulary), Levels(size)
+        ids_of, levels = text_ids(vocabulary), Levels(size)
         first = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
         out: list[tuple] = []
