@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import IS_SPACE, flat, groups_of
+from skyloom.llm.common import IS_SPACE, flat, groups_of, tidy
 from skyloom.llm.recurring import LETTERS
 
 Q = 12
@@ -257,7 +257,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     reported. An empty table on either side gives no rows. Other columns are not read.
     """
     schema = "doc_id long, item_id long, start long, end long, edits long, n_places long"
-    parts = [docs.select("doc_id", "text").mapInArrow(_leaks(index), schema) for index in indexes(benchmark)]
+    parts = [docs.select("doc_id", "text").mapInArrow(tidy(_leaks(index)), schema) for index in indexes(benchmark)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -274,7 +274,7 @@ def holds_any(text: Column, index: Index) -> Column:
                 found[t] |= bool(places)
             yield pa.array(found)
 
-    return F.arrow_udf(run, "boolean")(text)
+    return F.arrow_udf(tidy(run), "boolean")(text)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import flat, held_out
+from skyloom.llm.common import flat, held_out, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -178,7 +178,7 @@ def language(text: Column, net: Network | None) -> Column:
                     score[use[i:j]] = total.max(axis=1)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
-    return F.arrow_udf(run, "lang string, score double")(text, text.rlike(r"\p{L}"))
+    return F.arrow_udf(tidy(run), "lang string, score double")(text, text.rlike(r"\p{L}"))
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:

@@ -18,14 +18,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from skyloom.llm.common import IS_SPACE, flat, groups_of, keys_table, mix
+from skyloom.llm.common import IS_SPACE, flat, groups_of, keys_table, mix, tidy
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long"
 )
 #: Text whose chunks are found and told apart at a time, and the part of it that is hashed or compared at a time.
-SLICE, STEP = 8 << 20, 1 << 20
+SLICE, STEP = 4 << 20, 1 << 20
 #: Distinct chunks that are encoded as one text.
 LINE = 1 << 18
 WEIGHTS = keys_table(4096, 7)
@@ -295,4 +295,4 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0) ->
             close(window)
         yield batch()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)

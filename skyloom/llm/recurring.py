@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import flat, groups_of, keys_table, mix
+from skyloom.llm.common import flat, groups_of, keys_table, mix, tidy
 from skyloom.session import stage
 
 SLICE = 1 << 20
@@ -68,7 +68,7 @@ def squeezed(text: Column) -> Column:
         for texts in batches:
             yield pa.array([None if t is None else press(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
-    return F.arrow_udf(run, "binary")(text)
+    return F.arrow_udf(tidy(run), "binary")(text)
 
 
 def expanded(column: pa.Array) -> pa.Array:
@@ -393,19 +393,19 @@ def repeats(docs: DataFrame, units: Units) -> DataFrame:
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     kept = (
-        texts.mapInArrow(_anchors(units), "route long, key long, doc_id long, place long")
+        texts.mapInArrow(tidy(_anchors(units)), "route long, key long, doc_id long, place long")
         .repartition("route").sortWithinPartitions("route")
-        .mapInArrow(_keep_recurring, "key long, doc_id long, place long")
+        .mapInArrow(tidy(_keep_recurring), "key long, doc_id long, place long")
     )
     by_doc = kept.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("found"))
     packed = texts.select("doc_id", squeezed(F.col("text")).alias("text"))
-    pieces = packed.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(_pieces(units), STRETCH)
+    pieces = packed.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(tidy(_pieces(units)), STRETCH)
     # repeats found already need not meet anything, and stretches of hot anchors meet by window
     apart = F.col("doc_id").isNotNull() & (F.col("piece").isNull() | (F.col("n") < 0))
     found, seen = stage(
         pieces.withColumn("key", F.when(apart, F.xxhash64("doc_id", "start")).otherwise(F.col("key")))
         .repartition("key").sortWithinPartitions("key", "doc_id")
-        .mapInArrow(_shards(units), "doc_id long, start long, units long, piece binary"),
+        .mapInArrow(tidy(_shards(units)), "doc_id long, start long, units long, piece binary"),
         "repeats", n_hot=F.count("piece"),
     )
     parts = found.where("piece is null").select("doc_id", "start", "units")
@@ -413,7 +413,7 @@ def repeats(docs: DataFrame, units: Units) -> DataFrame:
         return parts
     single, _ = stage(
         found.where("piece is not null").repartition("doc_id", "start")
-        .mapInArrow(_windows(units), "doc_id long, start long, units long, digest binary"),
+        .mapInArrow(tidy(_windows(units)), "doc_id long, start long, units long, digest binary"),
         "windows",
     )
     least = single.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("least"))
@@ -425,7 +425,7 @@ def cut(docs: DataFrame, parts: DataFrame, run: Callable, schema: str) -> DataFr
     """``run`` over (doc_id, text, parts): the text squeezed, parts the list of (start, units) of a document or null."""
     by_doc = parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "units")).alias("parts"))
     packed = docs.select("doc_id", squeezed(F.col("text")).alias("text"))
-    return packed.join(by_doc, "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(run, schema)
+    return packed.join(by_doc, "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(tidy(run), schema)
 
 
 def marks(parts: list | None, n: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Forest, components, flat, groups_of
+from skyloom.llm.common import components, flat, Forest, groups_of, tidy
 from skyloom.session import stage
 
 SHINGLE = 4
@@ -76,7 +76,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): bit b of fp is set if it is in over half of the hashes of a text's shingles of four words."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_fingerprint), "doc_id long, fp long")
 
 
 # Codewords
@@ -227,8 +227,8 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
 def near_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect all fingerprints of ``distinct`` (fp) which differ in four bits or fewer."""
     found, seen = stage(
-        distinct.mapInArrow(_keys, "key int, fp long").repartition("key").sortWithinPartitions("key", "fp")
-        .mapInArrow(_compare, "a long, b long, hot long"),
+        distinct.mapInArrow(tidy(_keys), "key int, fp long").repartition("key").sortWithinPartitions("key", "fp")
+        .mapInArrow(tidy(_compare), "a long, b long, hot long"),
         "near", hot=F.count("hot"),
     )
     links = found.where("b is not null").select("a", "b").distinct()
