@@ -154,7 +154,7 @@ def pixel(source: str, name: str = "px") -> str:
 
 
 GROUPS = """grp as (select list_no, pixel, max(exptime) as max_exptime, arg_min(ra, row_id) as ra, arg_min(dec, row_id) as dec from px group by list_no, pixel)"""
-SPRING = "unnest(generate_series(date '2026-04-10', date '2026-04-12', interval 1 day)) as night"
+SPRING = "unnest(generate_series(date '2026-02-01', date '2026-07-31', interval 1 day)) as night"
 PIXEL_VISIBLE = (
     pixel("%s") + ",\n" + GROUPS + f",\nnights as (select *, {SPRING} from grp),\n" + seconds("nights") + """,
 verdict as (select list_no, pixel, sum(seconds) >= max(max_exptime) as ok_visible from sec group by list_no, pixel)"""

@@ -17,7 +17,7 @@ from workload.views import table, view
 
 LISTS = ["list_no"]
 T = 900.0
-SPRING = (dt.date(2026, 4, 10), dt.date(2026, 4, 12))
+SPRING = (dt.date(2026, 2, 1), dt.date(2026, 7, 31))  # a whole semester
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(FILE_QUERIES)
 
