@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.operators.checks import (
     VALUE_COLUMNS,
+    date_order_ok,
     keep_registered,
     string_flags,
     unique_flags,
@@ -64,18 +65,22 @@ def flag_rows(
 
 
 def list_results(
-    flagged: DataFrame, header: Column, list_cols: Sequence[str] = LIST_COLS, lists: DataFrame | None = None
+    flagged: DataFrame, header: Column, list_cols: Sequence[str] = LIST_COLS, lists: DataFrame | None = None,
+    dates_ok: Column | None = None,
 ) -> DataFrame:
     """One row per list: status of every stage (null if not reached), counts and the overall label.
 
     ``header`` gives the array of a list's column names as an aggregate. One pass over the rows yields
-    everything. ``lists`` adds lists that have no row; they fail.
+    everything. ``lists`` adds lists that have no row; they fail. ``dates_ok`` tells of each row whether the dates of its
+    list are in order; a list whose dates are not fails by ``status_dates``.
     """
+    in_order = F.coalesce(F.bool_and(F.lit(True) if dates_ok is None else dates_ok), F.lit(True))
     flags = ["ok_str", *VALUE_FLAGS, *LATE_FLAGS]
     aggs, names = used_filters() if "filter_g" in flagged.columns else ([], F.array().cast("array<string>"))
     counted = flagged.groupBy(*list_cols).agg(
         F.count(F.lit(1)).alias("n_rows"),
         header.alias("header"),
+        in_order.alias("status_dates"),
         *[F.count_if(~F.col(f)).alias(f"n_bad_{f.removeprefix('ok_')}") for f in flags],
         *aggs,
     ).withColumn("filters", names)
@@ -103,7 +108,8 @@ def list_results(
         }
     )
     parts = ["status_str", "status_values", "status_flux", "status_visible", "status_unique"]
-    overall = F.col("required_ok")
+    out = out.withColumn("status_dates", F.coalesce("status_dates", F.lit(True)))
+    overall = F.col("required_ok") & F.col("status_dates")
     for p in parts:
         overall = overall & F.coalesce(F.col(p), F.lit(False))
     return out.withColumn("status", overall).withColumn(
@@ -168,6 +174,8 @@ def report_rows(results: DataFrame, list_cols: Sequence[str] = LIST_COLS) -> Dat
             F.col("status_visible"), F.coalesce(n_invisible, F.lit(0)), F.lit(""),
         ),
         entry("unique", plain(F.col("status_unique")), F.col("status_unique"), F.coalesce("n_bad_unique", F.lit(0)), F.lit("")),
+        # told only if they are not in order
+        F.when(~F.col("status_dates"), entry("dates", F.lit("error"), F.col("status_dates"), F.lit(1), F.lit("the first date does not precede the last one"))),
     )
     return rows.select(*list_cols, F.inline(F.array_compact(entries)))
 
@@ -184,7 +192,8 @@ def validate(
     """Validate every list of ``targets``.
 
     ``header`` names an array column with the columns of each list. ``lists`` (list columns and ``header``)
-    names the lists to report on even if they have no row.
+    names the lists to report on even if they have no row. The dates may be dates, or columns that give every list its own;
+    a list whose first date does not precede the last fails.
     """
     names = [c for c in targets.columns if c not in list_cols]
     of_list = F.max(header) if header else F.max(F.array(*[F.lit(c) for c in names]))
@@ -196,5 +205,6 @@ def validate(
     else:
         flagged = flag_rows(targets, date_begin, date_end, list_cols, header, **options)
     # one row per list; the masks, the status and the report all start from it
-    results, _ = stage(list_results(flagged, of_list, list_cols, lists), "results")
+    first, last = (F.col(d) if isinstance(d, str) else d if isinstance(d, Column) else F.lit(d) for d in (date_begin, date_end))
+    results, _ = stage(list_results(flagged, of_list, list_cols, lists, date_order_ok(first, last)), "results")
     return Validation(mask_rows(flagged, results, list_cols), results, report_rows(results, list_cols))

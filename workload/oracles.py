@@ -545,3 +545,7 @@ select list_no, resolution, count(*) as n_targets, sum(frames)::bigint as frames
 ORACLES["plan_ledger"] = COVERED + """
 select list_no, resolution, ob_code, frames, frames as frames_left, n_fields, n_fields as n_free,
  case when n_fields = 0 then 'no field' else 'all or nothing' end as reason from placed where not whole"""
+
+ORACLES["validation_dates"] = cte("targets") + """
+select list_no, count(*) as n_rows, list_no <> 3 as status_dates, false as passed_reversed, case when list_no = 3 then 'error' end as severity,
+ case when list_no = 3 then 1::bigint end as n_bad from targets group by list_no"""

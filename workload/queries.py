@@ -162,6 +162,20 @@ def validation_status(spark, sf):
     )
 
 
+@query
+def validation_dates(spark, sf):
+    """Every list with its own dates, those of one list reversed: it fails, and the report says why."""
+    begin, end = (F.lit(d) for d in SPRING)
+    reversed_ = F.col("list_no") == 3
+    targets = view(spark, sf, "targets").withColumns(
+        {"date_begin": F.when(reversed_, end).otherwise(begin), "date_end": F.when(reversed_, begin).otherwise(end)}
+    )
+    result = validation.validate(targets, "date_begin", "date_end", LISTS)
+    told = result.report.where("check = 'dates'").select("list_no", "severity", "n_bad")
+    rows = result.status.select("list_no", "n_rows", "status_dates", "status", "status_visible").join(told, "list_no", "left")
+    return longs(rows.select("list_no", "n_rows", "status_dates", (F.col("status") & ~F.col("status_dates")).alias("passed_reversed"), "severity", "n_bad"), "n_rows", "n_bad")
+
+
 @query
 def offending_rows(spark, sf):
     dirty = view(spark, sf, "targets_dirty")
