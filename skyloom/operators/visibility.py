@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.functions.sky import num, sky_pixel
-from skyloom.operators.ordered import look_up
+from skyloom.operators.ordered import join_back, look_up
 from skyloom.schema import (
     ELEVATION,
     LIST_COLS,
@@ -183,6 +183,77 @@ def with_total_seconds(
     )
 
 
+def visibility_sums(
+    positions: DataFrame, first: date, last: date, key: str = "pixel", single_exptime: float = SINGLE_EXPTIME,
+    mode: str = "first", timezone: str = SITE_TIMEZONE, **site,
+) -> DataFrame:
+    """Prefix sums over a calendar: one row per key with ``first_night`` and ``sums``.
+
+    ``sums[k]`` is the observable time of the first k nights, so that the time of any range of nights is the difference of
+    two entries, whoever asks for it. ``positions`` has one row per key with ``ra`` and ``dec``. The table is as large as
+    the sky in pixels times the nights, whatever the number of targets; nothing is shuffled to make it.
+    """
+    if last < first:
+        raise ValueError("the calendar ends before it begins")
+    nights = F.transform(
+        night_dates(F.lit(first), F.lit(last)),
+        lambda d: F.struct(
+            F.unix_seconds(_at(d, NIGHT_START, timezone)).alias("b"),
+            F.unix_seconds(_at(F.date_add(d, 1), NIGHT_END, timezone)).alias("e"),
+        ),
+    )
+    seconds = night_seconds("ra", "dec", "d.b", "d.e", single_exptime, mode, **site)
+    summed = f"aggregate(transform(_nights, d -> {seconds}), array(0L), (s, x) -> array_append(s, element_at(s, -1) + x))"
+    return (
+        positions.select(key, "ra", "dec").withColumn("_nights", nights)
+        .select(key, F.lit(first).alias("first_night"), F.expr(summed).alias("sums"))
+    )
+
+
+def seconds_in_range(begin, end, calendar: str = "all", first: str = "first_night", sums: str = "sums") -> Column:
+    """Observable seconds between two dates from the row of :func:`visibility_sums`; 0 for a range that ends before it begins.
+
+    Null without such a row, or if a date is null; a range that leaves the calendar of the table is an error.
+    """
+    begin, end = _day(begin), _day(end)
+
+    def upto(day: Column) -> Column:
+        return F.get(sums, F.date_diff(day, F.col(first)))
+
+    def night(day: Column) -> Column:
+        return upto(F.date_add(day, 1)) - upto(day)
+
+    span = F.date_diff(end, begin)
+    total = upto(F.date_add(end, 1)) - upto(begin)
+    if calendar in ("split", "split_time"):
+        total = total - night(F.date_add(begin, F.floor(span / 2).cast("int")))
+        if calendar == "split_time":
+            total = total - F.when(span % 2 == 1, night(end)).otherwise(0)
+    elif calendar != "all":
+        raise ValueError("calendar must be 'all', 'split' or 'split_time'")
+    outside = (begin < F.col(first)) | (F.date_diff(end, F.col(first)) + 2 > F.size(sums))
+    return F.when(begin > end, F.lit(0).cast("bigint")).when(
+        outside, F.raise_error(F.lit("the range of nights leaves the calendar of the table")).cast("bigint")
+    ).otherwise(total)
+
+
+def visibility_by_sums(
+    targets: DataFrame, sums: DataFrame, begin: date | Column | str, end: date | Column | str,
+    list_cols: Sequence[str] = LIST_COLS, nside: int = PIXEL_NSIDE, calendar: str = "all",
+) -> DataFrame:
+    """Per list and sky pixel: ``max_exptime``, observable ``seconds`` and ``ok_visible``, from a table of prefix sums.
+
+    ``sums`` is a stored table of :func:`visibility_sums`; all lists and ranges share it. A pixel that it lacks is an
+    invisible one, with null seconds. Dates given as names of columns have to be the same in all rows of a list.
+    """
+    carry = [c for c in (begin, end) if isinstance(c, str)]
+    groups = pixel_groups(targets, list_cols, nside, carry).drop("ra", "dec")
+    told = join_back(groups, sums, ["pixel"]).withColumn("seconds", seconds_in_range(begin, end, calendar))
+    return told.drop("first_night", "sums").withColumn(
+        "ok_visible", F.coalesce(F.col("seconds") >= F.col("max_exptime"), F.lit(False))
+    )
+
+
 def visibility_flags(
     targets: DataFrame,
     begin: date | Column | str,
@@ -194,6 +265,7 @@ def visibility_flags(
     calendar: str = "all",
     mode: str = "first",
     source: DataFrame | None = None,
+    sums: DataFrame | None = None,
     **site,
 ) -> DataFrame:
     """Add ``ok_visible``: is a target observable long enough between two dates.
@@ -201,20 +273,27 @@ def visibility_flags(
     ``pixel`` decides once per sky pixel, with the longest exposure in it; ``target`` decides for every
     position with its own exposure, which is then also the shortest stretch that counts in a night.
     ``begin`` and ``end`` may be columns, so that every list has its own range. ``source`` may name the
-    plain rows behind ``targets``, for a cheaper grouping.
+    plain rows behind ``targets``, for a cheaper grouping. With a table of :func:`visibility_sums` no night is
+    looked at again: pixels take the time of the position that the table has for them.
     """
+    if sums is not None and grouping != "pixel":
+        raise ValueError("a table of sums knows pixels only")
     if grouping == "target":
         seen = with_total_seconds(targets, begin, end, calendar, "exptime", mode, "_seen", **site)
         return seen.withColumn("ok_visible", F.coalesce(F.col("_seen") >= F.col("exptime"), F.lit(False))).drop("_seen")
     if grouping != "pixel":
         raise ValueError("grouping must be 'pixel' or 'target'")
+    rows = targets.withColumn("pixel", sky_pixel("ra", "dec", nside))
+    if sums is not None:
+        told = visibility_by_sums(targets if source is None else source, sums, begin, end, list_cols, nside, calendar)
+        found = look_up(rows, told.select(*list_cols, "pixel", "ok_visible"), [*list_cols, "pixel"])
+        return found.withColumn("ok_visible", F.coalesce("ok_visible", F.lit(False))).drop("pixel")
     carry = [c for c in (begin, end) if isinstance(c, str)]
     pixels = pixel_groups(targets if source is None else source, list_cols, nside, carry)
     tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pixels = pixels.repartition(tasks, *list_cols, "pixel")  # few rows with much work each
     seen = with_total_seconds(pixels, begin, end, calendar, single_exptime, mode, "_seen", **site)
     verdict = seen.select(*list_cols, "pixel", (F.col("_seen") >= F.col("max_exptime")).alias("ok_visible"))
-    rows = targets.withColumn("pixel", sky_pixel("ra", "dec", nside))
     return (
         look_up(rows, verdict, [*list_cols, "pixel"])
         .withColumn("ok_visible", F.coalesce("ok_visible", F.lit(False)))

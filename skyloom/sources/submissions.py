@@ -12,6 +12,7 @@ from skyloom.operators.flux import band_presence
 from skyloom.operators.ordered import join_back
 from skyloom.schema import RESOLVED_FLUX
 from skyloom.session import stage
+from skyloom.sources import snapshots
 from skyloom.sources.textfiles import cell, read_lines, tables
 
 # --- fixed values: names in a submission tree ---
@@ -145,26 +146,37 @@ def placeholder_rows(lists: DataFrame, results: DataFrame, kind: str, key: str =
     return results.unionByName(empty)
 
 
-def save_submissions(tables_by_kind: dict[str, DataFrame], submissions: DataFrame, root: str) -> None:
+def save_submissions(
+    tables_by_kind: dict[str, DataFrame], submissions: DataFrame, root: str, versioned: bool = False
+) -> None:
     """Add submissions to one Parquet table per kind, partitioned by year and month; a known id is replaced.
 
     ``submissions`` has ``upload_id``, ``upload_at`` and the metadata columns, which become columns of the
-    table ``submissions``.
+    table ``submissions``. With ``versioned`` all tables change in one step, in a store of
+    :mod:`skyloom.sources.snapshots`; without, months are overwritten in place.
     """
     stamped = submissions.withColumns(
         {"year": F.year("upload_at"), "month": F.month("upload_at")}
     )
-    _merge(stamped, f"{root}/submissions")
     when = stamped.select("upload_id", "year", "month")
+    if versioned:
+        placed = {kind: join_back(table, when, ["upload_id"]) for kind, table in tables_by_kind.items()}
+        snapshots.commit(submissions.sparkSession, root, {"submissions": stamped, **placed})
+        return
+    _merge(stamped, f"{root}/submissions")
     for kind, table in tables_by_kind.items():
         _merge(join_back(table, when, ["upload_id"]), f"{root}/{kind}")
 
 
-def save_allocation(tac_psl: DataFrame, tac_ppc: DataFrame, root: str) -> None:
+def save_allocation(tac_psl: DataFrame, tac_ppc: DataFrame, root: str, versioned: bool = False) -> None:
     """Write back allocated summaries and pointings; months without a change keep their files.
 
-    The tables hold one version per submission: rows of other submissions in a touched month are kept.
+    The tables hold one version per submission: rows of other submissions in a touched month are kept. With
+    ``versioned`` both tables change in one step, as in :func:`save_submissions`.
     """
+    if versioned:
+        snapshots.commit(tac_psl.sparkSession, root, {"tac_psl": tac_psl, "tac_ppc": tac_ppc})
+        return
     for name, new in (("tac_psl", tac_psl), ("tac_ppc", tac_ppc)):
         _merge(new, f"{root}/{name}")
 

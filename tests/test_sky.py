@@ -222,3 +222,36 @@ def test_a_reversed_range_has_no_nights(spark):
     for calendar, n in (("all", 3), ("split", 2), ("split_time", 2)):
         nights = {r.k: r.n for r in df.select("k", F.size(visibility.night_dates(F.col("a"), F.col("b"), calendar)).alias("n")).collect()}
         assert nights == {1: 0, 2: n, 3: 0}
+
+
+@pytest.mark.parametrize("calendar", ["all", "split", "split_time"])
+def test_prefix_sums_equal_the_sum_night_by_night(spark, targets, calendar):
+    first, last = dt.date(2026, 1, 30), dt.date(2026, 4, 20)
+    positions = visibility.pixel_groups(targets, [])
+    sums = visibility.visibility_sums(positions, first, last)
+    assert {len(r.sums) for r in sums.select("sums").collect()} == {82}  # 81 nights and the start
+    ranges = [(first, last), (first, first), (dt.date(2026, 2, 3), dt.date(2026, 3, 4)), (dt.date(2026, 2, 3), dt.date(2026, 3, 5)), (last, first)]
+    for begin, end in ranges:
+        got = positions.select("pixel").join(sums, "pixel").select("pixel", visibility.seconds_in_range(F.lit(begin), F.lit(end), calendar).alias("s"))
+        nights = visibility.observable_seconds(positions, begin, end, calendar).groupBy("pixel").agg(F.sum("seconds").alias("s"))
+        want = {r.pixel: r.s for r in nights.collect()}
+        assert {r.pixel: r.s for r in got.collect()} == {r.pixel: want.get(r.pixel, 0) for r in positions.collect()}
+
+
+def test_flags_from_prefix_sums(spark, targets):
+    one = targets.where("list_no = 3")
+    begin, end = dt.date(2026, 2, 1), dt.date(2026, 2, 9)
+    sums = visibility.visibility_sums(visibility.pixel_groups(one, []), dt.date(2026, 1, 1), dt.date(2026, 3, 1))
+    want = visibility.visibility_flags(one, begin, end, ["list_no"]).select("row_id", "ok_visible")
+    got = visibility.visibility_flags(one, begin, end, ["list_no"], sums=sums).select("row_id", "ok_visible")
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert 0 < want.where("ok_visible").count()
+    # a pixel without sums is invisible, a null date too; a range outside of the calendar is an error
+    assert visibility.visibility_flags(one, begin, end, ["list_no"], sums=sums.limit(0)).where("ok_visible").count() == 0
+    undated = one.withColumns({"b": F.lit(None).cast("date"), "e": F.lit(end)})
+    assert visibility.visibility_flags(undated, "b", "e", ["list_no"], sums=sums).where("ok_visible").count() == 0
+    for bad in ((dt.date(2025, 12, 31), end), (begin, dt.date(2026, 3, 2))):
+        with pytest.raises(Exception, match="leaves the calendar"):
+            visibility.visibility_by_sums(one, sums, *bad, ["list_no"]).collect()
+    with pytest.raises(ValueError):
+        visibility.visibility_sums(one, end, begin, key="row_id")

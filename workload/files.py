@@ -16,7 +16,7 @@ from skyloom.functions import parsing
 from skyloom.operators import checks, registry, reports
 from skyloom.schema import NA_TEXTS
 from skyloom.session import scratch_dir
-from skyloom.sources import lists, submissions
+from skyloom.sources import lists, snapshots, submissions
 from skyloom.sources.textfiles import cell, records, tables
 from workload.views import table
 
@@ -239,6 +239,36 @@ def save_allocation(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/tac_ppc")
 
 
+MOVED = "case when k < 9 then (k + 1) % 5 + 1 else k % 5 + 1 end"
+
+
+def _store(spark: SparkSession, sf: str) -> str:
+    """A store with two versions: all submissions, then some of them again, a month later and without their even rows."""
+    rows = _orders(spark, sf, f"{SUBMITTED} as upload_id", "o_orderkey as n")
+    folder = _folder(spark)
+    submissions.save_submissions({"rows": rows}, _submissions(spark, sf), folder, versioned=True)
+    again = _submissions(spark, sf, "o_custkey % 50 < 9").withColumn("upload_at", F.lit(_STAMP) + F.make_interval(F.lit(0), (F.col("k") + 1) % 5))
+    submissions.save_submissions({"rows": rows.where("n % 2 = 1").join(again, "upload_id", "left_semi")}, again, folder, versioned=True)
+    return folder
+
+
+@query(MONTHS + f""", r as (select {SUBMITTED} as upload_id, o_orderkey as n from orders)
+select 2 as version, upload_id, n, 2024 as year, {MOVED} as month from s join r using (upload_id) where k >= 9 or n % 2 = 1
+union all select 1, upload_id, n, 2024, k % 5 + 1 from s join r using (upload_id)""")
+def snapshot_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of submissions as of two versions; those sent again have moved and lost rows in the second."""
+    folder = _store(spark, sf)
+    old, new = (snapshots.read(spark, folder, "rows", v).withColumn("version", F.lit(v)) for v in (1, 2))
+    return new.unionByName(old).select("version", "upload_id", "n", "year", "month")
+
+
+@query(MONTHS + f""" select upload_id, n, {MOVED} as month from s join (select {SUBMITTED} as upload_id, o_orderkey as n from orders) using (upload_id)
+where upload_id in ('u3', 'u8', 'u41') and (k >= 9 or n % 2 = 1)""")
+def snapshot_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of three submissions through the index of ids."""
+    return snapshots.of_ids(spark, _store(spark, sf), "rows", ["u3", "u8", "u41", "absent"]).select("upload_id", "n", "month")
+
+
 @query(f"select {SUBMITTED} as upload_id, o_orderkey as n from orders where o_custkey % 50 < 10")
 def export_selected(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of chosen submissions written apart; ids without rows and null ids are skipped."""

@@ -186,6 +186,14 @@ select list_no, count(*) filter (where not ok_visible) as n_invisible,
  case when bool_and(ok_visible) then 'all' when bool_or(ok_visible) then 'some' else 'none' end as visible, bool_or(ok_visible) as status
 from px join verdict using (list_no, pixel) group by list_no"""
 
+ORACLES["visibility_ranges"] = cte("targets") + ",\n" + pixel("targets") + """,
+grp as (select pixel, arg_min(ra, row_id) as ra, arg_min(dec, row_id) as dec from px group by pixel),
+year as (select *, cast(unnest(generate_series(date '2026-02-01', date '2026-12-31', interval 1 day)) as date) as night from grp),
+""" + seconds("year") + """,
+asked as (select list_no, pixel, max(exptime) as max_exptime, date '2026-02-01' + list_no*17 as b0, date '2026-07-31' + list_no*16 as e0 from px group by all)
+select list_no, pixel, max_exptime, cast(sum(seconds) as bigint) as seconds, sum(seconds) >= max_exptime as ok_visible
+from asked join sec using (pixel) where night between b0 and e0 group by list_no, pixel, max_exptime"""
+
 # --- flux ---
 
 FLUX = """flux as (select *, case when g_hsc is not null then 'g_hsc' when g_ps1 is not null then 'g_ps1' end as filter_g,

@@ -562,6 +562,20 @@ def visibility_status(spark, sf):
     return longs(visibility.visibility_status(flagged, LISTS), "n_invisible")
 
 
+@query
+def visibility_ranges(spark, sf):
+    """Half-year ranges, another one for each list, from one table of prefix sums over the year."""
+    targets = view(spark, sf, "targets")
+    positions = visibility.pixel_groups(targets, [])
+    sums, _ = stage(visibility.visibility_sums(positions, dt.date(2026, 1, 1), dt.date(2026, 12, 31)), "night-sums")
+    ranges = targets.withColumns({
+        "date_begin": F.date_add(F.lit(dt.date(2026, 2, 1)), F.col("list_no") * 17),
+        "date_end": F.date_add(F.lit(dt.date(2026, 7, 31)), F.col("list_no") * 16),
+    })
+    told = visibility.visibility_by_sums(ranges, sums, "date_begin", "date_end", LISTS)
+    return told.select("list_no", "pixel", "max_exptime", "seconds", "ok_visible")
+
+
 # --- density ------------------------------------------------------------------------
 
 MODES = ["list_no", "resolution"]
