@@ -73,9 +73,9 @@ class Quantiser:
         cuts = [slice(i, i + SUBSPACE) for i in range(0, x.shape[1], SUBSPACE)]
         return cls(centres, [kmeans(rest[:, c], CODEWORDS, 6, seed) for c in cuts], cuts)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nearest lists, codes, length of the coding error) of each row."""
-        probes = nearest(x, self.centres, PROBES)
+    def encode(self, x: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the ``lists`` nearest lists, codes, length of the coding error) of each row."""
+        probes = nearest(x, self.centres, lists)
         rest = x - self.centres[probes[:, 0]]
         codes = np.column_stack([nearest(rest[:, c], w, 1)[:, 0] for c, w in zip(self.cuts, self.codewords, strict=True)])
         guess = np.concatenate([w[codes[:, j]] for j, w in enumerate(self.codewords)], axis=1)
@@ -89,21 +89,21 @@ class Quantiser:
         return out
 
 
-ENTRY = "list int, id long, n long, x array<float>, probes array<int>, codes binary, error double"
+NAMES = ["list", "id", "n", "x", "probes", "codes", "error"]
 
 
-def _entries(quantiser: Quantiser, dim: int):
+def _entries(quantiser: Quantiser, dim: int, probed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            probes, codes, error = quantiser.encode(unit(b.column(2), dim))
+            probes, codes, error = quantiser.encode(unit(b.column(2), dim), probed)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(probes[:, 0].astype(np.int32)), b.column(0), b.column(1), b.column(2),
                     pa.array(list(probes.astype(np.int32)), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
                 ],
-                [c.split()[0] for c in ENTRY.split(", ")],
+                NAMES,
             )
 
     return run
@@ -183,14 +183,17 @@ def _links(quantiser: Quantiser, dim: int):
     return run
 
 
-def class_links(classes: DataFrame, dim: int) -> DataFrame:
+def class_links(classes: DataFrame, dim: int, probes: int | None = PROBES) -> DataFrame:
     """(a, b, n): of classes (id, n, x) of unequal vectors, links (a, b, null) that connect all near ones, and
-    (a, null, n) with parts of the number of vectors that each is linked to."""
+    (a, null, n) with parts of the number of vectors that each is linked to. ``probes`` lists are looked into; for None there is only one."""
     count = classes.count()
-    lists = int(np.clip(round(count / LIST), 1, MAX_LISTS))
+    lists = 1 if probes is None else int(np.clip(round(count / LIST), 1, MAX_LISTS))
     rows = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()
     quantiser = Quantiser.fit(unit(rows["x"].combine_chunks(), dim), lists)
-    entries, _ = stage(classes.select("id", "n", "x").mapInArrow(_entries(quantiser, dim), ENTRY), "entries")
+    kind = classes.schema["x"].dataType.simpleString()
+    entry = f"list int, id long, n long, x {kind}, probes array<int>, codes binary, error double"
+    probed = min(probes or 1, lists)
+    entries, _ = stage(classes.select("id", "n", "x").mapInArrow(_entries(quantiser, dim, probed), entry), "entries")
     asked = entries.select(F.explode("probes").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("asked"))
     sizes = (
         entries.groupBy(F.col("list").alias("at")).agg(F.count(F.lit(1)).alias("held")).join(asked, "at", "full")
@@ -205,29 +208,32 @@ def class_links(classes: DataFrame, dim: int) -> DataFrame:
         entries.withColumn("at", F.explode("probes")).join(sizes, "at").withColumn("turn", F.pmod(F.xxhash64("id"), "turns"))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("role", F.lit(1))
     )
-    names = ["at", "part", "turn", "role", *(c.split()[0] for c in ENTRY.split(", "))]
+    names = ["at", "part", "turn", "role", *NAMES]
     return (
         members.select(names).unionByName(queries.select(names)).repartition("at", "part", "turn")
         .sortWithinPartitions("at", "part", "turn", "role").mapInArrow(_links(quantiser, dim), "a long, b long, n long")
     )
 
 
-def near_vectors(embeddings: DataFrame) -> DataFrame:
+def near_vectors(embeddings: DataFrame, probes: int | None = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per vector: links are cosines of 0.9 or more in double precision.
 
     Equal vectors form a class, which is compared once and counts as many links as it has members. ``component_id`` is
     the smallest vec_id reachable. Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing, nor do vectors of different lengths. The index is fitted to at most 16,384 classes chosen by a hash of
+    nothing, nor do vectors of different lengths. Components keep their precision: floats stay floats, anything else is
+    taken as doubles. Each vector looks into the ``probes`` lists nearest to it; with None all are in one list, in parts of bounded
+    size, so that no link is lost, at a cost that grows with the square of the table. The index is fitted to at most 16,384 classes chosen by a hash of
     the id, and holds all of them.
 
     Repeated rows count as vectors of their own and give repeated rows. Rows without a vec_id are left out: they could
     not be named. An empty table gives no rows. Other columns are not read.
     """
-    rows = embeddings.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<float>").alias("x"))
-    good = "size(x) > 0 and forall(x, v -> v is not null and not isnan(v) and abs(v) < float('infinity')) and exists(x, v -> v <> 0)"
+    kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = embeddings.where("vec_id is not null").select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("x"))
+    good = f"size(x) > 0 and forall(x, v -> v is not null and not isnan(v) and abs(v) < {kind}('infinity')) and exists(x, v -> v <> 0)"
     classes, _ = stage(rows.where(good).groupBy("x").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "vectors")
     dims = [r.dim for r in classes.select(F.size("x").alias("dim")).distinct().collect()]
-    parts = [class_links(classes.where(F.size("x") == dim), dim) for dim in dims]
+    parts = [class_links(classes.where(F.size("x") == dim), dim, probes) for dim in dims]
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
