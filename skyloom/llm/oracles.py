@@ -9,28 +9,30 @@ PREFERENCES = """
 with conv as (
   select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
   from conversations where conv_id is not null group by conv_id
-), replied as (
-  select conv_id, turns, len(turns) + 1 - list_position(list_reverse(list_transform(turns, lambda t: t.role)), 'assistant') as last_reply
-  from conv where list_contains(list_transform(turns, lambda t: t.role), 'assistant')
-), paired as (
-  select conv_id, turns[1:last_reply - 1] as before_reply, turns[last_reply] as reply,
-    coalesce(lead(turns[last_reply]) over (partition by conv_id // 1000 order by conv_id),
-             first_value(turns[last_reply]) over (partition by conv_id // 1000 order by conv_id)) as other
-  from replied
+), placed as (
+  select *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') as spots from conv
 ), cut as (
-  select conv_id as pair_id,
-    case when reply = other then list_append(before_reply, reply) else before_reply end as common,
-    case when reply = other then [] else [reply] end as chosen,
-    case when reply = other then [] else [other] end as rejected
-  from paired
+  select conv_id, turns, case when len(spots) = 0 then len(turns) else spots[1 + (conv_id % len(spots) + len(spots)) % len(spots)] - 1 end as n_before from placed
+), sides as (
+  select conv_id, turns as chosen,
+    list_concat(turns[1:n_before], coalesce(lead(turns[n_before + 1:]) over (partition by conv_id // 1000 order by conv_id),
+      first_value(turns[n_before + 1:]) over (partition by conv_id // 1000 order by conv_id))) as rejected
+  from cut
+), compared as (
+  select *, len(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[1:i] = rejected[1:i])) as n from sides
+), parts as (
+  select conv_id, n,
+    list_transform(chosen[1:n], lambda t: '<|' || t.role || '|>' || t.text || '<|end|>' || chr(10)) as prompt,
+    list_transform(chosen[n + 1:], lambda t: '<|' || t.role || '|>' || t.text || '<|end|>' || chr(10)) as a, chosen[n + 1:] as ta,
+    list_transform(rejected[n + 1:], lambda t: '<|' || t.role || '|>' || t.text || '<|end|>' || chr(10)) as b, rejected[n + 1:] as tb
+  from compared
 )
-select pair_id, cast(len(common) as integer) as n_common,
-  coalesce(list_aggregate(list_transform(common, lambda t: '<|' || t.role || '|>' || t.text || '<|end|>' || chr(10)), 'string_agg', ''), '') as prompt,
-  coalesce(list_aggregate(list_transform(chosen, lambda t: '<|' || t.role || '|>' || t.text || '<|end|>' || chr(10)), 'string_agg', ''), '') as chosen,
-  coalesce(list_aggregate(list_transform(rejected, lambda t: '<|' || t.role || '|>' || t.text || '<|end|>' || chr(10)), 'string_agg', ''), '') as rejected,
-  coalesce('13-' || (length(chosen[1].text) + 21), '') as chosen_spans,
-  coalesce('13-' || (length(rejected[1].text) + 21), '') as rejected_spans
-from cut
+select conv_id as pair_id, cast(n as integer) as n_common, array_to_string(prompt, '') as prompt, array_to_string(a, '') as chosen, array_to_string(b, '') as rejected,
+  array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: ta[i].role = 'assistant'),
+    lambda i: (length(array_to_string(a[1:i - 1], '')) + 13) || '-' || length(array_to_string(a[1:i], ''))), ',') as chosen_spans,
+  array_to_string(list_transform(list_filter(range(1, len(b) + 1), lambda i: tb[i].role = 'assistant'),
+    lambda i: (length(array_to_string(b[1:i - 1], '')) + 13) || '-' || length(array_to_string(b[1:i], ''))), ',') as rejected_spans
+from parts
 """
 
 _VALUES = ", ".join(

@@ -22,22 +22,26 @@ def conversations_of(turns: DataFrame) -> DataFrame:
     )
 
 
-def swapped_replies(conversations: DataFrame, group: int = 1000) -> DataFrame:
-    """(pair_id, chosen, rejected): each conversation against itself with another one's last reply in place of its own.
+def branched_replies(conversations: DataFrame, group: int = 1000) -> DataFrame:
+    """(pair_id, chosen, rejected): each conversation against itself with another one's turns from one of its replies on.
 
-    The other is the next by conv_id with a reply, the first for the last, among each ``group`` of consecutive ids. What
-    comes after the last reply is left out. Conversations without a reply make no pair.
+    Of its n replies a conversation branches at the one numbered conv_id modulo n, from 0; what stands there and after it is
+    its tail. The rejected side is what precedes the tail, with the tail of the next conversation by conv_id, the first for
+    the last, among each ``group`` of consecutive ids. So both sides go on over turns of users, and pairs part at all depths.
+
+    A conversation without a reply branches at its end: its tail is empty. One alone in its group meets its own tail, and
+    both sides are equal. Equal conv_ids are not expected; they give a pair each, in no fixed order. An empty table gives none.
     """
     order = Window.partitionBy(F.floor(F.col("conv_id") / group)).orderBy("conv_id")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # the place of the last reply, from 1
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), TRAINED).cast("int") + 1
-    with_reply = conversations.where(F.exists("turns", lambda t: t["role"] == TRAINED)).select("conv_id", "turns", last.alias("last"))
-    reply = F.element_at("turns", F.col("last"))
-    paired = with_reply.withColumn("reply", reply).withColumn("other", F.coalesce(F.lead("reply").over(order), F.first("reply").over(whole)))
-    before = F.slice("turns", F.lit(1), F.col("last") - 1)
-    return paired.select(
-        F.col("conv_id").alias("pair_id"), F.concat(before, F.array("reply")).alias("chosen"), F.concat(before, F.array("other")).alias("rejected")
+    places = F.filter(F.sequence(F.lit(0), F.size("turns")), lambda i: F.get("turns", i)["role"] == TRAINED)
+    # the number of turns before the branch
+    before = F.coalesce(F.get("_at", F.pmod("conv_id", F.nullif(F.size("_at"), F.lit(0))).cast("int")), F.size("turns"))
+    cut = conversations.withColumn("_at", places).withColumn("_before", before)
+    tail = F.slice("turns", F.col("_before") + 1, F.size("turns") - F.col("_before"))
+    met = cut.withColumn("_tail", tail).withColumn("_other", F.coalesce(F.lead("_tail").over(order), F.first("_tail").over(whole)))
+    return met.select(
+        F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("_before")), "_other").alias("rejected")
     )
 
 

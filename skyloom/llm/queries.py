@@ -25,8 +25,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with a reply against itself with another's reply, as prompt and masked completions."""
-    pairs = preferences.swapped_replies(preferences.conversations_of(table(spark, sf_dir, "conversations")))
+    """Every conversation against itself with another's turns from one of its replies on, as prompt and masked completions."""
+    pairs = preferences.branched_replies(preferences.conversations_of(table(spark, sf_dir, "conversations")))
     text = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
     return preferences.format_pairs(pairs).select(
         "pair_id", "n_common", "prompt", "chosen", "rejected",

@@ -1,7 +1,7 @@
 import duckdb
 
 from skyloom.llm.oracles import ORACLES
-from skyloom.llm.preferences import conversations_of, format_pairs
+from skyloom.llm.preferences import branched_replies, conversations_of, format_pairs
 from skyloom.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,9 +48,32 @@ def test_turns_in_order(spark):
     assert got == {1: [("", "a"), ("", "a"), ("assistant", ""), ("user", "c")], 2: [("user", "y")]}
 
 
+def test_branches(spark):
+    u, a, b, v = ("user", "hi"), ("assistant", "one"), ("assistant", "two"), ("user", "more")
+    talks = {-1: [u, a, v, b], 0: [u, a, v, b], 1: [u, a, v, b], 2: [u, v], 3: [], 4: [a], 5: [u, b, v], 1000: [u, a, u], 1999: [u, a, u]}
+    df = spark.createDataFrame([(c, t, 0) for c, t in talks.items()], "conv_id long, turns array<struct<role:string,text:string>>, chosen int")
+
+    def before(c):
+        at = [i for i, t in enumerate(talks[c]) if t[0] == "assistant"]
+        return at[c % len(at)] if at else len(talks[c])
+
+    got = {r.pair_id: ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in branched_replies(df).collect()}
+    follows = {-1: -1, 0: 1, 1: 2, 2: 3, 3: 4, 4: 5, 5: 0, 1000: 1999, 1999: 1000}
+    assert got == {c: (talks[c], talks[c][: before(c)] + talks[o][before(o) :]) for c, o in follows.items()}
+    assert branched_replies(df.limit(0)).count() == 0
+
+
+def test_pairs_of_the_table_part_at_all_depths_and_lose_no_turn(spark):
+    talks = conversations_of(spark.read.parquet(f"{SMALL}/conversations.parquet"))
+    rows = {r.pair_id: r for r in QUERIES["op2_preference_format"](spark, SMALL).collect()}
+    assert len({r.n_common for r in rows.values()}) > 3
+    assert any("<|user|>" in r.chosen and r.chosen_spans for r in rows.values()) and any("," in r.rejected_spans for r in rows.values())
+    assert {r.conv_id: text_of(r.turns) for r in talks.collect()} == {k: r.prompt + r.chosen for k, r in rows.items()}
+
+
 def test_queries_against_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, SMALL)
