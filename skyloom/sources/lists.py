@@ -34,6 +34,25 @@ def _extension(path: Column) -> Column:
     return F.when(path.rlike(r"/[^/=]+=[^/]+$"), "ecsv").otherwise(told)
 
 
+def _declared_error(names: Sequence[str]) -> Column:
+    """The first cell of a row that is not of the type its ECSV header declares; empty cells are of any type.
+
+    Columns of whole numbers may not be declared as floats either: their numbers would carry a fraction.
+    """
+    whole = F.array(*[F.lit(n in _INTEGERS + _INTEGERS_OR_NONE) for n in names])
+
+    def error(text: Column, i: Column) -> Column:
+        kind = F.get("_kinds", i)
+        wrong = F.when(kind.rlike("^u?int") & ~text.rlike(r"^\s*[+-]?\d+\s*$"), "an integer")
+        wrong = wrong.when(kind.startswith("float") & F.get(whole, i), "an integer")
+        wrong = wrong.when(kind.startswith("float") & F.trim(text).try_cast("double").isNull(), "a number")
+        wrong = wrong.when((kind == "bool") & ~F.trim(text).isin("True", "False"), "True or False")
+        return F.when(F.trim(text) != "", F.concat(F.lit("declared "), kind, F.lit(", not "), wrong, F.lit(": "), text))
+
+    found = F.filter(F.transform("_cells", error), lambda e: e.isNotNull())
+    return F.when(F.col("_kinds").isNotNull(), F.get(found, F.lit(0)))
+
+
 def _typed(lines: DataFrame, list_col: str, parsers: dict[str, Callable[[Column], tuple[Column, Column]]]) -> DataFrame:
     """Apply parsers to the cells of each named column; ``_error`` is the first failure of a row.
 
@@ -44,8 +63,8 @@ def _typed(lines: DataFrame, list_col: str, parsers: dict[str, Callable[[Column]
     there = {name: F.col("_at")[i] > 0 for i, name in enumerate(parsers)}
     values = {name: F.when(there[name], value) for name, (value, _) in parsed.items()}
     unclosed = F.when(F.col("_unclosed"), "a quote is not closed")
-    failures = F.array_compact(F.array(unclosed, *[F.when(there[name], error) for name, (_, error) in parsed.items()]))
-    return rows.withColumns({**values, "_error": F.try_element_at(failures, F.lit(1))}).drop("_at", "_cells", "_unclosed")
+    failures = F.array_compact(F.array(unclosed, _declared_error(list(parsers)), *[F.when(there[name], error) for name, (_, error) in parsed.items()]))
+    return rows.withColumns({**values, "_error": F.try_element_at(failures, F.lit(1))}).drop("_at", "_kinds", "_cells", "_unclosed")
 
 
 def _report(rows: DataFrame, lines: DataFrame, list_col: str) -> DataFrame:
@@ -73,7 +92,8 @@ def load_targets(
 
     Targets carry the file as ``list_col``, ``row_id`` in file order, the typed known columns (null where a
     file lacks one), the ``header`` of their file, which decides on the leftmost flux, and unknown columns in
-    the map ``extras``. A list with any bad cell loads nothing. ``strict`` refuses empty ``tract`` and
+    the map ``extras``. A list with any bad cell loads nothing; in an ECSV file that is also one which is not of the type
+    that the header declares for its column. ``strict`` refuses empty ``tract`` and
     ``patch`` cells.
     """
     return parse_targets(read_lines(spark, paths), list_col, strict)

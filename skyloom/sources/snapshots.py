@@ -143,18 +143,19 @@ def _as_stored(field: StructField, known: StructType, name: str) -> Column:
 
 def commit(
     spark: SparkSession, root: str, tables: Mapping[str, DataFrame], keys: Sequence[str] = ("year", "month"),
-    id_col: str = "upload_id",
+    id_col: str = "upload_id", gone: DataFrame | None = None,
 ) -> int:
     """Add rows to several tables in one step; returns the version.
 
     An id that a table has already is replaced in it, also if it moves to another partition; rows without an id are added.
+    Ids of ``gone`` (a column ``id_col``) leave the given tables, also where no new rows come for them.
     ``keys`` are whole numbers or dates. Each table is computed once. Partitions without a replaced id keep their files and
     get further ones. Columns may come and go; one that is stored keeps its type, and a commit whose column is of another
     kind is refused. Of two commits at a time one fails, without an effect.
     """
     before, state = _state(spark, root)
     content = {"tables": dict(state["tables"])}
-    fresh, gone = [], []  # entries of the index, and partitions whose entries go
+    fresh, rewritten = [], []  # entries of the index, and partitions whose entries go
     index = read(spark, root, INDEX) if INDEX in state["tables"] else None
     for name, new in tables.items():
         if name == INDEX:
@@ -174,14 +175,17 @@ def commit(
         parts = dict(old["parts"]) if old else {}
         written = [_write(data, root, name, keys, id_col)]
         if old and index is not None:
-            ids = _load(spark, root, name, about, [written[0]]).select(F.col(id_col).cast("string").alias("id")).distinct()
+            ids = _load(spark, root, name, about, [written[0]]).select(F.col(id_col).cast("string").alias("id"))
+            if gone is not None:
+                ids = ids.unionByName(gone.select(F.col(id_col).cast("string").alias("id")))
+            ids = ids.distinct()
             replaced = index.where(F.col("table") == name).join(ids, "id", "left_semi").select("part").distinct()
             hit = sorted(r[0] for r in replaced.collect())  # at most the partitions that the version file names
             if hit:
                 stored = _load(spark, root, name, about, [f for p in hit for f in parts[p]])
                 kept = stored.join(ids.withColumnRenamed("id", "_id"), F.col(id_col).cast("string") == F.col("_id"), "left_anti")
                 written.append(_write(kept, root, name, keys, id_col))
-                gone += [(name, p) for p in hit]
+                rewritten += [(name, p) for p in hit]
                 parts = {p: f for p, f in parts.items() if p not in hit}
         for folder in written:
             for part in _leaves(spark, f"{root}/{name}/{folder}", len(keys)):
@@ -204,8 +208,8 @@ def commit(
             entries = entries.unionByName(f)
         entries = entries.withColumn("bucket", _bucket(F.col("id")))
         if index is not None:
-            if gone:
-                left = spark.createDataFrame(gone, "table string, part string")
+            if rewritten:
+                left = spark.createDataFrame(rewritten, "table string, part string")
                 index = index.join(F.broadcast(left), ["table", "part"], "left_anti")  # one row per partition at most
             entries = index.select(*entries.columns).unionByName(entries)
         folder = f"commit={uuid.uuid4().hex}c"

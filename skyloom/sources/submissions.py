@@ -23,6 +23,7 @@ META_KEYS = [
     "original_filename", "original_filename_ppc", "upload_id", "upload_at", "single_exptime",
     "observation_type", "ppc_status",
 ]
+SLOTS = 64  # partitions of a scanned tree: a changed submission rewrites the rows of one
 _PATH = r"/([^/]*-([^/-]+))/(" + "|".join(KINDS) + r")_([^/]+)\.ecsv$"
 EMPTY_PSL = ["Texp (h)", "Texp (fiberhour)", "Request time (h)", "Used fiber fraction (%)", "Fraction of PPC < 30% (%)", "P_all", "P_0"]
 
@@ -59,13 +60,15 @@ def header_metadata(lines: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
-def load_tree(spark: SparkSession, root: str, flat: bool = False) -> dict[str, DataFrame]:
-    """The catalog tables of a submission tree; each table reads the files of its kind alone.
+def load_tree(
+    spark: SparkSession, root: str, flat: bool = False, directories: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
+    """The catalog tables of a submission tree, or of some of its directories; each table reads the files of its kind alone.
 
     ``submissions`` has one row per directory with metadata, paths and size; ``target_summary``,
     ``target``, ``psl``, ``ppc``, ``TAC_psl`` and ``TAC_ppc`` have the rows of the files of that kind.
     """
-    pattern = f"{root}/{FLAT_GLOB if flat else DIRECTORY_GLOB}"
+    pattern = f"{root}/{FLAT_GLOB if flat else DIRECTORY_GLOB}" if directories is None else list(directories)
 
     def lines_of(kind: str) -> DataFrame:
         # only the files of a kind are opened; names that begin alike are told apart by the path
@@ -129,6 +132,46 @@ def catalog_of_tree(spark: SparkSession, root: str, flat: bool = False) -> DataF
     return build_catalog(t["submissions"], t["target_summary"], t["target"], t["psl"], t["TAC_psl"])
 
 
+def scan_tree(spark: SparkSession, root: str, store: str, flat: bool = False) -> int:
+    """Bring a store of :mod:`skyloom.sources.snapshots` up to date with a tree of ECSV files; returns its version.
+
+    The table ``files`` of the store has the path, size and time of every file as of the last scan. The tree is listed, and
+    only directories of ids with a file that is new, gone, or of another size or time are opened. Their rows replace what the
+    tables had of these ids, in one commit; if nothing has changed, no file is opened and no version is made. Two directories
+    of one id are opened together. The names of the directories to open come to the driver, as those of a listing do.
+    """
+    pattern = f"{root}/{FLAT_GLOB if flat else DIRECTORY_GLOB}"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ecsv").load(pattern)
+    listed = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("changed_at"))
+    listed, _ = stage(listed.withColumns(_place(F.col("path"))).where("kind <> ''"), "listing")
+    version = (snapshots.versions(spark, store) or [0])[-1]
+    if version:
+        known = snapshots.read(spark, store, "files").select("path", "upload_id", F.struct("size", "changed_at").alias("_old"))
+        both = listed.select("path", "upload_id", F.struct("size", "changed_at").alias("_new")).join(known, ["path", "upload_id"], "full")
+        changed = both.where(~F.equal_null("_old", "_new")).select("upload_id").distinct()
+        changed, seen = stage(changed, "changed-ids", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return version
+        files = listed.join(changed, "upload_id", "left_semi")
+        directories = [r[0] for r in files.select("directory").distinct().collect()]
+    else:
+        changed, files, directories = None, listed, None
+    # without a directory left there is nothing to read: the empty tables of the store say what columns there are
+    if directories == []:
+        read = {kind: snapshots.read(spark, store, kind).limit(0) for kind in [*KINDS, "submissions"]}
+    else:
+        read = load_tree(spark, root, flat, directories)
+    slot = F.pmod(F.crc32(F.col("upload_id").cast("binary")), F.lit(SLOTS)).cast("int")
+    tables_of = {name: table.withColumn("slot", slot) for name, table in {**read, "files": files}.items()}
+    return snapshots.commit(spark, store, tables_of, ["slot"], gone=changed)
+
+
+def catalog_of_store(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
+    """The submission catalog of a store kept by :func:`scan_tree`, as of a version."""
+    t = {name: snapshots.read(spark, store, name, version).drop("slot") for name in ("submissions", "target_summary", "target", "psl", "TAC_psl")}
+    return build_catalog(t["submissions"], t["target_summary"], t["target"], t["psl"], t["TAC_psl"])
+
+
 # --- Parquet tables -----------------------------------------------------------------
 
 

@@ -16,6 +16,8 @@ _PART = r"/part-(\d+)[^/]*$"
 _OPENED = r'^(?:[^"#]++|"[^"]*+")*+"[^"]*+$'
 _STILL_OPEN = r'^[^"]*+$|^[^"]*+"(?:[^"#]++|"[^"]*+")*+"[^"]*+$'
 BLOCK = 65_536  # row ids whose lines are put in order by one window
+# a column of an ECSV header: its name, quoted or not, and its type
+_DECLARED = r"""^# *- *\{ *name: *['"]?([^,'"}]+?)['"]? *, *datatype: *(\w+)"""
 _CELL = r',("(?:[^"]|"")*+"|[^,]*+)'
 _CELL_SPACE = r' ("(?:[^"]|"")*+"|[^ ]*+)'
 
@@ -122,11 +124,18 @@ def cells(line: Column, space: Column | None = None) -> Column:
     return by_comma if space is None else F.when(space, split(line, " ", _CELL_SPACE)).otherwise(by_comma)
 
 
+def _declared_types(line: Column) -> Column:
+    """Aggregate of the lines of a file: the columns that its header declares, as array<struct<name, kind>>, a few per file."""
+    kind = F.regexp_extract(line, _DECLARED, 2)
+    return F.array_sort(F.collect_set(F.when(kind != "", F.struct(F.trim(F.regexp_extract(line, _DECLARED, 1)).alias("name"), kind.alias("kind")))))
+
+
 def tables(lines: DataFrame, key: str = "path", names: Sequence[str] = ()) -> DataFrame:
     """Body rows of comment-free CSV or ECSV text as ``header`` and ``values`` arrays.
 
     The first line of a file that is neither blank nor a comment is its header. For many ``names`` their places are
-    looked up once per file: ``_at`` has the place of each name (0 if absent) and ``_cells`` the cells in that order.
+    looked up once per file: ``_at`` has the place of each name (0 if absent), ``_kinds`` the type that an ECSV header
+    declares for it (null if none) and ``_cells`` the cells in that order.
     """
     body_text = F.regexp_replace(without_comment(F.col("line")), r"\r$", "")
     split = lines.withColumn("_body", F.when(F.trim(body_text) != "", body_text))
@@ -135,6 +144,7 @@ def tables(lines: DataFrame, key: str = "path", names: Sequence[str] = ()) -> Da
         F.bool_or(F.col("line").startswith("# %ECSV")).alias("_ecsv"),
         F.bool_or(F.col("line").rlike(r"^# *delimiter: *','")).alias("_comma"),
         F.min(F.when(F.col("_body").isNotNull(), F.struct("row_id", "_body"))).alias("_head"),
+        *([_declared_types(F.col("line")).alias("_declared")] if names else []),
     )
     space = F.col("_ecsv") & ~F.col("_comma")
     body = split.where(F.col("_body").isNotNull()).withColumn("line", F.col("_body")).drop("_body")
@@ -143,16 +153,18 @@ def tables(lines: DataFrame, key: str = "path", names: Sequence[str] = ()) -> Da
         F.col("_head.row_id").alias("_first"),
         space.alias("_space"),
         cells(F.col("_head._body"), space).alias("header"),
+        *(["_declared", "_ecsv"] if names else []),
     )
     info = info.withColumn("header", F.transform("header", lambda c: F.trim(c)))
     if names:
         places = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(F.col("header"), n).cast("int"))
-        info = info.withColumn("_at", places)
+        kinds = F.transform(F.array(*map(F.lit, names)), lambda n: F.get(F.filter("_declared", lambda d: d["name"] == n), F.lit(0))["kind"])
+        info = info.withColumn("_at", places).withColumn("_kinds", F.when(F.col("_ecsv"), kinds)).drop("_declared", "_ecsv")
     # one row per file, which Spark broadcasts when it is small enough; a huge file is split otherwise
     rows = (
         body.join(info, key).where(F.col("row_id") > F.col("_first"))
         .select(
-            *[c for c in body.columns if c != "line"], "header", *(["_at"] if names else []),
+            *[c for c in body.columns if c != "line"], "header", *(["_at", "_kinds"] if names else []),
             cells(F.col("line"), F.col("_space")).alias("values"),
         )
     )

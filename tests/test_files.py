@@ -1,8 +1,11 @@
 """Loading from and writing to files: round trips on temporary folders."""
 
 import datetime as dt
+import os
 import random
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators import catalog, flux, registry, reports
@@ -265,3 +268,71 @@ def test_target_summary_rows(spark, targets):
     assert len(rows) == 12
     assert rows["Total"]["N (L)"] == sum(rows[p]["N (L)"] for p in rows if p != "Total")
     assert rows["Other"]["N (M)"] > 0
+
+
+@pytest.mark.parametrize("mark", [",", " "])
+def test_types_that_an_ecsv_header_declares(spark, tmp_path, mark):
+    """Cells have to be of the declared type, whatever their column would take in a CSV file."""
+    names = ["obj_id", "ob_code", "ra", "dec", "exptime", "priority", "resolution", "tract"]
+    kinds = dict.fromkeys(names, "string") | {"obj_id": "int64", "ra": "float64", "dec": "float64", "exptime": "float32", "priority": "int16", "tract": "int32"}
+    good = ["7", '"o, 7"', "1.5", "-2", "900", "1", "L", '""']
+    cases = {
+        "good": ({}, {}, None),
+        "text": ({}, {"obj_id": "string"}, None),  # as texts, whole numbers are still read
+        "quoted": ({"obj_id": '"8"'}, {}, None),
+        "nan": ({"exptime": "nan"}, {}, None),
+        "fraction": ({"exptime": "900.5"}, {"exptime": "int64"}, "declared int64, not an integer: 900.5"),
+        "word": ({"ra": "abc"}, {}, "declared float64, not a number: abc"),
+        "float_id": ({}, {"obj_id": "float64"}, "declared float64, not an integer: 7"),
+        "none": ({"tract": "None"}, {}, "declared int32, not an integer: None"),
+        "flag": ({}, {"resolution": "bool"}, "declared bool, not True or False: L"),
+    }
+    for case, (cells, other, _) in cases.items():
+        row = dict(zip(names, good)) | cells
+        head = ["# %ECSV 1.0", "# ---", *(["# delimiter: ','"] if mark == "," else []), "# datatype:"]
+        head += [f"# - {{name: '{n}', unit: deg, datatype: {k}}}".replace("unit: deg, ", "") for n, k in (kinds | other).items()]
+        lines = [*head, "# schema: astropy-2.0", mark.join(names), mark.join(good), mark.join(row.values())]
+        (tmp_path / f"{case}.ecsv").write_text("\n".join(lines) + "\n")
+    targets, report = lists.load_targets(spark, f"{tmp_path}/*.ecsv")
+    got = {r.upload_id.rsplit("/", 1)[1].removesuffix(".ecsv"): r for r in report.collect()}
+    assert {k: r.error for k, r in got.items()} == {k: error for k, (_, _, error) in cases.items()}
+    assert all(r.n_rows == 2 and r.status == (r.error is None) for r in got.values())
+    assert targets.count() == 2 * sum(error is None for _, _, error in cases.values())
+    assert {r.ob_code for r in targets.collect()} == {"o, 7"}
+
+
+def test_scan_opens_changed_directories_only(spark, tmp_path):
+    folder, store = tmp_path / "tree", str(tmp_path / "store")
+    tree(folder)
+
+    def rows(df):
+        return sorted(df.drop("fullpath_tgt", "fullpath_ppc", "fullpath_ppc_tac", "fullpath_psl").collect(), key=repr)
+
+    def agrees():
+        assert rows(submissions.catalog_of_store(spark, store)) == rows(submissions.catalog_of_tree(spark, str(folder)))
+
+    assert submissions.scan_tree(spark, str(folder), store) == 1
+    agrees()
+    assert submissions.scan_tree(spark, str(folder), store) == 1  # nothing has changed
+    first = rows(submissions.catalog_of_store(spark, store))
+    summaries = sorted(folder.glob("*/*/*/target_summary_*.ecsv"))
+    unread, other = summaries[0], summaries[2]
+    # one file differs, but neither in size nor in time: it is not opened; the other one is
+    was, text = unread.stat(), unread.read_text()
+    unread.write_text(text.replace("Total,5", "Total,9"))
+    os.utime(unread, ns=(was.st_atime_ns, was.st_mtime_ns))
+    other.write_text(other.read_text().replace("Total,5", "Total,50"))
+    assert submissions.scan_tree(spark, str(folder), store) == 2
+    counts = {r["Upload ID"]: r["n_obj"] for r in submissions.catalog_of_store(spark, store).collect()}
+    assert counts[unread.stem[-16:]] == 7 and counts[other.stem[-16:]] == 52
+    assert rows(submissions.catalog_of_store(spark, store, 1)) == first
+    unread.write_text(text)
+    # a file and a whole directory go
+    next(folder.glob("*/*/*/TAC_psl_*.ecsv")).unlink()
+    shutil.rmtree(other.parent)
+    assert submissions.scan_tree(spark, str(folder), store) == 3
+    agrees()
+    # the last change is a directory alone that goes
+    shutil.rmtree(unread.parent)
+    assert submissions.scan_tree(spark, str(folder), store) == 4
+    agrees()

@@ -151,6 +151,31 @@ def parse_targets(spark: SparkSession, sf: str) -> DataFrame:
     return targets.select("upload_id", "row_id", "obj_id", "ob_code", "ra", "dec", "exptime", "priority", "resolution", "tract", "reference_arm")
 
 
+@query("""with o as (select o_orderkey as k, o_orderkey % 6 as f from orders),
+e as (select k, f, case when f in (2, 3) and k % 7 = 1 then 'declared int64, not an integer: 900.5' when f in (4, 5) then 'declared float64, not an integer: ' || k end as error from o)
+select '/in/e' || f || '.ecsv' as upload_id, count(error) = 0 as status, arg_min(error, k) as error, count(error) as n_errors, count(*) as n_rows,
+ case when count(error) = 0 then count(*) else 0 end as n_loaded, cast(case when count(error) = 0 then sum(k) end as bigint) as id_sum from e group by f""")
+def ecsv_types(spark: SparkSession, sf: str) -> DataFrame:
+    """ECSV files with commas and with blanks, whose headers declare types that some cells do not have."""
+    rows = _orders(spark, sf, "o_orderkey as k", "o_orderkey % 6 as f")
+    def joined(*parts):
+        return F.when(F.col("f") % 2 == 0, F.concat_ws(",", *parts)).otherwise(F.concat_ws(" ", *parts))
+
+    path = F.concat(F.lit("/in/e"), "f", F.lit(".ecsv")).alias("path")
+    time = F.when(F.col("f").isin(2, 3) & (F.col("k") % 7 == 1), "900.5").otherwise("900")
+    body = rows.select(path, F.col("k").alias("row_id"), joined("k", F.lit('"a, b"'), F.lit("1.5"), time).alias("line"))
+    names = [("obj_id", F.when(F.col("f") < 4, "int64").otherwise("float64")), ("ob_code", F.lit("string")), ("ra", F.lit("float32")), ("exptime", F.lit("int64"))]
+    head = F.array(
+        F.lit("# %ECSV 1.0"), F.when(F.col("f") % 2 == 0, "# delimiter: ','").otherwise("# ---"),
+        *[F.concat(F.lit(f"# - {{name: {n}, datatype: "), kind, F.lit("}")) for n, kind in names],
+        joined(*[F.lit(n) for n, _ in names]),
+    )
+    heads = rows.select("f").distinct().select(path, F.posexplode(head).alias("_at", "line")).select("path", (F.col("_at") - 1000).cast("bigint").alias("row_id"), "line")
+    targets, report = lists.parse_targets(heads.unionByName(body).withColumn("file_size", F.lit(0).cast("bigint")))
+    loaded = targets.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n_loaded"), F.sum("obj_id").alias("id_sum"))
+    return report.join(loaded, "upload_id", "left").fillna(0, ["n_loaded"])
+
+
 @query(f"""with o as (select *, {PATH} as path from orders)
 select path as upload_id, o_orderkey as row_id, 'Point_' || (row_number() over (partition by path order by o_orderkey) - 1) as ppc_code,
  cast(o_orderkey % 360 as double) as ppc_ra, cast(o_orderkey % 90 as double) as ppc_dec, 0e0 as ppc_pa, 'L' as ppc_resolution, 0e0 as ppc_priority
