@@ -1,9 +1,10 @@
 """Removal of repeated byte strings: suffixes are put in order by refining buckets with bucket pointers.
 
 Stretches whose anchor recurs (see ``recurring``) are dealt out by anchor. In a shard the positions of all stretches
-are put in buckets by their first bytes. A bucket is refined by sorting its positions on the buckets of the positions
-some bytes later, which doubles the compared length; refined buckets are what the next round points to. Positions alone
-in their bucket are in place and not sorted again. At the length of a window, a bucket holds equal windows.
+are put in buckets by their first bytes, in order. Then buckets are refined one run of neighbours after the other: a
+bucket's positions are sorted on the buckets that hold the positions some bytes later, again and again until each is alone
+or shares a window with the others. Later runs point to buckets that earlier ones have refined, and so take few steps.
+Equal windows are then side by side.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyloom.llm.common import flat
+from skyloom.llm.common import flat, groups_of
 from skyloom.llm.recurring import LETTERS, Units, cut, expanded, marks, repeats, sliced
 
 WINDOW = 100
 GRAM = 32
 FIRST = 8  # bytes of the first buckets
+RUN = 1 << 14  # positions of the buckets that are refined together
 
 
 def each_byte(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,29 +46,60 @@ def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def refine(data: np.ndarray, left: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(position, bucket) of all windows that occur more than once. left: bytes from a position to its text's end."""
+    """(position, group) of all windows that occur more than once; equal windows have equal groups.
+
+    left: bytes from a position to its text's end. A window has ``FIRST`` bytes at least. A bucket is named by the rank of
+    its first position, and ``depth`` says how many bytes its positions share: positions of other buckets share fewer with
+    them. Beyond the end stand zeros, all of which are position ``n``.
+    """
     n = len(data)
     padded = np.concatenate([data, np.zeros(FIRST, np.uint8)]).astype(np.uint64)
-    code = np.zeros(n, np.uint64)
+    code = np.zeros(n + 1, np.uint64)
     for k in range(FIRST):
-        code = (code << np.uint64(8)) | padded[k : n + k]
-    depth = min(FIRST, window)
-    at = np.flatnonzero(left >= depth)
-    bucket = np.full(n, -1, np.int64)
-    _, bucket[at], times = np.unique(code[at], return_inverse=True, return_counts=True)
-    at = at[times[bucket[at]] > 1]
-    fresh = len(times)
-    while depth < window and len(at):
-        step = min(depth, window - depth)
-        at = at[left[at] >= depth + step]
-        key = (bucket[at].astype(np.uint64) << np.uint64(32)) | bucket[at + step].astype(np.uint64)
-        _, own, times = np.unique(key, return_inverse=True, return_counts=True)
-        # the pointed-to buckets were read before any is replaced: all are of one depth
-        bucket[at] = own + fresh
-        fresh += len(times)
-        at = at[times[own] > 1]
-        depth += step
-    return at, bucket[at]
+        code = (code << np.uint64(8)) | padded[k : n + 1 + k]
+    ranked = np.argsort(code)
+    first = np.flatnonzero(np.append(True, code[ranked[1:]] != code[ranked[:-1]]))
+    sizes = np.diff(np.append(first, n + 1))
+    bucket = np.empty(n + 1, np.int64)
+    bucket[ranked] = np.repeat(first, sizes)
+    depth = np.full(n + 1, FIRST, np.int64)
+    several = sizes > 1
+    ranked = ranked[np.repeat(several, sizes)]
+    ends = np.concatenate([[0], np.cumsum(sizes[several])])
+    for i, j in groups_of(sizes[several], RUN):
+        _refine_run(ranked[ends[i] : ends[j]], bucket, depth, window)
+    # buckets may be finer than windows: equal windows stand side by side, and their own bytes decide
+    at = ranked[np.append(left, 0)[ranked] >= window]
+    at = at[np.argsort(bucket[at])]
+    equal = np.arange(len(at) - 1)
+    for k in [*range(0, window - FIRST, FIRST), window - FIRST]:
+        equal = equal[code[at[equal] + k] == code[at[equal + 1] + k]]
+    again = np.zeros(len(at) + 1, bool)
+    again[equal + 1] = True
+    some = again[:-1] | again[1:]
+    return at[some], np.cumsum(~again[:-1])[some]
+
+
+def _refine_run(at: np.ndarray, bucket: np.ndarray, depth: np.ndarray, window: int) -> None:
+    """Refine some neighbouring buckets until each holds one position or shares a window; ``bucket`` and ``depth`` change.
+
+    Each step sorts the positions of a bucket on the buckets of the positions ``depth`` bytes later, as they are by then, and so
+    adds the depth of these. Refined buckets are pointed to at once, by the next step and by all later runs.
+    """
+    beyond = len(bucket) - 1
+    while len(at):
+        key = bucket[at] << 32 | bucket[np.minimum(at + depth[bucket[at]], beyond)]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        own = key >> 32
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        opens = np.append(True, own[1:] != own[:-1])
+        fresh = own[head] + head - np.flatnonzero(opens)[np.cumsum(opens)[head] - 1]
+        reached = depth[own[head]] + depth[key[head] & 0xFFFFFFFF]
+        sizes = np.diff(np.append(head, len(at)))
+        depth[fresh] = reached
+        bucket[at] = np.repeat(fresh, sizes)
+        at = at[np.repeat((sizes > 1) & (reached < window), sizes)]
 
 
 def locate(pieces: list[bytes], n: np.ndarray, copied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

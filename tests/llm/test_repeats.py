@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from zstandard import ZstdCompressor
@@ -137,3 +138,29 @@ def test_a_common_line_is_spread_before_the_shuffle():
     rows = [r for b in recurring._pieces(suffixes.UNITS)(iter([batch])) for r in b.to_pylist()]
     assert sum(r["doc_id"] is None for r in rows) == 1
     assert sum(r["doc_id"] is not None and r["n"] < 0 for r in rows) == 2000
+
+
+@pytest.mark.parametrize("run", [1, 40, suffixes.RUN])
+@pytest.mark.parametrize("window", [8, 13, 100])
+def test_refined_buckets_against_a_table_of_windows(monkeypatch, run, window):
+    monkeypatch.setattr(suffixes, "RUN", run)
+    rnd = random.Random(window)
+    for letters in ["a", "ab", "\0a", "abcdefghijklmnop"]:
+        known = "".join(rnd.choice(letters) for _ in range(300))
+        pieces = ["", "a", known[:40] * 6, known[:150], known[100:], known, known[::-1], "a" * 230, "\0" * 130]
+        for _ in range(8):
+            k = rnd.randrange(200)
+            pieces.append("".join(rnd.choice(letters) for _ in range(rnd.randrange(90))) + known[k : k + rnd.randrange(140)])
+        rnd.shuffle(pieces)
+        data = "".join(pieces).encode()
+        left = np.array([len(p) - i for p in pieces for i in range(len(p))])
+        want = {}
+        for i, n in enumerate(left.tolist()):
+            if n >= window:
+                want.setdefault(data[i : i + window], []).append(i)
+        got = {}
+        for at, group in zip(*(x.tolist() for x in suffixes.refine(np.frombuffer(data, np.uint8), left, window)), strict=True):
+            got.setdefault(group, []).append(at)
+        assert sorted(map(sorted, got.values())) == sorted(v for v in want.values() if len(v) > 1)
+    none = suffixes.refine(np.zeros(0, np.uint8), np.zeros(0, np.int64), window)
+    assert [len(x) for x in none] == [0, 0]
