@@ -101,6 +101,255 @@ FORMS = [
     (2, 0.7, "licen", "{} licen[sc]es?"),
 ]
 
+# Wordings of license texts and notices: label, priority, score, keyword (all of its words must be there), and the sentences,
+# one pattern per word. Those of one license come first, then those of families, then clauses that many licenses share.
+WORDINGS = [
+    ("mit", 7, 1.0, "permission granted", [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    ]),
+    ("mit", 7, 1.0, "permit furnished", ["to permit persons to whom the software is furnished to do so subject to the following conditions"]),
+    ("mit", 7, 1.0, "sublicense", [
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    ]),
+    ("mit", 7, 0.95, "copyright notice", [
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the above copyright notice and this permission notice shall be included in all copies",
+    ]),
+    ("isc", 7, 1.0, "permission granted", [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ]),
+    ("0bsd", 7, 0.9, "permission granted", [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    ]),
+    ("isc", 6, 0.8, "author disclaims", [
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ]),
+    ("postgresql", 7, 1.0, "permission granted", [
+        "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",
+    ]),
+    ("hpnd", 7, 0.9, "permission granted", [
+        "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted",
+        "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee",
+    ]),
+    ("ncsa", 7, 0.9, "sublicense", [
+        "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    ]),
+    ("ofl", 7, 1.0, "permission granted", [
+        "permission is hereby granted free of charge to any person obtaining a copy of the font software to use study copy merge embed modify redistribute and sell modified and unmodified copies of the font software",
+    ]),
+    ("boost", 7, 1.0, "permission granted", [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    ]),
+    ("zlib", 7, 1.0, "permission granted", [
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    ]),
+    ("zlib", 6, 0.9, "origin misrepresented", [
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    ]),
+    ("gfdl", 7, 1.0, "permission granted", [
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
+    ]),
+    ("bsd", 6, 0.9, "redistribut condition", [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ]),
+    ("bsd-3", 7, 1.0, "endorse promote", [
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    ]),
+    ("bsd-4", 7, 1.0, "advertising acknowledg", [
+        "all advertising materials mentioning features or use of this software must display the following acknowledge?ment",
+    ]),
+    ("bsd-3-clear", 7, 1.0, "patent granted", [
+        "no express or implied licenses to any party s patent rights are granted by this license",
+    ]),
+    ("apache-1", 7, 1.0, "developed apache", [
+        "this product includes software developed by the apache software foundation",
+        "this product includes software developed by the apache group for use in the apache http server project",
+    ]),
+    ("apache-2", 7, 1.0, "apache licen", [
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+        "you may obtain a copy of the license at https? www apache org licenses license 2 0",
+        "licensed to the apache software foundation asf under one or more contributor license agreements",
+        "the asf licenses this file to you under the apache license version 2 0",
+    ]),
+    ("apache-2", 6, 0.85, "under the license", [
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "see the license for the specific language governing permissions and limitations under the license",
+    ]),
+    ("gpl-1", 7, 1.0, "gnu general", [
+        "under the terms of the gnu general public license as published by the free software foundation either version 1 or at your option any later version",
+    ]),
+    ("gpl-2", 7, 1.0, "gnu general", [
+        "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "under the terms of the gnu general public license version 2 as published by the free software foundation",
+        "under the terms of version 2 of the gnu general public license as published by the free software foundation",
+        "gnu general public license version 2 june 1991",
+        "(?:licensed|released|distributed) under the gnu general public license version 2",
+        "gnu general public license version 2 only",
+    ]),
+    ("gpl-3", 7, 1.0, "gnu general", [
+        "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "under the terms of the gnu general public license version 3 as published by the free software foundation",
+        "under the terms of version 3 of the gnu general public license as published by the free software foundation",
+        "gnu general public license version 3 29 june 2007",
+        "(?:licensed|released|distributed) under the gnu general public license version 3",
+        "gnu general public license version 3 only",
+    ]),
+    ("gpl", 6, 0.9, "gnu general", [
+        "you should have received a copy of the gnu general public license along with this (?:program|file|package|library)",
+        "see the gnu general public license for more details",
+        "the gnu general public license is a free copyleft license for software and other kinds of works",
+        "the gnu general public license does not permit incorporating your (?:program|work) into proprietary programs",
+    ]),
+    ("lgpl-2", 7, 1.0, "gnu general", [
+        "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        "under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "gnu lesser general public license version 2 1 february 1999",
+        "gnu library general public license version 2 june 1991",
+    ]),
+    ("lgpl-3", 7, 1.0, "gnu general", [
+        "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gnu lesser general public license version 3 29 june 2007",
+    ]),
+    ("lgpl", 6, 0.9, "gnu general", [
+        "you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:program|file|package|library)",
+        "see the gnu (?:lesser|library) general public license for more details",
+    ]),
+    ("agpl-3", 7, 1.0, "affero general", [
+        "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gnu affero general public license version 3 19 november 2007",
+    ]),
+    ("agpl", 6, 0.9, "affero general", [
+        "you should have received a copy of the gnu affero general public license along with this program",
+        "see the gnu affero general public license for more details",
+    ]),
+    ("mpl-1", 7, 1.0, "mozilla licen", [
+        "the contents of this file are subject to the mozilla public license version 1 [01]",
+    ]),
+    ("mpl-2", 7, 1.0, "source form", [
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+    ]),
+    ("mpl-2", 7, 1.0, "mozilla org", [
+        "if a copy of the mpl was not distributed with this file you can obtain one at https? mozilla org mpl 2 0",
+    ]),
+    ("mpl-2", 6, 0.8, "source form", [
+        "this source code form is incompatible with secondary licenses",
+    ]),
+    ("epl", 7, 1.0, "eclipse licen", [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "the accompanying program is provided under the terms of this eclipse public license agreement",
+    ]),
+    ("cddl", 7, 1.0, "development distribution", [
+        "the contents of this file are subject to the terms of the common development and distribution license",
+        "you may not use this file except in compliance with the common development and distribution license",
+    ]),
+    ("cpl", 7, 1.0, "accompanying program", [
+        "the accompanying program is provided under the terms of this common public license agreement",
+    ]),
+    ("eupl", 7, 1.0, "eupl licen", [
+        "licensed under the eupl version 1 [12] or as soon they will be approved by the european commission subsequent versions of the eupl",
+    ]),
+    ("artistic", 7, 1.0, "package artistic", [
+        "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control",
+    ]),
+    ("artistic", 6, 0.9, "redistribute modify terms", [
+        "this library is free software you can redistribute it and or modify it under the same terms as perl itself",
+        "you can redistribute it and or modify it under the terms of the artistic license",
+    ]),
+    ("unlicense", 7, 1.0, "released domain", [
+        "this is free and unencumbered software released into the public domain",
+    ]),
+    ("unlicense", 6, 0.9, "anyone compile", [
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary",
+    ]),
+    ("wtfpl", 7, 1.0, "what you want", [
+        "you just do what the fuck you want to",
+    ]),
+    ("beerware", 7, 1.0, "stuff", [
+        "as long as you retain this notice you can do whatever you want with this stuff",
+        "if we meet some day and you think this stuff is worth it you can buy me a beer in return",
+    ]),
+    ("json", 7, 1.0, "evil", ["the software shall be used for good not evil"]),
+    ("cc0", 7, 1.0, "waive", [
+        "to the extent possible under law the (?:person|author) who associated cc0 with this work has waived all copyright",
+        "has waived all copyright and related or neighboring rights to this work",
+        "overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright",
+    ]),
+    ("cc-by", 7, 1.0, "creative commons", [
+        "this (?:work|article|content|document) is licensed under a creative commons attribution 4 0 international license",
+        "this (?:work|article|content|document) is licensed under a creative commons attribution 3 0 unported license",
+        "this is an open access article distributed under the terms of the creative commons attribution license",
+        "text is available under the creative commons attribution license",
+    ]),
+    ("cc-by-sa", 7, 1.0, "creative commons", [
+        "this (?:work|article|content|document) is licensed under a creative commons attribution sharealike 4 0 international license",
+        "this (?:work|article|content|document) is licensed under a creative commons attribution sharealike 3 0 unported license",
+        "text is available under the creative commons attribution sharealike license",
+    ]),
+    ("cc-by-nc", 7, 1.0, "creative commons", [
+        "this (?:work|article|content|document) is licensed under a creative commons attribution noncommercial 4 0 international license",
+        "distributed under the terms of the creative commons attribution noncommercial license",
+    ]),
+    ("cc-by-nc-sa", 7, 1.0, "creative commons", [
+        "this (?:work|article|content|document) is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    ]),
+    ("cc-by-nc-nd", 7, 1.0, "creative commons", [
+        "this (?:work|article|content|document) is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    ]),
+    ("cc-by-nd", 7, 1.0, "creative commons", [
+        "this (?:work|article|content|document) is licensed under a creative commons attribution noderivatives 4 0 international license",
+    ]),
+    ("odbl", 7, 1.0, "open database", ["is made available under the open database license"]),
+    ("odbl", 6, 0.9, "database contents", ["any rights in individual contents of the database are licensed under the database contents license"]),
+    ("pddl", 7, 1.0, "domain dedication", ["is made available under the public domain dedication and license"]),
+    ("python", 7, 1.0, "licensee psf", [
+        "this license agreement is between the python software foundation psf and the individual or organization licensee",
+        "psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly",
+    ]),
+    ("openssl", 7, 1.0, "openssl toolkit", [
+        "this product includes software developed by the openssl project for use in the openssl toolkit",
+    ]),
+    ("openssl", 7, 1.0, "cryptographic eric", [
+        "this product includes cryptographic software written by eric young",
+    ]),
+    ("php", 7, 1.0, "php", ["this source file is subject to version 3 0[01] of the php license", "this product includes php software freely available from"]),
+    ("ruby", 7, 1.0, "ruby copyrighted", ["ruby is copyrighted free software by yukihiro matsumoto"]),
+    ("sspl", 7, 1.0, "server side", ["under the terms of the server side public license version 1 as published by mongodb inc"]),
+    ("busl", 7, 1.0, "business source", ["use of this software is governed by the business source license", "the business source license this document or the license is not an open source license"]),
+    ("elastic", 6, 0.9, "hosted managed", ["you may not provide the software to third parties as a hosted or managed service"]),
+    ("elastic", 7, 1.0, "elastic licen", [
+        "licensed under the elastic license 2 0 you may not use this file except in compliance with the elastic license 2 0",
+    ]),
+    ("ms-pl", 7, 1.0, "governs accompanying", ["this license governs use of the accompanying software if you use the software you accept this license"]),
+    ("public-domain", 6, 0.9, "domain", [
+        "this (?:work|file|code|software|document|text) is in the public domain",
+        "this (?:work|file|code|software|document|text) has been released into the public domain",
+        "place this (?:work|file|code|software) (?:into|in) the public domain",
+    ]),
+    ("proprietary", 6, 0.9, "reserved", ["all rights reserved unauthorized copying of this file via any medium is strictly prohibited"]),
+    ("proprietary", 6, 0.9, "confidential", [
+        "this (?:software|file|document) contains confidential and proprietary information",
+        "proprietary and confidential",
+        "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential",
+    ]),
+    ("as-is", 1, 0.5, "warrant", [
+        "the software is provided as is without warranty of any kind express or implied",
+        "this software is provided as is without any express or implied warranty",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties",
+        "but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    ]),
+    ("as-is", 1, 0.5, "liable damages", [
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability",
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+        "in no event will the authors be held liable for any damages arising from the use of this software",
+    ]),
+]
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -118,12 +367,13 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """The base's phrases first, then every name in every form: a few hundred rules, in a fixed order."""
+    """The base's phrases first, then every name in every form, then the wordings of license texts, in a fixed order."""
     out = [(label, 4, 0.9, True, (keyword, keyword), phrase) for phrase, label, keyword in BASE]
     out += [
         (label, priority, score, False, (keyword, other), form.format(name))
         for label, keyword, names in NAMES for name in names for priority, score, other, form in FORMS
     ]
+    out += [(label, priority, score, False, (keyword, keyword), text) for label, priority, score, keyword, texts in WORDINGS for text in texts]
     return [Rule(i, *r) for i, r in enumerate(out)]
 
 

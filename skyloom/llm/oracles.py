@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm.licenses import rules
+from skyloom.llm.licenses import WORDINGS, rules
 
 # A turn is a struct (role, text); all lists are in order of turns.
 PREFERENCES = """
@@ -38,6 +38,8 @@ from parts
 _VALUES = ", ".join(
     f"({r.id}, '{r.label}', {r.priority}, {r.score}::double, {str(r.base).lower()}, '{r.pattern}', {r.words})" for r in rules()
 )
+# the first word of each keyword of a wording stands in all of its sentences
+_COMMON = "|".join(["identifier", "under", "terms", "licen", "cc by nc", *sorted({keyword.split()[0] for _, _, _, keyword, _ in WORDINGS})])
 #: Every rule is tried in every text with one of the words that the rules have in common; keywords only spare work.
 LICENSES = f"""
 with rules(id, label, priority, score, base, pattern, n) as (values {_VALUES}),
@@ -48,7 +50,7 @@ lines as (
 ), texts as (
   select *, case when line = '' then [] else string_split(line, ' ') end as words from lines
 ), tried as (
-  select row_no, words, rules.* from (select * from texts where regexp_matches(line, 'identifier|under|terms|licen|cc by nc')) join rules
+  select row_no, words, rules.* from (select * from texts where regexp_matches(line, '{_COMMON}')) join rules
     on regexp_matches(' ' || line || ' ', ' ' || pattern || ' ')
 ), starts as (
   select row_no, words, id, label, priority, score, base, pattern, n, unnest(range(len(words) - n + 1)) as pos from tried

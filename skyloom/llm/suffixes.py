@@ -21,7 +21,7 @@ from skyloom.llm.recurring import LETTERS, Units, cut, expanded, marks, repeats,
 WINDOW = 100
 GRAM = 32
 FIRST = 8  # bytes of the first buckets
-RUN = 1 << 14  # positions of the buckets that are refined together
+RUN = 1 << 15  # positions of the buckets that are refined together
 
 
 def each_byte(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 import re
 
-from skyloom.llm.licenses import BASE, licenses, rules
+from skyloom.llm.licenses import BASE, WORDINGS, licenses, rules
 from skyloom.llm.queries import op10_license_scan
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,3 +52,24 @@ def test_odd_texts(spark):
         assert got[k] == by_hand(t), k
     assert got[6][5] == "cc-by-nc,cc-by-nc-sa" and got[8][6] == 1.0
     assert licenses(df.limit(0)).count() == 0
+
+
+MIT = """Copyright (c) 2020 A. Person. Permission is hereby granted, free of charge, to any person obtaining a copy of this
+software and associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."""
+NOTICE = """# This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+# as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+
+
+def test_wordings(spark):
+    """Every sentence is found as it stands; longer ones suppress names within them."""
+    plain = lambda p: re.sub(r"\(\?:(.*?)\|.*?\)|\[(.).*?\]|.\?", lambda m: m[1] or m[2] or m[0].rstrip("?"), p)
+    wanted = [(label, keyword, text) for label, _, _, keyword, texts in WORDINGS for text in texts]
+    assert len(wanted) > 100 and len({t for *_, t in wanted}) == len(wanted)
+    assert all(w in text for _, keyword, text in wanted for w in keyword.split())
+    texts = [plain(t).upper().replace(" ", ", ") for *_, t in wanted] + [MIT, NOTICE, "permission is hereby granted to sell the software, provided as is"]
+    rows = {r.doc_id: tuple(r)[1:] for r in licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows == {i: by_hand(t) for i, t in enumerate(texts)}
+    for i, (label, *_) in enumerate(wanted):
+        assert label in rows[i][5].split(","), wanted[i]
+    assert [rows[len(wanted) + k][5] for k in range(3)] == ["mit", "gpl-3", ""]
