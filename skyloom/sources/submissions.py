@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyloom.functions import parsing
+from skyloom.operators import registry
 from skyloom.operators.catalog import build_catalog
 from skyloom.operators.flux import band_presence
 from skyloom.operators.ordered import join_back
@@ -166,6 +167,19 @@ def scan_tree(spark: SparkSession, root: str, store: str, flat: bool = False) ->
     return snapshots.commit(spark, store, tables_of, ["slot"], gone=changed)
 
 
+def register_tree(spark: SparkSession, root: str, path: str, flat: bool = False) -> DataFrame:
+    """Put the ids of a submission tree into the registry at ``path``, which is made if there is none; returns the new ones.
+
+    Ids that the registry has are not added again, and an id with several directories is added once.
+    """
+    registry.create(spark, path)
+    known = spark.read.schema("upload_id string").parquet(path)
+    found = submission_ids(spark, root, flat).select("upload_id").distinct()
+    new, _ = stage(registry.missing(found, known), "new-ids")
+    registry.append(new, path)
+    return new
+
+
 def catalog_of_store(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
     """The submission catalog of a store kept by :func:`scan_tree`, as of a version."""
     t = {name: snapshots.read(spark, store, name, version).drop("slot") for name in ("submissions", "target_summary", "target", "psl", "TAC_psl")}

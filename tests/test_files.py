@@ -301,6 +301,17 @@ def test_types_that_an_ecsv_header_declares(spark, tmp_path, mark):
     assert {r.ob_code for r in targets.collect()} == {"o, 7"}
 
 
+def test_register_a_tree(spark, tmp_path):
+    ids, path = tree(tmp_path / "tree"), str(tmp_path / "registry")
+    registry.create(spark, path)
+    registry.append(spark.createDataFrame([(ids[1],), ("other",)], "upload_id string"), path)
+    new = submissions.register_tree(spark, str(tmp_path / "tree"), path)
+    assert sorted(r.upload_id for r in new.collect()) == sorted({*ids} - {ids[1]})
+    write(tmp_path / "tree", f"2025/01/20250110-101112-{ids[0]}/target_{ids[0]}.ecsv", "# empty")  # a second directory of an id
+    assert submissions.register_tree(spark, str(tmp_path / "tree"), path).count() == 0
+    assert sorted(r.upload_id for r in spark.read.parquet(path).collect()) == sorted([*ids, "other"])
+
+
 def test_scan_opens_changed_directories_only(spark, tmp_path):
     folder, store = tmp_path / "tree", str(tmp_path / "store")
     tree(folder)
