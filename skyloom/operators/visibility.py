@@ -25,6 +25,7 @@ from skyloom.schema import (
     SITE_LONGITUDE,
     SITE_TIMEZONE,
 )
+from skyloom.session import stage
 
 SIDEREAL_RATE = 15.0410686  # degrees of hour angle per hour
 
@@ -76,6 +77,22 @@ def night_calendar(
     )
 
 
+def crossing_angles(
+    dec: str, elevation: tuple[float, float] = ELEVATION, latitude: float = SITE_LATITUDE
+) -> tuple[str, str]:
+    """SQL texts: hour angles at which a position crosses the elevations, 0 if never above, 180 if never below."""
+    phi = math.radians(latitude)
+
+    def limit(angle: float) -> str:
+        ratio = (
+            f"({num(math.sin(math.radians(angle)))} - {num(math.sin(phi))} * sin(radians({dec})))"
+            f" / ({num(math.cos(phi))} * cos(radians({dec})))"
+        )
+        return f"degrees(acos(greatest(-1D, least(1D, {ratio}))))"
+
+    return limit(elevation[0]), limit(elevation[1])
+
+
 def night_seconds(
     ra: str,
     dec: str,
@@ -86,28 +103,20 @@ def night_seconds(
     elevation: tuple[float, float] = ELEVATION,
     latitude: float = SITE_LATITUDE,
     longitude: float = SITE_LONGITUDE,
+    crossings: tuple[str, str] | None = None,
 ) -> str:
     """SQL text: whole seconds of a night in which a position is between the elevation limits.
 
     ``begin`` and ``end`` are in seconds since 1970. ``first`` counts the first stretch of at least one
-    exposure; ``sum`` counts all stretches.
+    exposure; ``sum`` counts all stretches. ``crossings`` may name the columns that hold :func:`crossing_angles`.
     """
-    phi = math.radians(latitude)
-
-    def limit(angle: float) -> str:
-        """Hour angle at which the position crosses an elevation, 0 if never above, 180 if never below."""
-        ratio = (
-            f"({num(math.sin(math.radians(angle)))} - {num(math.sin(phi))} * sin(radians({dec})))"
-            f" / ({num(math.cos(phi))} * cos(radians({dec})))"
-        )
-        return f"degrees(acos(greatest(-1D, least(1D, {ratio}))))"
-
+    low_angle, high_angle = crossings or crossing_angles(dec, elevation, latitude)
     julian = f"({begin} / 86400D + 2440587.5D)"
     sidereal = f"280.46061837D + 360.98564736629D * ({julian} - 2451545D) + {num(longitude)}"
     start = f"(pmod({sidereal} - {ra} + 180, 360D) - 180)"
     # bind the crossing angles and the night once; the path is [-lo, lo] without the zone (-hi, hi),
     # seen on this transit and on the next one
-    path = f"named_struct('lo', {limit(elevation[0])}, 'hi', {limit(elevation[1])}, 'a', {start})"
+    path = f"named_struct('lo', {low_angle}, 'hi', {high_angle}, 'a', {start})"
     night = f"({end} - {begin}) / 3600D * {num(SIDEREAL_RATE)}"
 
     def stretch(low: str, high: str) -> str:
@@ -166,7 +175,8 @@ def with_total_seconds(
 ) -> DataFrame:
     """Add the observable seconds summed over a range of nights, inside each row.
 
-    No row is made per night and nothing is shuffled.
+    No row is made per night and nothing is shuffled. What depends on the position alone or, between two given dates, on
+    the night alone is found once.
     """
     nights = F.transform(
         night_dates(_day(begin), _day(end), calendar),
@@ -175,11 +185,16 @@ def with_total_seconds(
             F.unix_seconds(_at(F.date_add(d, 1), NIGHT_END, timezone)).alias("e"),
         ),
     )
-    seconds = night_seconds("ra", "dec", "d.b", "d.e", single_exptime, mode, **site)
-    return (
-        positions.withColumn("_nights", nights)
-        .withColumn(out, F.expr(f"aggregate(transform(_nights, d -> {seconds}), 0L, (t, s) -> t + s)"))
-        .drop("_nights")
+    seconds = night_seconds("ra", "dec", "d.b", "d.e", single_exptime, mode, **site, crossings=("_low", "_high"))
+    angles = crossing_angles("dec", site.get("elevation", ELEVATION), site.get("latitude", SITE_LATITUDE))
+    rows = positions.withColumns({c: F.expr(x) for c, x in zip(("_low", "_high"), angles)})
+    if isinstance(begin, date) and isinstance(end, date):
+        calendar_row, _ = stage(positions.sparkSession.range(1).select(nights.alias("_nights")), "nights")
+        rows = rows.crossJoin(F.broadcast(calendar_row))
+    else:
+        rows = rows.withColumn("_nights", nights)
+    return rows.withColumn(out, F.expr(f"aggregate(transform(_nights, d -> {seconds}), 0L, (t, s) -> t + s)")).drop(
+        "_nights", "_low", "_high"
     )
 
 
@@ -279,8 +294,17 @@ def visibility_flags(
     if sums is not None and grouping != "pixel":
         raise ValueError("a table of sums knows pixels only")
     if grouping == "target":
-        seen = with_total_seconds(targets, begin, end, calendar, "exptime", mode, "_seen", **site)
-        return seen.withColumn("ok_visible", F.coalesce(F.col("_seen") >= F.col("exptime"), F.lit(False))).drop("_seen")
+        # equal positions with equal exposures and dates are decided once
+        dates = {f"_{i}": d for i, d in enumerate((begin, end)) if not isinstance(d, date)}
+        dated = targets.withColumns({name: _day(d) for name, d in dates.items()}) if dates else targets
+        by = ["ra", "dec", "exptime", *dates]
+        spots, _ = stage(dated.select(*by).distinct(), "spots")
+        tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        first, last = (d if isinstance(d, date) else F.col(f"_{i}") for i, d in enumerate((begin, end)))
+        seen = with_total_seconds(spots.repartition(tasks, *by), first, last, calendar, "exptime", mode, "_seen", **site)
+        verdict = seen.select(*by, (F.col("_seen") >= F.col("exptime")).alias("ok_visible"))
+        told = look_up(dated.drop("ok_visible"), verdict, by, null_safe=True)
+        return told.select(*[c for c in targets.columns if c != "ok_visible"], F.coalesce("ok_visible", F.lit(False)).alias("ok_visible"))
     if grouping != "pixel":
         raise ValueError("grouping must be 'pixel' or 'target'")
     rows = targets.withColumn("pixel", sky_pixel("ra", "dec", nside))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.sky import cells_around, cell_of, sky_pixel
 from skyloom.functions import timing
-from skyloom.operators import cluster, density, ordered, spatial, visibility
+from skyloom.operators import allocation, cluster, density, ordered, spatial, visibility
 
 
 def sep(a, b):
@@ -255,3 +255,24 @@ def test_flags_from_prefix_sums(spark, targets):
             visibility.visibility_by_sums(one, sums, *bad, ["list_no"]).collect()
     with pytest.raises(ValueError):
         visibility.visibility_sums(one, end, begin, key="row_id")
+
+
+def test_equal_positions_are_decided_once(spark, monkeypatch):
+    rows = [(i, 10.0 + i % 4, 20.0 * (i % 3), 900.0 * (1 + i % 2), day) for i in range(240) for day in (dt.date(2026, 2, 1),)]
+    targets = spark.createDataFrame([*rows, (900, None, 0.0, 900.0, None), (901, 10.0, 0.0, None, dt.date(2026, 2, 1))], "row_id long, ra double, dec double, exptime double, b date")
+    seen, whole = [], visibility.with_total_seconds
+    want = {}
+    for begin in (dt.date(2026, 2, 1), "b", F.col("b")):
+        plain = whole(targets, begin, dt.date(2026, 2, 9), "all", "exptime", "first", "s")
+        want[str(begin)] = {r.row_id: r.s is not None and r.exptime is not None and r.s >= r.exptime for r in plain.collect()}
+
+    def counted(positions, *args, **site):
+        seen.append(positions.count())
+        return whole(positions, *args, **site)
+
+    monkeypatch.setattr(visibility, "with_total_seconds", counted)
+    for begin in (dt.date(2026, 2, 1), "b", F.col("b")):
+        out = visibility.visibility_flags(targets, begin, dt.date(2026, 2, 9), [], grouping="target")
+        assert out.columns == [*targets.columns, "ok_visible"]
+        assert {r.row_id: r.ok_visible for r in out.collect()} == want[str(begin)]
+    assert max(seen) <= 14
