@@ -276,3 +276,38 @@ def test_equal_positions_are_decided_once(spark, monkeypatch):
         assert out.columns == [*targets.columns, "ok_visible"]
         assert {r.row_id: r.ok_visible for r in out.collect()} == want[str(begin)]
     assert max(seen) <= 14
+
+
+def test_pointings_at_one_position_are_tested_once(spark, monkeypatch):
+    """Pairs, coverage, shifts and first targets of pointings that share positions, against each pointing by itself."""
+    rng = random.Random(3)
+    targets = spark.createDataFrame([(f"t{i}", 20 + rng.uniform(-1, 1), rng.uniform(-1, 1), i % 4, rng.random()) for i in range(120)], "ob_code string, ra double, dec double, priority int, weight double")
+    spots = [(20.0, 0.0, 0.0), (20.3, 0.4, 15.0), (20.9, 1.6, 0.0), (60.0, 60.0, 0.0), (None, 0.0, 0.0)]
+    given = [(f"p{i}_{k}", *p, i // 2) for i, p in enumerate(spots) for k in range(4)]
+    pointings = spark.createDataFrame(given, "ppc_code string, ppc_ra double, ppc_dec double, ppc_pa double, group_id int")
+    inside = {}
+    for code, *_ in given:
+        pairs = spatial.targets_in_fields(targets, pointings.where(F.col("ppc_code") == code), [], target_keep=("ob_code", "priority", "weight"))
+        inside[code] = [(r.priority, -r.weight, r.ob_code) for r in pairs.collect()]
+    stored, plain = {}, spatial.stage
+
+    def counted(df, label, **metrics):
+        out, seen = plain(df, label, **metrics)
+        stored[label] = out.count()
+        return out, seen
+
+    monkeypatch.setattr(spatial, "stage", counted)
+    monkeypatch.setattr(allocation, "stage", counted)
+    got = spatial.targets_in_fields(targets, pointings, []).collect()
+    assert sorted((r.ppc_code, r.ob_code) for r in got) == sorted((c, t[2]) for c, ts in inside.items() for t in ts)
+    assert stored.pop("positions") == 5
+    first = allocation.fill_positions(targets, pointings, [], capacity=7).collect()
+    assert sorted((r.ppc_code, r["rank"], r.ob_code) for r in first) == sorted((c, k, t[2]) for c, ts in inside.items() for k, t in enumerate(sorted(ts)[:7], 1))
+    assert stored.pop("positions") == 5
+    assert {r.ppc_code for r in spatial.occupied_pointings(targets, pointings, []).collect()} == {c for c, ts in inside.items() if ts}
+    covered = {(r.group_id, r.ob_code) for r in spatial.covered_targets(targets, pointings, []).collect()}
+    assert covered == {(g, t[2]) for c, *_, g in given for t in inside[c]} and stored["covered"] <= 240
+    moved = allocation.shift_empty_pointings(pointings.drop("group_id"), targets, []).collect()
+    assert len(moved) == 20 and stored["tried"] == 40
+    assert len({(r.ppc_code[:2], r.shift_no, r.ppc_ra, r.ppc_dec) for r in moved}) == 5
+    assert {r.shift_no for r in moved if r.ppc_code[:2] in ("p3", "p4")} == {None}

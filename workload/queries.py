@@ -631,11 +631,8 @@ def _flat_weights(spark, sf):
 
 @query
 def topk_allocation(spark, sf):
-    weighted, _ = stage(_flat_weights(spark, sf), "weighted")
-    inside = spatial.targets_in_fields(
-        weighted, view(spark, sf, "pointings"), [], target_keep=("ob_code", "priority", "weight")
-    )
-    out = allocation.fill_pointings(inside, [], capacity=100, n_targets=table(spark, sf, "orders").count())
+    weighted, _ = stage(_flat_weights(spark, sf).select("ob_code", "ra", "dec", "priority", "weight"), "weighted")
+    out = allocation.fill_positions(weighted, view(spark, sf, "pointings"), [], capacity=100, n_targets=table(spark, sf, "orders").count())
     return out.select("ppc_code", "ob_code", F.col("rank").cast("bigint").alias("rank"))
 
 
