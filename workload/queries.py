@@ -641,7 +641,7 @@ def shifted_pointings(spark, sf):
     # the given fields moved off their targets in declination, so that some of them need a shift
     off = view(spark, sf, "pointings").withColumn("ppc_dec", F.col("ppc_dec") + F.when(F.col("ppc_no") % 2 == 0, 1.62).otherwise(-1.62))
     targets = view(spark, sf, "targets")
-    filled = spatial.targets_in_fields(targets, off, []).select("ppc_code").distinct()
+    filled = spatial.occupied_pointings(targets, off, []).select("ppc_code").distinct()
     empty = off.join(filled, "ppc_code", "left_anti")
     out = allocation.shift_empty_pointings(empty, targets, [])
     return rounded(longs(out.select("ppc_code", "shift_no", "ppc_ra", "ppc_dec"), "shift_no"), 6, "ppc_ra", "ppc_dec")
