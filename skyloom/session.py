@@ -10,6 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+BROADCAST_ROWS = 50_000  # rows of a stored table that may be broadcast
+
 _own_scratch: dict[str, str] = {}
 _scope: ContextVar[list[str] | None] = ContextVar("staged tables of the scope", default=None)
 
@@ -70,6 +72,15 @@ def stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict
     return spark.read.schema(df.schema).parquet(path), seen
 
 
+def by_key(table: DataFrame, n_rows: int | None) -> DataFrame:
+    """A stored ``table`` as the side of a join, not to be broadcast if it has many rows.
+
+    Spark goes by the size of the files. Codes and numbers are packed so well in them that a table just below the broadcast
+    threshold takes more than ten times as much when the driver makes it a hash table.
+    """
+    return table.hint("merge") if n_rows is None or n_rows > BROADCAST_ROWS else table
+
+
 @contextmanager
 def staged_scope(spark: SparkSession) -> Iterator[list[str]]:
     """Tables staged inside are deleted at the end, if it is reached without an error.

@@ -11,7 +11,7 @@ from skyloom.functions.sky import sky_pixel
 from skyloom.functions.timing import frames_in_hours, request_hours, semester_begin, semester_end, semester_label
 from skyloom.operators import allocation, catalog, checks, cluster, completion, density, flux, registry, reports, spatial, visibility
 from skyloom.plans import pointing_plan, validation
-from skyloom.session import stage
+from skyloom.session import by_key, stage
 from workload.files import FILE_QUERIES
 from workload.views import table, view
 
@@ -684,7 +684,7 @@ def _invariants(plan: pointing_plan.Plan, capacity: int) -> DataFrame:
     roomy = spots.join(used.where(F.col("n") >= capacity), [*keys, "ppc_code"], "left_anti").groupBy(*at).agg(F.count(F.lit(1)).alias("n_roomy"))
     room = inside.join(left, [*keys, "ob_code"]).join(roomy, at)
     broken = {
-        "n_outside": bridge.join(spots, [*keys, "ppc_code"], "left").join(inside, [*at, "ob_code"], "left_anti"),
+        "n_outside": bridge.join(by_key(spots, plan.pointings.count()), [*keys, "ppc_code"], "left").join(inside, [*at, "ob_code"], "left_anti"),
         "n_repeated": bridge.groupBy(*keys, "ppc_code", "ob_code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
         "n_over_capacity": used.where(F.col("n") > capacity),
         "n_partial": got.join(targets.select(*keys, "ob_code", "frames"), [*keys, "ob_code"]).where("got <> frames"),
