@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skyloom.functions.sky import num, separation_sql
+from skyloom.functions.sky import num
 from skyloom.operators.ordered import join_back, look_up
 from skyloom.session import stage
 from skyloom.schema import FIELD_RADIUS, LIST_COLS, SINGLE_EXPTIME, WEIGHTS
@@ -115,12 +115,14 @@ def spread(spots: DataFrame, groups: Sequence[str], grid: DataFrame, bandwidth:
         f" / cos(radians(dec)))))) + 1e-9D)"
     )
     turns = ", ".join(_grid_lines(f"(ra {turn})", reach, "x") for turn in ("- 360", "+ 0", "+ 360"))
-    met = rows.withColumn("iy", F.expr(f"explode({_grid_lines('dec', f'({h} + 1e-9D)', 'y')})")).withColumn(
-        "ix", F.expr(f"explode(array_distinct(concat({turns})))")
+    # what a grid line and a spot share is worked out before the points of the line; the terms are those of separation_sql
+    lines = rows.withColumn("iy", F.expr(f"explode({_grid_lines('dec', f'({h} + 1e-9D)', 'y')})")).withColumn("gy", F.expr("y_origin + iy * y_step"))
+    lines = lines.withColumns(
+        {"_up": F.expr("pow(sin(radians(gy - dec) / 2), 2)"), "_cos": F.expr("cos(radians(dec)) * cos(radians(gy))")}
     )
-    x, y = "(x_origin + ix * x_step)", "(y_origin + iy * y_step)"
-    kernel = F.expr(f"1 - {separation_sql('ra', 'dec', x, y)} / {h}")
-    return met.withColumns({"gx": F.expr(x), "gy": F.expr(y), "k": kernel}).where("k > 0")
+    met = lines.withColumn("ix", F.expr(f"explode(array_distinct(concat({turns})))")).withColumn("gx", F.expr("x_origin + ix * x_step"))
+    kernel = F.expr(f"1 - degrees(2 * asin(sqrt(least(1D, _up + _cos * pow(sin(radians(gx - ra) / 2), 2))))) / {h}")
+    return met.withColumn("k", kernel).drop("_up", "_cos").where("k > 0")
 
 
 def density_map(
@@ -146,7 +148,9 @@ def updated_map(density: DataFrame | None, changes: DataFrame, groups: Sequence[
     0). ``n`` counts the targets near a point, so that a point that no target is left at goes, whatever the rounding of z.
     Without a map it is that of the changes alone.
     """
-    parts = spread(changes, groups, grid, bandwidth).select(
+    # copies of a position change the map together
+    spots = changes.groupBy(*groups, "ra", "dec").agg(F.sum("dw").alias("dw"), F.sum("dn").alias("dn"))
+    parts = spread(spots, groups, grid, bandwidth).select(
         *groups, "ix", "iy", F.col("gx").alias("ra"), F.col("gy").alias("dec"), F.expr("dw * k").alias("z"), F.col("dn").cast("bigint").alias("n")
     )
     return (
