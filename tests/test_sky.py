@@ -311,3 +311,25 @@ def test_pointings_at_one_position_are_tested_once(spark, monkeypatch):
     assert len(moved) == 20 and stored["tried"] == 40
     assert len({(r.ppc_code[:2], r.shift_no, r.ppc_ra, r.ppc_dec) for r in moved}) == 5
     assert {r.shift_no for r in moved if r.ppc_code[:2] in ("p3", "p4")} == {None}
+
+
+def test_pairs_of_repeated_positions_are_tested_once(spark, monkeypatch):
+    """Targets at one position go into its pairs by name: the test meets positions of both sides only."""
+    spots = [(10.0, 0.0), (10.1, 0.1), (359.9, 0.0), (None, 0.0), (-0.0, 0.0), (0.0, 0.0)]
+    targets = spark.createDataFrame([(f"{c}-{i}", m, *p) for i, p in enumerate(spots) for c in range(30) for m in "LM"], "ob_code string, mode string, ra double, dec double")
+    fields = [(10.0, 0.0, 0.0), (10.0, 0.0, 30.0), (0.0, 0.0, 0.0)]
+    pointings = spark.createDataFrame([(f"{c}-{i}", "L", *p) for i, p in enumerate(fields) for c in range(20)], "ppc_code string, mode string, ppc_ra double, ppc_dec double, ppc_pa double")
+    sizes, stage = {}, spatial.stage
+
+    def counted(df, label, **metrics):
+        staged = stage(df, label, **metrics)
+        sizes[label] = staged[0].count()
+        return staged
+
+    monkeypatch.setattr(spatial, "stage", counted)
+    got = spatial.targets_in_fields(targets, pointings, ["mode"])
+    assert sizes == {"positions": 3, "held": 6}
+    held = {(0, 0), (1, 0), (0, 1), (1, 1), (2, 2), (4, 2), (5, 2)}  # place in spots, place in fields
+    want = {("L", f"{p}-{j}", f"{c}-{i}") for i, j in held for c in range(30) for p in range(20)}
+    rows = [(r["mode"], r.ppc_code, r.ob_code) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
