@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from skyloom.operators.ordered import join_back
-from skyloom.session import stage
+from skyloom.session import by_key, stage
 
 # everything up to the first # outside quotes; possessive, so that long lines need no backtracking
 _BEFORE_COMMENT = r'^((?:[^"#]++|"[^"]*+"?)*+)#.*$'
@@ -56,15 +56,18 @@ def records(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     quoted = F.contains(F.col("line"), F.lit('"'))
     ends_open = quoted & F.col("line").rlike(_OPENED)
-    files, seen = stage(lines.groupBy("path").agg(F.bool_or(ends_open).alias("_open")).where("_open").select("path"), "open-files", n=F.count(F.lit(1)))
-    single = lines.withColumn("_unclosed", F.lit(False))
-    if not seen["n"]:
+    # lines are made or read once: all that follows goes over what is stored
+    lines, _ = stage(lines.withColumn("_from0", ends_open.cast("int")), "lines")
+    by_path = lines.groupBy("path").agg(F.coalesce(F.max("_from0"), F.lit(0)).alias("_open"))
+    files, seen = stage(by_path, "open-files", n=F.count(F.lit(1)), n_open=F.count_if(F.col("_open") == 1))
+    single = lines.drop("_from0").withColumn("_unclosed", F.lit(False))
+    if not seen["n_open"]:
         return single
+    files = by_key(files.where("_open = 1").select("path"), seen["n"])
     stays_open = ~quoted | F.col("line").rlike(_STILL_OPEN)
-    marked = lines.join(files, "path", "left_semi").withColumns(
-        {"_block": F.floor(F.col("row_id") / block), "_from0": ends_open.cast("int"), "_from1": stays_open.cast("int")}
-    )
-    by_block = W.partitionBy("path", "_block").orderBy("row_id")
+    marked = lines.join(files, "path", "left_semi").withColumns({"_block": F.floor(F.col("row_id") / block), "_from1": stays_open.cast("int")})
+    # numbers before names in all keys, as Spark sorts by the first one quickly
+    by_block = W.partitionBy("_block", "path").orderBy("row_id")
     upto = by_block.rowsBetween(W.unboundedPreceding, 0)
     fixed = F.col("_from0") == F.col("_from1")
     turns = F.sum((F.col("_from0") > F.col("_from1")).cast("int")).over(upto)
@@ -93,18 +96,20 @@ def records(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     placed = join_back(stated, carried.select("path", "_block", "_carried", "_final", "_end"), ["path", "_block"]).withColumn("_record", F.coalesce("_first", "_carried"))
     unclosed = (F.col("_final") == 1) & (F.col("_record") == F.col("_end"))
     placed = placed.withColumn("_unclosed", unclosed).where(~unclosed | (F.col("row_id") == F.col("_record")))
-    others = [c for c in lines.columns if c not in ("path", "row_id", "line")]
-    whole = placed.where("_inside = 0 and (_after = 0 or _unclosed)").select(*lines.columns, "_unclosed")
-    parts = placed.where("(_inside = 1 or _after = 1) and not _unclosed").groupBy("path", "_record").agg(
-        *[F.min_by(c, "row_id").alias(c) for c in others], F.array_sort(F.collect_list(F.struct("row_id", "line"))).alias("_lines")
+    others = [c for c in single.columns if c not in ("path", "row_id", "line", "_unclosed")]
+    whole = placed.where("_inside = 0 and (_after = 0 or _unclosed)").select(*single.columns)
+    parts = placed.where("(_inside = 1 or _after = 1) and not _unclosed").groupBy("_record", "path").agg(
+        *[F.min_by(c, "row_id").alias(c) for c in others], F.sort_array(F.collect_list(F.struct("row_id", "line"))).alias("_lines")
     ).select(
-        "path", F.col("_record").alias("row_id"), *others, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("line"), F.lit(False).alias("_unclosed")
+        "path", F.col("_record").alias("row_id"), *others, F.array_join(F.col("_lines.line"), "\n").alias("line"), F.lit(False).alias("_unclosed")
     )
-    return single.join(files, "path", "left_anti").unionByName(whole).unionByName(parts)
+    # joined once and stored: what comes next reads records more than once
+    joined, _ = stage(whole.unionByName(parts), "records")
+    return joined if seen["n_open"] == seen["n"] else single.join(files, "path", "left_anti").unionByName(joined)
 
 
 def without_comment(line: Column) -> Column:
-    return F.regexp_replace(line, _BEFORE_COMMENT, "$1")
+    return F.when(F.contains(line, F.lit("#")), F.regexp_replace(line, _BEFORE_COMMENT, "$1")).otherwise(line)
 
 
 def cells(line: Column, space: Column | None = None) -> Column:
@@ -112,13 +117,14 @@ def cells(line: Column, space: Column | None = None) -> Column:
 
     def split(text: Column, delimiter: str, pattern: str) -> Column:
         found = F.regexp_extract_all(F.concat(F.lit(delimiter), text), F.lit(pattern), F.lit(1))
-        return F.transform(
+        unquoted = F.transform(
             found,
             lambda c: F.when(
                 c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
                 F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
             ).otherwise(c),
         )
+        return F.when(F.contains(text, F.lit('"')), unquoted).otherwise(F.split(text, delimiter, -1))
 
     by_comma = split(line, ",", _CELL)
     return by_comma if space is None else F.when(space, split(line, " ", _CELL_SPACE)).otherwise(by_comma)
@@ -137,22 +143,31 @@ def tables(lines: DataFrame, key: str = "path", names: Sequence[str] = ()) -> Da
     looked up once per file: ``_at`` has the place of each name (0 if absent), ``_kinds`` the type that an ECSV header
     declares for it (null if none) and ``_cells`` the cells in that order.
     """
-    body_text = F.regexp_replace(without_comment(F.col("line")), r"\r$", "")
+    text = without_comment(F.col("line"))
+    body_text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r$", "")).otherwise(text)
     split = lines.withColumn("_body", F.when(F.trim(body_text) != "", body_text))
-    # one pass finds the header line and the format of every file
-    heads = split.groupBy(key).agg(
+    # one pass finds the place of the header line and the format of every file, from numbers alone: with texts Spark would
+    # sort all lines. A second one fetches the few lines that count
+    comment = F.col("line").startswith("#")
+    firsts = split.groupBy(key).agg(
         F.bool_or(F.col("line").startswith("# %ECSV")).alias("_ecsv"),
-        F.bool_or(F.col("line").rlike(r"^# *delimiter: *','")).alias("_comma"),
-        F.min(F.when(F.col("_body").isNotNull(), F.struct("row_id", "_body"))).alias("_head"),
+        F.bool_or(comment & F.col("line").rlike(r"^# *delimiter: *','")).alias("_comma"),
+        F.min(F.when(F.col("_body").isNotNull(), F.col("row_id"))).alias("_first"),
+    ).where(F.col("_first").isNotNull())
+    firsts, seen = stage(firsts, "first-lines", n=F.count(F.lit(1)))
+    is_head = F.col("row_id") == F.col("_first")
+    counts = is_head | (comment & F.col("line").rlike(_DECLARED)) if names else is_head
+    heads = split.join(by_key(firsts, seen["n"]), key).where(counts).groupBy(key, "_first", "_ecsv", "_comma").agg(
+        F.min(F.when(is_head, F.col("_body"))).alias("_head"),
         *([_declared_types(F.col("line")).alias("_declared")] if names else []),
     )
     space = F.col("_ecsv") & ~F.col("_comma")
     body = split.where(F.col("_body").isNotNull()).withColumn("line", F.col("_body")).drop("_body")
-    info = heads.where(F.col("_head").isNotNull()).select(
+    info = heads.select(
         key,
-        F.col("_head.row_id").alias("_first"),
+        "_first",
         space.alias("_space"),
-        cells(F.col("_head._body"), space).alias("header"),
+        cells(F.col("_head"), space).alias("header"),
         *(["_declared", "_ecsv"] if names else []),
     )
     info = info.withColumn("header", F.transform("header", lambda c: F.trim(c)))
@@ -160,9 +175,10 @@ def tables(lines: DataFrame, key: str = "path", names: Sequence[str] = ()) -> Da
         places = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position(F.col("header"), n).cast("int"))
         kinds = F.transform(F.array(*map(F.lit, names)), lambda n: F.get(F.filter("_declared", lambda d: d["name"] == n), F.lit(0))["kind"])
         info = info.withColumn("_at", places).withColumn("_kinds", F.when(F.col("_ecsv"), kinds)).drop("_declared", "_ecsv")
-    # one row per file, which Spark broadcasts when it is small enough; a huge file is split otherwise
+    # one row per file, stored so that Spark knows its size: it goes to the lines, which are not shuffled, if there are few files
+    info, _ = stage(info, "headers")
     rows = (
-        body.join(info, key).where(F.col("row_id") > F.col("_first"))
+        body.join(by_key(info, seen["n"]), key).where(F.col("row_id") > F.col("_first"))
         .select(
             *[c for c in body.columns if c != "line"], "header", *(["_at", "_kinds"] if names else []),
             cells(F.col("line"), F.col("_space")).alias("values"),
