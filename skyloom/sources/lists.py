@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyloom.functions import parsing
-from skyloom.operators.ordered import rank_rows
+from skyloom.operators.ordered import join_back, rank_rows
 from skyloom.schema import FILTER_NAMES, POINTING_REQUIRED, POINTING_TYPES
 from skyloom.session import stage
 from skyloom.sources.textfiles import has, read_lines, records, tables
@@ -56,25 +56,30 @@ def _declared_error(names: Sequence[str]) -> Column:
 def _typed(lines: DataFrame, list_col: str, parsers: dict[str, Callable[[Column], tuple[Column, Column]]]) -> DataFrame:
     """Apply parsers to the cells of each named column; ``_error`` is the first failure of a row.
 
-    Records are cut into cells once and stored: the report and the rows are both made from the cells.
+    Records are cut into cells, parsed once and stored: the report and the rows are both made from the values.
     """
-    rows, _ = stage(tables(records(lines), names=list(parsers)).withColumnRenamed("path", list_col), "cells")
-    parsed = {name: parse(F.col("_cells")[i]) for i, (name, parse) in enumerate(parsers.items())}
+    rows = tables(records(lines), names=list(parsers)).withColumnRenamed("path", list_col)
+    parsed = {name: parse(F.try_element_at("values", F.col("_at")[i])) for i, (name, parse) in enumerate(parsers.items())}
     there = {name: F.col("_at")[i] > 0 for i, name in enumerate(parsers)}
     values = {name: F.when(there[name], value) for name, (value, _) in parsed.items()}
     unclosed = F.when(F.col("_unclosed"), "a quote is not closed")
-    failures = F.array_compact(F.array(unclosed, _declared_error(list(parsers)), *[F.when(there[name], error) for name, (_, error) in parsed.items()]))
-    return rows.withColumns({**values, "_error": F.try_element_at(failures, F.lit(1))}).drop("_at", "_kinds", "_cells", "_unclosed")
+    failures = [unclosed, _declared_error(list(parsers)), *[F.when(there[name], error) for name, (_, error) in parsed.items()]]
+    typed = rows.withColumns({**values, "_error": F.coalesce(*failures)}).drop("_at", "_kinds", "_cells", "_unclosed")
+    return stage(typed, "typed")[0]
 
 
 def _report(rows: DataFrame, lines: DataFrame, list_col: str) -> DataFrame:
     """Status and first error per file; files of another format are refused."""
-    failed = rows.groupBy(list_col).agg(
-        F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col("row_id"))).alias("error"),
-        F.count_if(F.col("_error").isNotNull()).alias("n_errors"),
-        F.count(F.lit(1)).alias("n_rows"),
+    # numbers first and the text of one row per file after that: with texts in the aggregate Spark would sort all rows
+    wrong = F.col("_error").isNotNull()
+    counted = rows.groupBy(list_col).agg(
+        F.min(F.when(wrong, F.col("row_id"))).alias("_first"), F.count_if(wrong).alias("n_errors"), F.count(F.lit(1)).alias("n_rows")
     )
-    files = lines.groupBy(F.col("path").alias(list_col)).agg(F.max(_extension(F.col("path"))).alias("format"))
+    at = [list_col, "_first"]
+    bad = rows.where(wrong).select(list_col, F.col("row_id").alias("_first"), "_error")
+    first = bad.join(counted.select(*at), at, "left_semi").groupBy(*at).agg(F.min("_error").alias("error"))
+    failed = join_back(counted, first, at)
+    files = lines.select(F.col("path").alias(list_col)).distinct().withColumn("format", _extension(F.col(list_col)))
     known = F.col("format").isin(FORMATS)
     return files.join(failed, list_col, "left").select(
         list_col,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import catalog, flux, registry, reports
 from skyloom.plans import validation
-from skyloom.sources import lists, submissions
+from skyloom.sources import lists, submissions, textfiles
 from skyloom.sources.textfiles import read_lines, records
 
 HEAD = "obj_id,ob_code,ra,dec,priority,exptime,resolution,reference_arm,comment,g_ps1,g_hsc,g_hsc_error,tract\n"
@@ -347,3 +347,50 @@ def test_scan_opens_changed_directories_only(spark, tmp_path):
     shutil.rmtree(unread.parent)
     assert submissions.scan_tree(spark, str(folder), store) == 4
     agrees()
+
+
+def _plans(monkeypatch):
+    """Labels and plans of all that is stored from here on."""
+    stored, plain = [], textfiles.stage
+
+    def noted(df, label, **metrics):
+        stored.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, label, **metrics)
+
+    monkeypatch.setattr(textfiles, "stage", noted)
+    monkeypatch.setattr(lists, "stage", noted)
+    return stored
+
+
+def test_lines_are_stored_once_and_never_sorted_by_file(spark, monkeypatch):
+    """Records over several lines: the source is read once, by the table of lines, and no aggregate carries texts."""
+    body = ["# %ECSV 1.0", "# delimiter: ','", "# - {name: key, datatype: int64}", " # none", "\r", "key,note # head", '1,"a', 'b"" # c', 'd" # e', "2,x#y", '3,"z']
+    lines = spark.createDataFrame([(f"/in/{f}.csv", i * 10, t) for f in "ab" for i, t in enumerate(body if f == "a" else body[:6] + ["4,w\r", ""])], "path string, row_id long, line string")
+    stored = _plans(monkeypatch)
+    rows = textfiles.tables(textfiles.records(lines, block=20), names=["note", "key"])
+    got = sorted((r.path, r.row_id, r._cells, r._kinds, r._unclosed) for r in rows.collect())
+    kinds = [None, "int64"]
+    assert got == [
+        ("/in/a.csv", 60, ['a\nb" # c\nd', "1"], kinds, False), ("/in/a.csv", 90, ["x", "2"], kinds, False),
+        ("/in/a.csv", 100, ['"z', "3"], kinds, True), ("/in/b.csv", 60, ["w", "4"], kinds, False),
+    ]
+    labels = [label for label, _ in stored]
+    assert labels[0] == "lines" and {"records", "first-lines", "headers"} <= set(labels)
+    assert all("ExistingRDD" not in plan for _, plan in stored[1:])
+    assert "SortAggregate" not in dict(stored)["first-lines"]
+    assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_report_parses_each_record_once(spark, monkeypatch):
+    """Values and errors are stored together; the report takes the first error of a file without sorting rows by it."""
+    text = ["obj_id,ob_code,ra,dec,exptime,priority,resolution", "1,a,1,2,900,0,L", "2,b,1,x,900,0,L", "3.0,c,1,y,900,0,L"]
+    lines = spark.createDataFrame([(p, i, t) for p in ("/in/f.csv", "/in/g.txt") for i, t in enumerate(text)] + [("/in/h.csv", i, t) for i, t in enumerate(text[:2])], "path string, row_id long, line string")
+    stored = _plans(monkeypatch)
+    targets, report = lists.parse_targets(lines)
+    assert sorted(tuple(r) for r in report.collect()) == [
+        ("/in/f.csv", False, "not a number: x", 2, 3), ("/in/g.txt", False, "neither CSV nor ECSV", 0, 0), ("/in/h.csv", True, None, 0, 1),
+    ]
+    assert [(r.upload_id, r.obj_id, r.dec) for r in targets.collect()] == [("/in/h.csv", 1, 2.0)]
+    assert stored[-1][0] == "typed"
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "try_cast" not in plan.lower()
