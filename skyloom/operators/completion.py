@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from skyloom.operators.ordered import join_back, rank_rows, running_sum
+from skyloom.operators.ordered import WINDOW_ROWS, dealt, join_back, rank_rows, running_sum
 from skyloom.schema import LIST_COLS, SINGLE_EXPTIME
 
 
@@ -51,24 +51,31 @@ def completion_curve(
     bridge: DataFrame,
     single_exptime: float = SINGLE_EXPTIME,
     list_cols: Sequence[str] = LIST_COLS,
+    distinct_links: int | None = None,
 ) -> DataFrame:
     """Completion after each further pointing, per priority and for ``all``.
 
     ``targets`` needs ``frames`` and ``exptime_req``; ``pointings`` needs ``ppc_code`` and ``ppc_id``;
     ``bridge`` links ``ppc_code`` to ``ob_code``. Gives fibre-hours (``fh``, not capped at the request),
     the number of complete targets (``n``) and both in per cent of the list. No pointings, no rows.
+    A column of ``list_cols`` that ``bridge`` lacks is that of the pointing. ``distinct_links`` is the
+    number of links if it is known that none is repeated; otherwise copies are taken out first.
     """
     lists = list(list_cols)
     top = pointings.agg(F.max("ppc_id")).first()[0]  # ranked pointings are a staged table
-    need = targets.select(*lists, "ob_code", "priority", "frames")
+    key = [*lists, "ob_code"]
+    need = targets.select(*key, "priority", "frames")
+    place = [c for c in [*lists, "ppc_code"] if c in bridge.columns]
+    pairs = bridge.select(*place, "ob_code")
     links = (
-        bridge.select(*lists, "ppc_code", "ob_code").distinct().withColumn("_one", F.lit(1))
-        .join(pointings.select(*lists, "ppc_code", "ppc_id"), [*lists, "ppc_code"])
-        .join(need, [*lists, "ob_code"])
+        (pairs.distinct() if distinct_links is None else pairs)
+        .join(pointings.select(*lists, "ppc_code", "ppc_id"), place)
+        .select(*key, "ppc_id", F.lit(1).alias("_one"))
     )
-    # a target is complete with its visit number ``frames``
-    visits = running_sum(links, [*lists, "ob_code"], "ppc_id", {"_one": "_visit"}, top)
-    steps = visits.groupBy(*lists, "ppc_id", "priority").agg(
+    # a target is complete with its visit number ``frames``; the order of visits is an order of targets, too, so that the
+    # links are sorted once
+    visits = running_sum(dealt(links, key, distinct_links), key, "ppc_id", {"_one": "_visit"}, top, WINDOW_ROWS)
+    steps = visits.join(dealt(need, key, distinct_links), key).groupBy(*lists, "ppc_id", "priority").agg(
         F.count(F.lit(1)).alias("a"), F.count_if(F.col("_visit") == F.col("frames")).alias("d")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from skyloom.session import stage
 
 WINDOW_ROWS = 1_000_000
+TASK_ROWS = 500_000
 SPREAD = 256
 BLOCK = 65_536
 
@@ -30,6 +31,17 @@ def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], null_saf
     return rows.join(other, on, "left").drop(*[f"_key_{k}" for k in keys])
 
 
+def dealt(rows: DataFrame, keys: Sequence[str], n_rows: int | None) -> DataFrame:
+    """``rows`` dealt by key to tasks of some ``TASK_ROWS`` rows, if there are known to be more (``n_rows``).
+
+    Adaptive execution goes by bytes in the shuffle, and short codes take several times that in the sorts and hash tables of a
+    task. Tables that meet are dealt with the same number; of two joined tables it is that of the larger one.
+    """
+    if n_rows is None or n_rows <= TASK_ROWS:
+        return rows
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS)), *keys)
+
+
 def look_up(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """:func:`join_back` with a table that is usually far smaller than ``rows``.
 

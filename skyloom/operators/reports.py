@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyloom.functions.timing import frames_in_hours, request_hours, shown_hours
 from skyloom.operators.checks import drop_empty_columns
 from skyloom.operators.completion import completion_curve, rank_pointings, wide_curve, with_required_exposure
-from skyloom.operators.ordered import join_back
+from skyloom.operators.ordered import dealt, join_back
 from skyloom.schema import LIST_COLS, MAX_REQUEST_HOURS, N_FIBERS, SINGLE_EXPTIME
 
 # --- fixed values: report labels and columns ---
@@ -69,13 +69,18 @@ def target_summary(targets: DataFrame, list_cols: Sequence[str] = LIST_COLS) ->
 
 
 def pointing_statistics(
-    bridge: DataFrame, weights: DataFrame, list_cols: Sequence[str] = LIST_COLS, n_fibers: int = N_FIBERS
+    bridge: DataFrame, weights: DataFrame, list_cols: Sequence[str] = LIST_COLS, n_fibers: int = N_FIBERS,
+    distinct_links: int | None = None,
 ) -> DataFrame:
-    """Per pointing: assigned targets, fibre usage in per cent and priority (1 / summed weight)."""
+    """Per pointing: assigned targets, fibre usage in per cent and priority (1 / summed weight).
+
+    ``distinct_links`` as for :func:`completion_curve`.
+    """
     lists = list(list_cols)
-    linked = bridge.select(*lists, "ppc_code", "ob_code").distinct().join(
-        weights.select(*lists, "ob_code", "weight"), [*lists, "ob_code"], "left"
-    )
+    key = [*lists, "ob_code"]
+    pairs = bridge.select(*key, "ppc_code")
+    pairs = pairs.distinct() if distinct_links is None else pairs
+    linked = dealt(pairs, key, distinct_links).join(dealt(weights.select(*key, "weight"), key, distinct_links), key, "left")
     return linked.groupBy(*lists, "ppc_code").agg(
         F.count(F.lit(1)).alias("n_assigned"),
         (F.count(F.lit(1)) / float(n_fibers) * 100.0).alias("tel_fiber_usage_frac"),
@@ -267,12 +272,13 @@ def reproduce_report(
     hours: DataFrame | None = None,
     single_exptime: float = SINGLE_EXPTIME,
     list_cols: Sequence[str] = LIST_COLS,
+    distinct_links: int | None = None,
 ) -> DataFrame:
     """Rebuild the summary of stored submissions at a chosen request time.
 
     The cut per list and resolution is the allocated number of pointings if there is one, else the
     number in the stored ``summary``; a row of ``hours`` (``request_hours``) replaces both. Lists whose
-    stored pointings lack a code are left out.
+    stored pointings lack a code are left out. ``distinct_links`` as for :func:`completion_curve`.
     """
     lists = list(list_cols)
     keys = [*lists, "ppc_resolution"]
@@ -296,12 +302,5 @@ def reproduce_report(
         n = F.coalesce(frames_in_hours("request_hours", single_exptime), n)
     cut = cut.select(*keys, n.cast("bigint").alias("n_ppc"))
     moded = with_required_exposure(targets, single_exptime).withColumn("ppc_resolution", F.col("resolution"))
-    curve = completion_curve(
-        moded, ranked, join_back_mode(bridge, usable, lists), single_exptime, keys
-    )
+    curve = completion_curve(moded, ranked, bridge.select(*lists, "ppc_code", "ob_code"), single_exptime, keys, distinct_links)
     return pointing_summary(ranked, curve, cut, single_exptime, list_cols)
-
-
-def join_back_mode(bridge: DataFrame, pointings: DataFrame, lists: Sequence[str]) -> DataFrame:
-    """Links with the resolution of their pointing."""
-    return bridge.join(pointings.select(*lists, "ppc_code", "ppc_resolution"), [*lists, "ppc_code"])

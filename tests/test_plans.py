@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import allocation, checks, cluster, completion, density, flux, reports, spatial, visibility
+from skyloom.operators import allocation, checks, cluster, completion, density, flux, ordered, reports, spatial, visibility
 from skyloom.plans import pointing_plan, validation
 
 LISTS = ["list_no"]
@@ -119,6 +119,48 @@ def test_completion_against_a_loop(spark, targets, pointings):
     assert len(curve) == ranked.count() * 11
 
 
+def test_links_are_told_apart_once(spark):
+    """The summary reads stored allocations: no table of millions of links is made again to find copies."""
+    from workload.queries import _summary
+
+    plan = _summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "lineitem" in x]
+    assert not [x for x in plan if "Aggregate [" in x and "ob_code" in x.split("], [")[0] and "ppc_code" in x.split("], [")[0]]
+
+
+def test_links_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks are bounded in links, and the curve is that of undealt links, with or without copies."""
+    keys = ["g", "ppc_resolution"]
+    need = spark.sql(
+        "select cast(id % 2 as int) as g, if(id % 3 = 0, 'L', 'M') as ppc_resolution, concat('t', id) as ob_code, cast(id % 4 as int) as priority, "
+        "cast(1 + id % 3 as int) as frames, 900D * (1 + id % 3) as exptime_req from range(60)"
+    )
+    spots = spark.sql("select cast(id % 2 as int) as g, m as ppc_resolution, concat('p', id % 10) as ppc_code, 1D + id as ppc_priority from range(20) lateral view explode(array('L', 'M')) as m")
+    ranked = completion.rank_pointings(spots, keys)
+    links = spark.sql("select cast(t.id % 2 as int) as g, concat('p', p.id) as ppc_code, concat('t', t.id) as ob_code from range(60) t join range(10) p on (t.id * 7 + p.id) % 3 = 0")
+    want = rows(completion.completion_curve(need, ranked, links.join(spots, ["g", "ppc_code"]).select(*keys, "ppc_code", "ob_code"), 900.0, keys))
+    monkeypatch.setattr(ordered, "TASK_ROWS", 20)
+    seen, dealt = [], completion.dealt
+    monkeypatch.setattr(completion, "dealt", lambda df, *a: seen.append(dealt(df, *a)) or seen[-1])
+    assert rows(completion.completion_curve(need, ranked, links, 900.0, keys, links.count())) == want
+    assert [df.rdd.getNumPartitions() for df in seen] == [10, 10]
+    assert rows(completion.completion_curve(need, ranked, links.union(links), 900.0, keys)) == want
+    assert max(r.n for r in completion.completion_curve(need, ranked, links, 900.0, keys, links.count()).collect()) > 0
+
+
+def test_allocations_are_told_apart_in_small_tasks(spark, monkeypatch, tmp_path):
+    """Files of many short rows: their pieces are bounded in rows, not only in bytes."""
+    from workload import views
+
+    whole = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{whole}/lineitem.parquet").repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    links = views.view(spark, str(tmp_path), "allocations")
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.split("\n") if "RepartitionByExpression [l_orderkey" in x and x.rstrip().endswith(", 12")]
+    assert rows(links) == rows(views.view(spark, whole, "allocations"))
+
+
 def test_no_pointings_no_curve(targets, spark):
     need = completion.with_required_exposure(targets, 900.0)
     nothing = spark.createDataFrame([], "ppc_code string, ppc_id long")

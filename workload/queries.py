@@ -43,19 +43,28 @@ def _weighted(spark: SparkSession, sf: str) -> DataFrame:
     return pointing_plan.weighted_targets(view(spark, sf, "targets"), T, ["list_no", "resolution"])
 
 
-def _stored_pointings(spark: SparkSession, sf: str) -> DataFrame:
+def _links(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The given allocations, stored once for all that reads them, and their number; the view has no copies."""
+    links, seen = stage(view(spark, sf, "allocations"), "allocations", n=F.count(F.lit(1)))
+    return links, seen["n"]
+
+
+def _stored_pointings(spark: SparkSession, sf: str, links: DataFrame | None = None, n_links: int | None = None) -> DataFrame:
     """The given pointings with usage and priority from the given allocations."""
+    if links is None:
+        links, n_links = _links(spark, sf)
     weights = density.local_density(completion.with_required_exposure(view(spark, sf, "targets"), T), []).withColumn(
         "weight", density.target_weight(F.col("priority"), F.col("exptime_req"), F.col("local_count"), T)
     )
-    stats = reports.pointing_statistics(view(spark, sf, "allocations"), weights, [])
+    stats = reports.pointing_statistics(links, weights, [], distinct_links=n_links)
     return view(spark, sf, "pointings").join(rounded(stats, 12, "ppc_priority", "tel_fiber_usage_frac"), "ppc_code")
 
 
 def _curve(spark: SparkSession, sf: str) -> DataFrame:
     targets = completion.with_required_exposure(view(spark, sf, "targets"), T)
-    ranked = completion.rank_pointings(_stored_pointings(spark, sf), [])
-    return completion.completion_curve(targets, ranked, view(spark, sf, "allocations"), T, [])
+    links, n_links = _links(spark, sf)
+    ranked = completion.rank_pointings(_stored_pointings(spark, sf, links, n_links), [])
+    return completion.completion_curve(targets, ranked, links, T, [], n_links)
 
 
 @query
@@ -257,17 +266,16 @@ def pointing_statistics(spark, sf):
 
 
 def _modes(spark, sf):
-    """Targets and stored pointings by resolution, with the links of matching resolution."""
+    """Targets and stored pointings by resolution, and the links with their number."""
     targets = completion.with_required_exposure(view(spark, sf, "targets"), T).withColumn("ppc_resolution", F.col("resolution"))
-    pointings = _stored_pointings(spark, sf)
-    bridge = reports.join_back_mode(view(spark, sf, "allocations"), pointings, [])
-    return targets, pointings, bridge
+    links = _links(spark, sf)
+    return targets, _stored_pointings(spark, sf, *links), links
 
 
 def _summary(spark, sf, cut=None):
-    targets, pointings, bridge = _modes(spark, sf)
+    targets, pointings, (links, n_links) = _modes(spark, sf)
     ranked = completion.rank_pointings(pointings, ["ppc_resolution"])
-    curve = completion.completion_curve(targets, ranked, bridge, T, ["ppc_resolution"])
+    curve = completion.completion_curve(targets, ranked, links, T, ["ppc_resolution"], n_links)
     return reports.with_total_row(reports.pointing_summary(ranked, curve, cut, T, []), [])
 
 
@@ -726,10 +734,10 @@ def plan_ledger(spark, sf):
 
 @query
 def reproduce_report(spark, sf):
-    targets, pointings, bridge = _modes(spark, sf)
+    targets, pointings, (links, n_links) = _modes(spark, sf)
     n = pointings.groupBy("ppc_resolution").agg(F.count(F.lit(1)).alias("_n")).select(
         reports.resolution_name("ppc_resolution").alias("resolution"), F.col("_n").alias("N_ppc")
     )
     given = n.select("resolution", F.when(F.col("resolution") == "low", F.floor(F.col("N_ppc") / 2)).otherwise(0).cast("bigint").alias("N_ppc"))
-    stored = reports.reproduce_report(targets, pointings, view(spark, sf, "allocations"), n, given, None, T, [])
+    stored = reports.reproduce_report(targets, pointings, links, n, given, None, T, [], n_links)
     return rounded(reports.with_total_row(stored, []), 6, *SUMMARY_FIGURES)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.operators.ordered import TASK_ROWS
+
 BASE = {"targets": "orders", "pointings": "supplier", "allocations": "lineitem", "registry": "events"}
 
 SQL = {
@@ -59,6 +61,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _pieces: dict[tuple[str, str, str], int] = {}
+_rows: dict[tuple[str, str, str], int] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +69,23 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "targets_dirty":
         return spark.sql(SQL[name], targets=view(spark, sf_dir, "targets"))
     base = BASE[name]
-    return spark.sql(SQL[name], **{base: table(spark, sf_dir, base)})
+    rows = table(spark, sf_dir, base)
+    if name == "allocations":
+        rows = _in_small_pieces(spark, sf_dir, base, rows, "l_orderkey", "l_suppkey")
+    return spark.sql(SQL[name], **{base: rows})
+
+
+def _in_small_pieces(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, *keys: str) -> DataFrame:
+    """Pieces of a file are bounded in bytes, of which two keys take few: the hash tables that find copies would hold
+    millions of rows. Such a table is dealt by key, copies together."""
+    cores = spark.sparkContext.defaultParallelism
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if _pieces[key] < cores:
+        return rows  # table() has dealt it already
+    if key not in _rows:
+        _rows[key] = rows.count()  # from the ends of the files
+    pieces = -(-_rows[key] // TASK_ROWS)
+    return rows.repartition(pieces, *keys) if pieces > _pieces[key] else rows
 
 
 def cte(*names: str) -> str:
