@@ -88,11 +88,16 @@ def grid_parameters(targets: DataFrame, groups: Sequence[str], min_step: float =
     return ext.select(*groups, "n_targets", *[c.alias(k) for k, c in columns.items()])
 
 
-def _grid_lines(centre: str, reach: str, axis: str) -> str:
-    """SQL text: indices of the grid lines of an axis within ``reach`` of a coordinate (may be empty)."""
-    first = f"cast(greatest(0, ceil(({centre} - {reach} - {axis}_origin) / {axis}_step)) as int)"
-    last = f"cast(least({axis}_n - 1, floor(({centre} + {reach} - {axis}_origin) / {axis}_step)) as int)"
-    return f"if({first} <= {last}, sequence({first}, greatest({first}, {last})), array())"
+def _with_grid_lines(rows: DataFrame, out: str, centres: Sequence[str], reach: str, axis: str) -> DataFrame:
+    """Add the array ``out``: indices of the grid lines of an axis within ``reach`` of one of the coordinates (may be empty)."""
+    ends, parts = {}, []
+    for i, centre in enumerate(centres):
+        first, last = f"_{axis}a{i}", f"_{axis}b{i}"
+        ends[first] = F.expr(f"cast(greatest(0, ceil(({centre} - {reach} - {axis}_origin) / {axis}_step)) as int)")
+        ends[last] = F.expr(f"cast(least({axis}_n - 1, floor(({centre} + {reach} - {axis}_origin) / {axis}_step)) as int)")
+        parts.append(f"if({first} <= {last}, sequence({first}, greatest({first}, {last})), array())")
+    every = parts[0] if len(parts) == 1 else f"array_distinct(concat({', '.join(parts)}))"
+    return rows.withColumns(ends).withColumn(out, F.expr(every)).drop(*ends)
 
 
 SPOTS = 16  # parts of one place of the sky among the tasks that spread positions over the grid
@@ -107,22 +112,26 @@ def spread(spots: DataFrame, groups: Sequence[str], grid: DataFrame, bandwidth:
     """
     tasks = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = [F.floor(F.col(c) / bandwidth) for c in ("ra", "dec")]
-    # as every row is about to become hundreds, the few rows are spread over tasks that are not merged again
-    rows = join_back(spots, grid, groups).repartition(tasks, *groups, *place, F.pmod(F.xxhash64("ra", "dec"), F.lit(SPOTS)))
     h = num(bandwidth)
     reach = (
-        f"(if(abs(dec) + {h} >= 90, 180D, degrees(asin(least(1D, {num(math.sin(math.radians(bandwidth)))}"
-        f" / cos(radians(dec)))))) + 1e-9D)"
+        f"if(abs(dec) + {h} >= 90, 180D, degrees(asin(least(1D, {num(math.sin(math.radians(bandwidth)))}"
+        f" / cos(radians(dec)))))) + 1e-9D"
     )
-    turns = ", ".join(_grid_lines(f"(ra {turn})", reach, "x") for turn in ("- 360", "+ 0", "+ 360"))
+    # the grid lines of a spot are found ahead of the shuffle: their long terms in the loop over the points would make it
+    # too long a method for the JVM to compile
+    rows = _with_grid_lines(join_back(spots, grid, groups), "_ys", ["dec"], f"({h} + 1e-9D)", "y").withColumn("_reach", F.expr(reach))
+    rows = _with_grid_lines(rows, "_xs", [f"(ra {turn})" for turn in ("- 360", "+ 0", "+ 360")], "_reach", "x").drop("_reach")
+    # as every row is about to become hundreds, the few rows are spread over tasks that are not merged again
+    rows = rows.repartition(tasks, *groups, *place, F.pmod(F.xxhash64("ra", "dec"), F.lit(SPOTS)))
+    # (an inner explode would work the arrays out twice, once to see that they are not empty)
     # what a grid line and a spot share is worked out before the points of the line; the terms are those of separation_sql
-    lines = rows.withColumn("iy", F.expr(f"explode({_grid_lines('dec', f'({h} + 1e-9D)', 'y')})")).withColumn("gy", F.expr("y_origin + iy * y_step"))
+    lines = rows.withColumn("iy", F.explode_outer("_ys")).withColumn("gy", F.expr("y_origin + iy * y_step"))
     lines = lines.withColumns(
         {"_up": F.expr("pow(sin(radians(gy - dec) / 2), 2)"), "_cos": F.expr("cos(radians(dec)) * cos(radians(gy))")}
     )
-    met = lines.withColumn("ix", F.expr(f"explode(array_distinct(concat({turns})))")).withColumn("gx", F.expr("x_origin + ix * x_step"))
+    met = lines.withColumn("ix", F.explode_outer("_xs")).withColumn("gx", F.expr("x_origin + ix * x_step"))
     kernel = F.expr(f"1 - degrees(2 * asin(sqrt(least(1D, _up + _cos * pow(sin(radians(gx - ra) / 2), 2))))) / {h}")
-    return met.withColumn("k", kernel).drop("_up", "_cos").where("k > 0")
+    return met.withColumn("k", kernel).drop("_up", "_cos", "_ys", "_xs").where("k > 0")
 
 
 def density_map(
